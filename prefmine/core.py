@@ -234,11 +234,9 @@ def explode_range(df: DataFrame, n: Column, name: str, chunk: int = 10_000) -> D
     The starts of the chunks are exploded and redistributed first, so no task holds or emits
     more than its share of a row that asks for billions.
     """
-    starts = df.withColumn("__n", n.cast("bigint")).filter(F.col("__n") >= 1)
-    starts = starts.withColumn(
-        "__start", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__n"), F.lit(chunk).cast("bigint")))
-    )
-    starts = starts.repartition(F.col("__start"), *[F.col(c) for c in df.columns[:1]])
-    return starts.withColumn(
-        name, F.explode(F.sequence(F.col("__start"), F.least(F.col("__start") + chunk - 1, F.col("__n"))))
-    ).drop("__n", "__start")
+    step = F.lit(chunk).cast("bigint")
+    starts = df.withColumn("__total", n.cast("bigint")).filter(F.col("__total") >= 1)
+    starts = starts.withColumn("__start", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__total"), step)))
+    starts = starts.repartition(F.col("__start"), F.col(df.columns[0]))
+    last = F.least(F.col("__start") + chunk - 1, F.col("__total"))
+    return starts.withColumn(name, F.explode(F.sequence(F.col("__start"), last))).drop("__total", "__start")

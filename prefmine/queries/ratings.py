@@ -1 +1,116 @@
-"""Queries."""
+"""J and K: rating models and their errors."""
+
+from pyspark.sql import functions as F
+
+from prefmine.core import rnd
+from prefmine.datasets import KEY, ORDER, interactions
+from prefmine.evaluation import ratings as E
+from prefmine.models import means as M
+from prefmine.operators import graph as H
+from prefmine.operators import profiles as P
+from prefmine.plans import rating as R
+from prefmine.queries.graph import core_sql, split_sql
+from prefmine.queries.profiles import rounded
+from prefmine.queries.registry import query
+
+K = ", ".join(KEY)
+UI = ("user_id", "item_id")
+
+
+def means_sql(train="tr", shrink=True):
+    """g, um and im: global mean, user means and item means of a relation of training rows."""
+    out = f", g AS (SELECT avg(rating) AS g FROM {train})"
+    for alias, entity in (("um", "user_id"), ("im", "item_id")):
+        out += f", {alias}_r AS (SELECT {entity}, avg(rating) AS r, count(*) AS n FROM {train} GROUP BY 1), {alias}_m AS (SELECT median(n) AS m FROM {alias}_r)"
+        value = "(n * r + m * g) / (n + m)" if shrink else "r"
+        out += f", {alias} AS (SELECT {entity}, n, r, {value} AS m FROM {alias}_r, {alias}_m x(m), g)"
+    return out
+
+
+PRED = ", p AS (SELECT te.*, um.m IS NOT NULL AS uk, im.m IS NOT NULL AS ik, least(greatest((COALESCE(um.m, g) + COALESCE(im.m, g)) / 2, 1.0), 5.0) AS pred FROM te LEFT JOIN um USING (user_id) LEFT JOIN im USING (item_id), g)"
+SIDES = ", tr AS (SELECT * FROM sp WHERE split = 'train'), te AS (SELECT * FROM sp WHERE split = 'test')"
+SUBSET = "CASE WHEN uk AND ik THEN 'warm' WHEN ik THEN 'cold_user' WHEN uk THEN 'cold_item' ELSE 'cold_both' END"
+RMSE = "count(*) AS n, ROUND(sqrt(avg((rating - pred) * (rating - pred))), 6) AS rmse, ROUND(avg(abs(rating - pred)), 6) AS mae"
+
+
+def raw_split(spark, d, share):
+    return R.sides(H.temporal_split(interactions(spark, d), share, ORDER), *UI)
+
+
+@query("j01_shrunk_means", means_sql("interactions") + """
+SELECT 'user' AS kind, user_id AS id, n, ROUND(r, 6) AS raw_mean, ROUND(m, 6) AS mean FROM um UNION ALL SELECT 'item', item_id, n, ROUND(r, 6), ROUND(m, 6) FROM im
+""")
+def shrunk_means(spark, d):
+    rows = interactions(spark, d)
+    parts = [
+        M.shrunk_means(rows, e, "rating").select(F.lit(k).alias("kind"), F.col(e).alias("id"), "n", rnd("raw_mean").alias("raw_mean"), rnd("mean").alias("mean"))
+        for k, e in (("user", "user_id"), ("item", "item_id"))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query("j02_mean_baseline", split_sql("interactions", 0.1) + SIDES + means_sql() + PRED + f" SELECT {K}, ROUND(pred, 6) AS pred FROM p")
+def mean_baseline(spark, d):
+    train, test = raw_split(spark, d, 0.1)
+    return M.mean_baseline(train, test, *UI, "rating").select(*KEY, rnd("pred").alias("pred"))
+
+
+@query("j02_raw_mean_baseline", split_sql("interactions", 0.1) + SIDES + means_sql(shrink=False) + PRED + f" SELECT {K}, ROUND(pred, 6) AS pred FROM p")
+def raw_mean_baseline(spark, d):
+    train, test = raw_split(spark, d, 0.1)
+    return M.mean_baseline(train, test, *UI, "rating", shrink=False).select(*KEY, rnd("pred").alias("pred"))
+
+
+@query("k01_scores", split_sql("interactions", 0.8) + SIDES + means_sql() + PRED + f" SELECT {RMSE} FROM p")
+def scores(spark, d):
+    train, test = raw_split(spark, d, 0.8)
+    return rounded(E.scores(M.mean_baseline(train, test, *UI, "rating"), "rating", "pred"), "rmse", "mae")
+
+
+@query("k02_subset_scores", core_sql(20) + split_sql("core", 0.8) + SIDES + means_sql() + PRED + f"""
+SELECT {SUBSET} AS subset, {RMSE} FROM p GROUP BY 1 UNION ALL SELECT 'all', {RMSE} FROM p
+""")
+def subset_scores(spark, d):
+    return rounded(R.baseline_report(interactions(spark, d), *UI, "rating", ORDER, 20), "rmse", "mae")
+
+
+@query("k02_cold_scores", split_sql("interactions", 0.1) + SIDES + means_sql() + PRED + f"""
+SELECT {SUBSET} AS subset, {RMSE} FROM p GROUP BY 1 UNION ALL SELECT 'all', {RMSE} FROM p
+""")
+def cold_scores(spark, d):
+    train, test = raw_split(spark, d, 0.1)
+    return rounded(E.subset_scores(M.mean_baseline(train, test, *UI, "rating"), "subset", "rating", "pred"), "rmse", "mae")
+
+
+@query("k03_star_scores", split_sql("interactions", 0.8) + SIDES + means_sql() + PRED + f"""
+, b AS (SELECT 'shrunk' AS model, rating, pred FROM p UNION ALL SELECT 'global', rating, (SELECT g FROM g) FROM te)
+SELECT model, rating AS star, {RMSE} FROM b GROUP BY 1, 2
+""")
+def star_scores(spark, d):
+    train, test = raw_split(spark, d, 0.8)
+    rows = M.mean_baseline(train, test, *UI, "rating").withColumn("global", M.global_mean(train, "rating"))
+    return rounded(E.star_scores(rows, "rating", {"shrunk": "pred", "global": "global"}), "rmse", "mae")
+
+
+@query("k04_error_distribution", split_sql("interactions", 0.8) + SIDES + means_sql() + PRED + """
+, e AS (SELECT abs(rating - pred) AS e FROM p)
+SELECT count(*) AS n, ROUND(avg(e), 6) AS mean_error, ROUND(quantile_cont(e, 0.5), 6) AS p50, ROUND(quantile_cont(e, 0.9), 6) AS p90, ROUND(quantile_cont(e, 0.99), 6) AS p99,
+       ROUND(avg(CASE WHEN e > 2 THEN 1.0 ELSE 0 END), 6) AS share_big FROM e
+""")
+def error_distribution(spark, d):
+    train, test = raw_split(spark, d, 0.8)
+    rows = M.mean_baseline(train, test, *UI, "rating")
+    return rounded(E.error_distribution(rows, "rating", "pred", {"p50": 0.5, "p90": 0.9, "p99": 0.99}), "mean_error", "p50", "p90", "p99", "share_big")
+
+
+@query("k05_category_improvement", split_sql("interactions", 0.8) + SIDES + means_sql() + PRED + """
+, c AS (SELECT brand, count(*) AS n, sqrt(avg(power(rating - (SELECT g FROM g), 2))) AS b, sqrt(avg(power(rating - pred, 2))) AS a FROM p GROUP BY brand HAVING count(*) >= 5),
+l AS (SELECT brand, count(DISTINCT item_id) AS items FROM tr GROUP BY brand)
+SELECT brand, n, items, ROUND(b, 6) AS rmse_before, ROUND(a, 6) AS rmse_after, ROUND(b - a, 6) + 0.0 AS improvement FROM c JOIN l USING (brand)
+""")
+def category_improvement(spark, d):
+    train, test = raw_split(spark, d, 0.8)
+    rows = M.mean_baseline(train, test, *UI, "rating").withColumn("global", M.global_mean(train, "rating"))
+    labels = train.groupBy("brand").agg(F.countDistinct("item_id").alias("items"))
+    out = E.category_improvement(rows, "brand", "rating", "global", "pred", labels)
+    return rounded(out, "rmse_before", "rmse_after", "improvement")
