@@ -45,9 +45,9 @@ def word_count(column: Column | str) -> Column:
 
 
 def word_tokens(column: Column | str) -> Column:
-    """Lower-cased runs of two or more word characters, in order."""
+    """Lower-cased runs of two or more letters, digits or underscores, in order."""
     c = F.col(column) if isinstance(column, str) else column
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
 def topic_tokens(column: Column | str, stop_words: list[str]) -> Column:

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from prefmine.core import cut_lineage, hash_uniform
 
@@ -60,9 +61,14 @@ def gram(df: DataFrame, vec: str) -> np.ndarray:
 
 
 def times(df: DataFrame, vec: str, matrix: np.ndarray) -> DataFrame:
-    """Every vector multiplied by a small matrix from the right."""
-    columns = [F.array(*[F.lit(float(x)) for x in matrix[:, j]]) for j in range(matrix.shape[1])]
-    return df.withColumn(vec, F.array(*[dot(F.col(vec), c) for c in columns]))
+    """Every vector multiplied by a small matrix from the right, one batch of rows at a time."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def product(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series(list(np.stack(part.to_numpy()).astype(float) @ matrix)) if len(part) else part
+
+    return df.withColumn(vec, product(vec))
 
 
 def truncated_svd(entries: DataFrame, row: str, col: str, value: str, k: int, rounds: int = 4, extra: int = 4, seed: int = 42):

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefmine.core import bucketed_rank, bucketed_sum, explode_range, hash_long, hash_uniform, null_safe_join, ratio, top_per_key
+from prefmine.core import bucketed_rank, bucketed_sum, cut_lineage, explode_range, hash_long, hash_uniform, null_safe_join, ratio, top_per_key
 from prefmine.operators.joins import attach_counts
 
 BUCKETS = 256
@@ -115,17 +115,20 @@ def repeat_cold_users(df: DataFrame, category: str, user: str, times: int = 3, t
 
 
 def resample(df: DataFrame, flags: DataFrame, category: str, user: str, item: str, keys: list[str], seed: int = 42) -> DataFrame:
-    """Steps A, B and C in this order for the categories whose flag has the letter."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    rows = df.withColumn("copy_id", F.lit("0")).join(flags.select(category, "type_flag"), category)
+    """Steps A, B and C in this order for the categories whose flag has the letter.
+
+    A and B read their input several times, so it is written out before each step.
+    """
+    rows = cut_lineage(df.withColumn("copy_id", F.lit("0")).join(flags.select(category, "type_flag"), category))
+    total = F.lit(rows.count())
 
     def where(letter: str):
         return rows.filter(F.col("type_flag").contains(letter)), rows.filter(~F.col("type_flag").contains(letter))
 
     hit, rest = where("A")
-    rows = oversample(hit, category, keys, total, seed).unionByName(rest)
+    rows = cut_lineage(oversample(hit, category, keys, total, seed).unionByName(rest))
     hit, rest = where("B")
-    rows = popularity_inverse(hit, category, item, keys, seed).unionByName(rest)
+    rows = cut_lineage(popularity_inverse(hit, category, item, keys, seed).unionByName(rest))
     hit, rest = where("C")
     return repeat_cold_users(hit, category, user).unionByName(rest)
 
