@@ -27,3 +27,65 @@ def previous_in_order(df: DataFrame, group: list[str], bucket: Column, order: li
     for out, source in take.items():
         joined = joined.withColumn(out, F.when(F.col("__row") == 1, F.col(f"__edge.{source}")).otherwise(F.col(out)))
     return joined.drop("__bucket", "__row", "__edge")
+
+
+def simhash(df: DataFrame, key: str, text: Column, min_chars: int = 20) -> DataFrame:
+    """(key, signature): 64 majority votes over the words of a text, 0 for texts that are too short.
+
+    A word votes with the first eight bytes of its MD5, lowest byte and lowest bit first. Words of
+    one text are in one partition, so their votes are added up before the shuffle and one row per
+    text travels. A sum carries two votes, bit b in its lower and bit b + 32 in its upper half.
+    """
+    clean = F.trim(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "))
+    words = F.when(F.length(clean) >= min_chars, F.split(clean, " ")).otherwise(F.array().cast("array<string>"))
+    rows = df.select(key, F.explode_outer(words).alias("__w")).withColumn("__md5", F.md5("__w"))
+
+    def little_endian(first: int) -> Column:
+        hexes = [F.substring("__md5", first + 2 * j, 2) for j in (3, 2, 1, 0)]
+        return F.conv(F.concat(*hexes), 16, 10).cast("bigint")
+
+    hashed = rows.select(key, little_endian(1).bitwiseOR(F.shiftleft(little_endian(9), 32)).alias("__h"))
+    mask = F.lit((1 << 32) + 1)
+    votes = hashed.groupBy(key).agg(
+        F.count("__h").alias("__n"),
+        *[F.coalesce(F.sum(F.shiftrightunsigned("__h", b).bitwiseAND(mask)), F.lit(0)).alias(f"__{b}") for b in range(32)],
+    )
+    low = F.lit((1 << 32) - 1)
+    signature = F.lit(0).cast("bigint")
+    for b in range(32):
+        both = F.col(f"__{b}")
+        for bit, count in ((b, both.bitwiseAND(low)), (b + 32, F.shiftrightunsigned(both, 32))):
+            signature = signature.bitwiseOR(F.when(2 * count > F.col("__n"), F.shiftleft(F.lit(1).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint")))
+    return votes.select(key, signature.alias("signature"))
+
+
+def near_duplicates(signed: DataFrame, category: str, key: str, max_distance: int = 3, strict: bool = False) -> DataFrame:
+    """Keys of rows whose signature is within ``max_distance`` bits of the one before it in its category.
+
+    Rows are in unsigned order of signature, equal ones by key. Equal signatures are one group:
+    all but the first row are duplicates, and only the group as such is compared with the group
+    before it, so a text copied a billion times is one row here. Signature 0 (short texts) takes
+    part only with ``strict``.
+    """
+    rows = signed if strict else signed.filter(F.col("signature") != 0)
+    groups = rows.groupBy(category, "signature").agg(F.min(key).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    unsigned = F.col("signature").bitwiseXOR(F.lit(-(1 << 63)))
+    groups = groups.withColumn("__order", unsigned)
+    placed = previous_in_order(groups, [category], F.shiftright("__order", 50), ["__order"], {"__prev": "signature"})
+    near = F.coalesce(F.bit_count(F.col("signature").bitwiseXOR(F.col("__prev"))) <= max_distance, F.lit(False))
+    hits = placed.withColumn("__near", near).filter(F.col("__near") | (F.col("__n") > 1))
+    joined = null_safe_join(rows, hits.select(category, "signature", "__first", "__near"), [category, "signature"], "inner")
+    return joined.filter(F.col("__near") | (F.col(key) != F.col("__first"))).select(category, key)
+
+
+def duplicate_rates(signed: DataFrame, duplicates: DataFrame, category: str) -> DataFrame:
+    """Rows, duplicates and rate per category."""
+    n = signed.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
+    dups = duplicates.groupBy(category).agg(F.count(F.lit(1)).alias("dups"))
+    out = n.join(dups, category, "left").withColumn("dups", F.coalesce("dups", F.lit(0)))
+    return out.withColumn("rate", F.col("dups") * 100.0 / F.col("n"))
+
+
+def without_duplicates(df: DataFrame, duplicates: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The rows that are not duplicates, with the output columns."""
+    return df.join(duplicates.select(key), key, "left_anti").select(*columns)
