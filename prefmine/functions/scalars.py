@@ -59,12 +59,14 @@ def helpful_ratio(helpful: str, total: str) -> Column:
 
 
 def clip(column: Column | str, low: float | None = None, high: float | None = None) -> Column:
+    """Value held within the bounds; null stays null (``greatest`` and ``least`` would skip it)."""
     c = F.col(column) if isinstance(column, str) else column
-    if low is not None:
-        c = F.greatest(c, F.lit(low))
+    out = c
     if high is not None:
-        c = F.least(c, F.lit(high))
-    return c
+        out = F.when(c > high, F.lit(high)).otherwise(out)
+    if low is not None:
+        out = F.when(c < low, F.lit(low)).otherwise(out)
+    return out
 
 
 def bucket_label(column: Column | str, tiers: list[tuple[int | None, str]]) -> Column:

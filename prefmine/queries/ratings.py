@@ -114,3 +114,140 @@ def category_improvement(spark, d):
     labels = train.groupBy("brand").agg(F.countDistinct("item_id").alias("items"))
     out = E.category_improvement(rows, "brand", "rating", "global", "pred", labels)
     return rounded(out, "rmse_before", "rmse_after", "improvement")
+
+
+# --------------------------------------------------------------------------- content, neighbours, factors
+
+from prefmine.core import cut_lineage  # noqa: E402
+from prefmine.models import content as C  # noqa: E402
+from prefmine.models import factors as Z  # noqa: E402
+from prefmine.models import neighbours as N  # noqa: E402
+from prefmine.operators import features as X  # noqa: E402
+from prefmine.operators import sampling as G  # noqa: E402
+from prefmine.queries.features import VEC, vectors  # noqa: E402
+
+CONTENT = split_sql("interactions", 0.8) + SIDES + means_sql(shrink=False) + PRED + VEC + """
+, nu AS (SELECT item_id, pos, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS x FROM e), us AS (SELECT user_id, pos, sum(x) AS x FROM tr JOIN nu USING (item_id) GROUP BY 1, 2),
+uu AS (SELECT user_id, pos, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY user_id)), 1e-12) AS x FROM us),
+sm AS (SELECT user_id, item_id, sum(u.x * i.x) AS sim FROM (SELECT DISTINCT user_id, item_id FROM te) JOIN nu i USING (item_id) JOIN uu u USING (user_id, pos) WHERE item_id IN (SELECT item_id FROM tr) GROUP BY 1, 2),
+ps AS (SELECT p.*, sim FROM p LEFT JOIN sm USING (user_id, item_id))
+"""
+
+
+def content_rows(spark, d):
+    from prefmine.models.linalg import unit
+
+    train, test = raw_split(spark, d, 0.8)
+    items = vectors(spark, d).withColumn("vec", unit(F.col("vec"))).join(train.select("item_id").distinct(), "item_id", "left_semi")
+    users = X.mean_profile(train, items, *UI, 64)
+    return C.similarities(M.mean_baseline(train, test, *UI, "rating", shrink=False, out="base"), users, items, *UI)
+
+
+@query("j03_content_model", CONTENT + f" SELECT {K}, ROUND(CASE WHEN sim IS NULL THEN pred ELSE least(greatest(pred + 0.25 * sim, 1), 5) END, 5) AS pred FROM ps")
+def content_model(spark, d):
+    return C.predict(content_rows(spark, d), "base", "sim", 0.25).select(*KEY, rnd("pred", 5).alias("pred"))
+
+
+@query("j03_content_grid", CONTENT + """
+, g2 AS (SELECT unnest([0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS scale), q AS (SELECT rating, scale, CASE WHEN sim IS NULL THEN pred ELSE least(greatest(pred + scale * sim, 1), 5) END AS v FROM ps, g2)
+SELECT scale, count(*) AS n, ROUND(sqrt(avg(power(rating - v, 2))), 6) AS rmse, ROUND(avg(abs(rating - v)), 6) AS mae, ROUND((SELECT avg(CASE WHEN sim IS NULL THEN 0.0 ELSE 1 END) FROM ps), 6) AS known_coverage FROM q GROUP BY scale
+""")
+def content_grid(spark, d):
+    out = C.scale_grid(content_rows(spark, d), "base", "sim", "rating", C.CONTENT_SCALES)
+    return rounded(out, "rmse", "mae", "known_coverage")
+
+
+CF = split_sql("interactions", 0.8) + SIDES + means_sql(shrink=False) + PRED + """
+, cc AS (SELECT user_id, item_id, CAST(sum(rating) AS DOUBLE) AS v FROM tr GROUP BY 1, 2), ct AS (SELECT *, v - avg(v) OVER (PARTITION BY user_id) AS c, avg(v) OVER (PARTITION BY user_id) AS um FROM cc),
+sc AS (SELECT *, COALESCE(c / nullif(sqrt(sum(c * c) OVER (PARTITION BY item_id)), 0), 0) AS x FROM ct),
+pr AS (SELECT a.item_id, b.item_id AS neighbour, ROUND(sum(a.x * b.x), 9) AS sim, count(*) AS common FROM sc a JOIN sc b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY 1, 2),
+nb AS (SELECT * FROM pr WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, neighbour) <= 20)
+"""
+KEYJ = " AND ".join(f"f.{k} = p.{k}" for k in KEY)
+
+
+def cf_pred(name, mc, mn, sh):
+    return f""", {name} AS (SELECT p.*, f.n IS NULL OR f.n < {mn} OR f.den <= 1e-12 AS fb, CASE WHEN f.n >= {mn} AND f.den > 1e-12 THEN least(greatest(f.um + f.num / f.den, 1), 5) ELSE p.pred END AS v FROM p LEFT JOIN
+ (SELECT {', '.join('p.' + k for k in KEY)}, count(*) AS n, max(ct.um) AS um, sum(sim * common / (common + {sh}) * ct.c) AS num, sum(abs(sim * common / (common + {sh}))) AS den FROM p JOIN nb ON p.item_id = nb.item_id
+  JOIN ct ON ct.user_id = p.user_id AND ct.item_id = nb.neighbour WHERE common >= {mc} AND sim > 0 GROUP BY ALL) f ON {KEYJ})"""
+
+
+def cf_parts(spark, d):
+    train, test = raw_split(spark, d, 0.8)
+    cells = cut_lineage(N.centred_cells(train, *UI, "rating"))
+    near = cut_lineage(N.neighbours(cells, *UI, 20))
+    rows = M.mean_baseline(train, test, *UI, "rating", shrink=False, out="base")
+    return rows, near, N.matches(test, near, cells, *UI, KEY)
+
+
+@query("j04_item_neighbours", CF + " SELECT item_id, neighbour, ROUND(sim, 6) AS sim, common FROM nb")
+def item_neighbours(spark, d):
+    train, _ = raw_split(spark, d, 0.8)
+    return N.neighbours(cut_lineage(N.centred_cells(train, *UI, "rating")), *UI, 20).withColumn("sim", rnd("sim"))
+
+
+@query("j04_item_cf", CF + cf_pred("r", 1, 1, 2.0) + f" SELECT {K}, ROUND(v, 5) AS pred, fb AS fallback FROM r")
+def item_cf(spark, d):
+    rows, _, found = cf_parts(spark, d)
+    out = N.predict(rows, found, KEY, "base", 1, 1, 2.0)
+    return out.select(*KEY, rnd("pred", 5).alias("pred"), "fallback")
+
+
+_GRID = [{"min_common": mc, "min_neighbours": mn, "shrink": sh} for mc in (1, 2) for mn in (1, 2) for sh in (0.0, 2.0)]
+
+
+@query("j05_cf_grid", CF + "".join(cf_pred(f"r{i}", g["min_common"], g["min_neighbours"], g["shrink"]) for i, g in enumerate(_GRID)) + " UNION ALL ".join(
+    f" SELECT {float(g['min_common'])}::DOUBLE AS min_common, {float(g['min_neighbours'])}::DOUBLE AS min_neighbours, {g['shrink']}::DOUBLE AS shrink, count(*) AS n, ROUND(sqrt(avg(power(rating - v, 2))), 6) AS rmse, ROUND(avg(abs(rating - v)), 6) AS mae, ROUND(avg(CASE WHEN fb THEN 1.0 ELSE 0 END), 6) AS fallback_rate FROM r{i}"
+    for i, g in enumerate(_GRID)))
+def cf_grid(spark, d):
+    rows, _, found = cf_parts(spark, d)
+    return rounded(N.tune(rows, found, KEY, "base", "rating", _GRID), "rmse", "mae", "fallback_rate")
+
+
+@query("j06_residual_factors")
+def residual_factors(spark, d):
+    train, test = raw_split(spark, d, 0.8)
+    model = Z.fit_residual(cut_lineage(train.select(*UI, "rating")), *UI, "rating", rank=8, iterations=5, rounds=2)
+    return rounded(E.scores(model.predict(test), "rating", "pred"), "rmse", "mae", digits=4)
+
+
+@query("j07_implicit_rating")
+def implicit_rating(spark, d):
+    train, test = raw_split(spark, d, 0.8)
+    factors = Z.fit_implicit(train, *UI, rank=10, iterations=5, reg=0.01)
+    rows = factors.score(M.mean_baseline(train, test, *UI, "rating", shrink=False, out="base"))
+    # Coarse residual scales.
+    coarse = [-0.50, -0.25, -0.10, -0.05, 0.00, 0.01, 0.03, 0.05, 0.08, 0.10, 0.15, 0.20, 0.30, 0.50, 0.75, 1.00]
+    return rounded(C.scale_grid(cut_lineage(rows.select("rating", "base", "score")), "base", "score", "rating", coarse), "rmse", "mae", "known_coverage", digits=4)
+
+
+@query("j09_explicit_als")
+def explicit_als(spark, d):
+    train, test = raw_split(spark, d, 0.8)
+    factors = Z.fit_als(X.utility_matrix(train, *UI, "rating", "avg"), *UI, rank=10, iterations=5, reg=0.1)
+    rows = factors.score(test).withColumn("pred", F.coalesce("score", M.global_mean(train, "rating")))
+    return rounded(E.scores(rows, "rating", "pred"), "rmse", "mae", digits=4)
+
+
+@query("j10_centred_svd")
+def centred_svd(spark, d):
+    train, test = raw_split(spark, d, 0.8)
+    model = Z.fit_svd(cut_lineage(train.select(*UI, "rating")), *UI, "rating", k=6, rounds=2)
+    return rounded(E.subset_scores(model.predict(test), "subset", "rating", "pred"), "rmse", "mae", digits=4)
+
+
+@query("j11_resampled_comparison")
+def resampled_comparison(spark, d):
+    train, test = raw_split(spark, d, 0.8)
+    train = cut_lineage(train.select(*KEY, "user_id", "brand", "rating"))
+    warm = cut_lineage(test.filter("subset = 'warm'").select(*UI, "rating"))
+    flags = P.sparsity_flags(P.sparsity_metrics(train, "brand", "user_id", "item_id"), 0.026, 0.10, 0.958)
+    again = cut_lineage(G.resample(train, flags, "brand", *UI, KEY))
+    preds = {
+        "mean_baseline": M.mean_baseline(train, warm, *UI, "rating", shrink=False),
+        "svd_raw": Z.fit_svd(train, *UI, "rating", k=4, rounds=1).predict(warm),
+        "svd_resampled": Z.fit_svd(again, *UI, "rating", k=4, rounds=1).predict(warm),
+    }
+    parts = [p.select("rating", "pred", F.lit(n).alias("model")) for n, p in preds.items()]
+    out = E.scores(parts[0].unionByName(parts[1]).unionByName(parts[2]), "rating", "pred", ["model"])
+    return rounded(out, "rmse", "mae", digits=4)
