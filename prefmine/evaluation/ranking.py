@@ -90,9 +90,19 @@ def top_items_for_user(items: DataFrame, user_row: DataFrame, item: str, alpha:
     """
     from prefmine.models.linalg import cosine, dot
 
-    u_als, u_taste = user_row.select("als").scalar(), user_row.select("taste").scalar()
+    row = user_row.select("als", "taste").first()
+    u_als, u_taste = (F.array(*[F.lit(float(x)) for x in v]) for v in row)
     scored = items.select(item, dot(F.col("als"), u_als).alias("als_score"), F.coalesce(cosine(F.col("taste"), u_taste), F.lit(0.0)).alias("taste_score"))
     span = scored.agg(F.min("als_score").alias("lo"), F.max("als_score").alias("hi"))
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     scaled = F.coalesce(ratio(F.col("als_score") - lo, hi - lo), F.lit(0.0))
     return scored.withColumn("score", F.lit(alpha) * scaled + F.lit(1 - alpha) * F.col("taste_score")).orderBy(F.desc("score"), item).limit(k)
+
+
+def stage_report(scored: DataFrame, test: DataFrame, user: str, item: str, stage: str, score: str, positive: str, k: int) -> DataFrame:
+    """Mean AUC, Recall@k and NDCG@k for each stage that has held-out rows (one per user)."""
+    per_user = user_metrics(scored, user, item, score, positive, (k,)).join(pairwise_auc(scored, user, score, positive), user)
+    rows = test.select(user, stage).distinct().join(per_user, user)
+    return rows.groupBy(stage).agg(
+        F.count(F.lit(1)).alias("users"), F.avg("auc").alias("auc"), F.avg(f"recall_{k}").alias(f"recall_{k}"), F.avg(f"ndcg_{k}").alias(f"ndcg_{k}")
+    )

@@ -168,15 +168,15 @@ def min_max(spark, d):
     return rounded(X.min_max(items, ["n", "m"]), "n_scaled", "m_scaled").select("item_id", "n_scaled", "m_scaled")
 
 
-PREDS_SQL = "SELECT order_key, line_no, item_id, n_tokens, rating, 2.0 + n_tokens % 7 / 3.0 AS base, 1.0 + n_tokens % 11 / 3.0 AS a, 1.5 + total_votes / 4.0 AS b, 1.0 + helpful_votes / 2.0 AS c, 3.0 + verified AS d FROM interactions"
+PREDS_SQL = "SELECT order_key, line_no, item_id, n_tokens, rating, 2.0 + n_tokens % 7 / 3.1 AS base, 1.0 + n_tokens % 11 / 3.3 AS a, 1.5 + total_votes / 4.3 AS b, 1.0 + helpful_votes / 2.3 AS c, 3.0 + verified / 1.7 AS d FROM interactions"
 
 
 def predictions(spark, d):
     """Five prediction-like columns computed from the interactions, for the blending operators."""
     c = F.col
     return interactions(spark, d).select(
-        *KEY, "rating", (2.0 + c("n_tokens") % 7 / 3.0).alias("base"), (1.0 + c("n_tokens") % 11 / 3.0).alias("a"), (1.5 + c("total_votes") / 4.0).alias("b"),
-        (1.0 + c("helpful_votes") / 2.0).alias("c"), (3.0 + c("verified")).alias("d"),
+        *KEY, "rating", (2.0 + c("n_tokens") % 7 / 3.1).alias("base"), (1.0 + c("n_tokens") % 11 / 3.3).alias("a"), (1.5 + c("total_votes") / 4.3).alias("b"),
+        (1.0 + c("helpful_votes") / 2.3).alias("c"), (3.0 + c("verified") / 1.7).alias("d"),
     )
 
 

@@ -157,3 +157,70 @@ def taste_card(spark, d):
         "user_id", F.concat_ws("|", "genres_sorted").alias("genres"), "active_genres", "top_genre", "top_topic", "label",
         F.concat_ws("|", F.col("top_topics").cast("array<string>")).alias("topics"),
     )
+
+
+# --------------------------------------------------------------------------- fitted topics and clusters
+
+from prefmine.models import topics as L  # noqa: E402
+
+
+def tokenised(spark, d):
+    from prefmine.core import cut_lineage
+
+    return cut_lineage(T.document_tokens(reviews(spark, d), ["review_id", "item_id"], "review_text"))
+
+
+@query("j12_lda_topics")
+def lda_topics(spark, d):
+    best, table_ = L.choose_topics(tokenised(spark, d), "review_id", [3, 4], passes=3, vocabulary=2000)
+    return spark.createDataFrame([(k, round(s, 4), k == best.k) for k, s in table_], "k int, coherence double, chosen boolean")
+
+
+@query("m04_topic_terms")
+def topic_terms(spark, d):
+    return rounded(L.fit_topics(tokenised(spark, d), 3, passes=3, vocabulary=2000).top_terms(10), "weight", digits=4)
+
+
+@query("m03_book_topics")
+def book_topics(spark, d):
+    fit = L.fit_topics(tokenised(spark, d), 3, passes=3, vocabulary=2000)
+    return longer(T.mean_vectors(fit.vectors(["item_id"]), "item_id", "vec", 3), "item_id", digits=4)
+
+
+@query("j13_topic_coherence", TOK + """
+, dt AS (SELECT DISTINCT review_id, term FROM (SELECT review_id, unnest(k) AS term FROM doc)),
+tt AS (SELECT genre AS topic, term FROM dt JOIN reviews USING (review_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY genre ORDER BY count(*) DESC, term) <= 10),
+h AS (SELECT review_id, topic, term FROM dt JOIN tt USING (term)), j AS (SELECT a.topic, a.term AS t1, b.term AS t2, count(*) AS n12 FROM h a JOIN h b ON a.review_id = b.review_id AND a.topic = b.topic GROUP BY 1, 2, 3),
+n AS (SELECT count(*) AS n FROM doc), s AS (SELECT topic, t1 AS t, n12 AS c FROM j WHERE t1 = t2),
+f AS (SELECT a.topic, a.term AS t1, b.term AS t2, ln((COALESCE(n12, 0) / n + 1e-12) / (s1.c / n * s2.c / n)) / -ln(COALESCE(n12, 0) / n + 1e-12) AS v
+ FROM tt a JOIN tt b ON a.topic = b.topic LEFT JOIN j ON j.topic = a.topic AND j.t1 = a.term AND j.t2 = b.term JOIN s s1 ON s1.topic = a.topic AND s1.t = a.term JOIN s s2 ON s2.topic = a.topic AND s2.t = b.term, n),
+m AS (SELECT topic, t2, sum(v) AS s FROM f GROUP BY 1, 2), c AS (SELECT topic, t1, sum(v * s) / (sqrt(sum(v * v)) * sqrt(sum(s * s))) AS c FROM f JOIN m USING (topic, t2) GROUP BY 1, 2)
+SELECT topic, ROUND(avg(c), 6) AS coherence FROM c GROUP BY 1
+""", "reviews")
+def coherence(spark, d):
+    from prefmine.core import top_per_key
+
+    rows = tokenised(spark, d)
+    docs = rows.select("review_id", F.explode("tokens").alias("term")).distinct()
+    genres = reviews(spark, d).select("review_id", F.col("genre").alias("topic"))
+    counts = docs.join(genres, "review_id").groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
+    top = top_per_key(counts, ["topic"], [F.desc("n"), F.asc("term")], 10).select("topic", "term")
+    return rounded(T.topic_coherence(docs, "review_id", top, rows.agg(F.count(F.lit(1))).scalar()), "coherence")
+
+
+def popular(spark, d):
+    return P.popular_items(interactions(spark, d), "item_id", "rating", 20).select("item_id", "n_reviews", "avg_rating")
+
+
+@query("j14_elbow")
+def elbow(spark, d):
+    return rounded(L.elbow(popular(spark, d), ["n_reviews", "avg_rating"], range(2, 12)), "inertia", digits=4)
+
+
+@query("j14_clusters")
+def clusters(spark, d):
+    rows, centres, cost = L.cluster_items(popular(spark, d), ["n_reviews", "avg_rating"], 5)
+    at = F.array(*[F.array(*[F.lit(x) for x in c]) for c in centres])
+    out = L.cluster_summary(rows, "n_reviews", "avg_rating")
+    out = out.withColumn("centre_reviews", F.get(F.get(at, "cluster"), F.lit(0))).withColumn("centre_rating", F.get(F.get(at, "cluster"), F.lit(1)))
+    return rounded(out, "avg_reviews", "avg_rating", "centre_reviews", "centre_rating", digits=4)
