@@ -67,6 +67,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/prefmine/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistributes rows by key if they come from fewer files than there are cores.
+
+    For work that costs far more per row than moving the row (parsing whole texts). Large inputs
+    have many files and row groups and are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if 0 < len(df.inputFiles()) < cores else df
+
+
 # --------------------------------------------------------------------------- expressions
 
 

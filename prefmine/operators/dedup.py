@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefmine.core import null_safe_join
+from prefmine.core import null_safe_join, spread
 
 
 def previous_in_order(df: DataFrame, group: list[str], bucket: Column, order: list[str], take: dict[str, str]) -> DataFrame:
@@ -36,9 +36,10 @@ def simhash(df: DataFrame, key: str, text: Column, min_chars: int = 20) -> DataF
     one text are in one partition, so their votes are added up before the shuffle and one row per
     text travels. A sum carries two votes, bit b in its lower and bit b + 32 in its upper half.
     """
-    clean = F.trim(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "))
+    clean = F.trim(F.regexp_replace(F.lower(F.trim("__text")), r"\s+", " "))
     words = F.when(F.length(clean) >= min_chars, F.split(clean, " ")).otherwise(F.array().cast("array<string>"))
-    rows = df.select(key, F.explode_outer(words).alias("__w")).withColumn("__md5", F.md5("__w"))
+    texts = spread(df.select(key, text.alias("__text")), key)
+    rows = texts.select(key, F.explode_outer(words).alias("__w")).withColumn("__md5", F.md5("__w"))
 
     def little_endian(first: int) -> Column:
         hexes = [F.substring("__md5", first + 2 * j, 2) for j in (3, 2, 1, 0)]

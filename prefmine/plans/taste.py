@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefmine.core import cut_lineage
+from prefmine.core import cut_lineage, spread
 from prefmine.functions.text import topic_tokens
 from prefmine.models.linalg import sum_vectors
 from prefmine.operators.sets import first_per_key
@@ -23,7 +23,8 @@ above after again against ain aren
 
 def document_tokens(df: DataFrame, key: list[str], text: str, min_tokens: int = 5) -> DataFrame:
     """Topic tokens per document, documents with too few left out. The list is computed once per row."""
-    rows = df.filter(F.col(text).isNotNull()).select(*key, F.explode(F.array(topic_tokens(text, STOP_WORDS))).alias("tokens"))
+    texts = spread(df.filter(F.col(text).isNotNull()).select(*key, text), *key)
+    rows = texts.select(*key, F.explode(F.array(topic_tokens(text, STOP_WORDS))).alias("tokens"))
     return rows.filter(F.size("tokens") >= min_tokens)
 
 
