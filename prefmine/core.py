@@ -126,14 +126,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def bucketed_rank(
-    df: DataFrame, group: list[str], bucket: Column, order: list[Column], name: str = "rank"
+    df: DataFrame, group: list[str], bucket: Column, order: list[Column], name: str = "rank", limit: int | None = None
 ) -> DataFrame:
     """Exact 1-based rank within ``group`` by ``order``, computed per (group, bucket).
 
     ``bucket`` must grow with ``order``: every row of a lower bucket sorts before every row of a
     higher one. A window over the group alone would sort a hot group in a single task; here each
     task sorts one bucket and adds the number of rows in the buckets before it. The table of
-    bucket sizes has groups x buckets rows.
+    bucket sizes has groups x buckets rows. With ``limit`` only the first rows of each group are
+    returned, and buckets that start beyond it are dropped before anything is sorted.
     """
     rows = df.withColumn("__bucket", bucket)
     sizes = rows.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
@@ -141,13 +142,14 @@ def bucketed_rank(
     offsets = sizes.withColumn("__end", F.sum("__size").over(before)).select(
         *group, "__bucket", (F.col("__end") - F.col("__size")).alias("__offset")
     )
+    if limit is not None:
+        offsets = offsets.filter(F.col("__offset") < limit)
+    placed = null_safe_join(rows, offsets, [*group, "__bucket"], "inner")
     inside = Window.partitionBy(*group, "__bucket").orderBy(*order)
-    ranked = rows.withColumn("__row", F.row_number().over(inside))
-    return (
-        null_safe_join(ranked, offsets, [*group, "__bucket"], "left")
-        .withColumn(name, F.col("__row") + F.col("__offset"))
-        .drop("__bucket", "__row", "__offset")
-    )
+    ranked = placed.withColumn(name, F.row_number().over(inside) + F.col("__offset"))
+    if limit is not None:
+        ranked = ranked.filter(F.col(name) <= limit)
+    return ranked.drop("__bucket", "__offset")
 
 
 def bucketed_sum(
@@ -217,25 +219,29 @@ def value_percentiles(
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles of one continuous column as a single row, via a range sort."""
-    placed = global_position(df.select(value).filter(F.col(value).isNotNull()), [F.col(value)], "__pos")
-    n = placed.agg(F.count(F.lit(1)).cast("double")).scalar()
+    """Exact interpolated quantiles of one continuous column as a single row.
+
+    Equal values are counted first, so a value that fills a third of the rows is one row of the
+    distributed sort. Running counts are formed per sorted partition and then offset.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    placed = cut_lineage(counts.orderBy(value).withColumn("__part", F.spark_partition_id()))
+    sizes = placed.groupBy("__part").agg(F.sum("__n").alias("__size"))
+    run = Window.partitionBy(F.lit(0)).orderBy("__part")
+    offsets = sizes.select("__part", (F.sum("__size").over(run) - F.col("__size")).alias("__offset"))
+    inside = Window.partitionBy("__part").orderBy(value)
+    spans = placed.join(offsets, "__part").withColumn("__end", F.sum("__n").over(inside) + F.col("__offset"))
+    total = placed.agg(F.sum("__n").cast("double")).scalar()
 
-    def at(p: float) -> tuple[Column, Column, Column]:
-        exact = (n - 1) * F.lit(p)
-        low = F.floor(exact)
-        return low + 1, F.ceil(exact) + 1, exact - low
+    def at(position: Column) -> Column:
+        return F.max(F.when((position <= F.col("__end")) & (position > F.col("__end") - F.col("__n")), F.col(value)))
 
-    wanted = placed.filter(
-        reduce(lambda a, b: a | b, [(F.col("__pos") == at(p)[0]) | (F.col("__pos") == at(p)[1]) for p in probs.values()])
-    )
     parts = []
     for out, p in probs.items():
-        low, high, weight = at(p)
-        lo = F.max(F.when(F.col("__pos") == low, F.col(value)))
-        hi = F.max(F.when(F.col("__pos") == high, F.col(value)))
-        parts.append((lo + (hi - lo) * F.max(weight)).alias(out))
-    return wanted.agg(*parts)
+        exact = (total - 1) * F.lit(p)
+        low, high = at(F.floor(exact) + 1), at(F.ceil(exact) + 1)
+        parts.append((low + (high - low) * F.max(exact - F.floor(exact))).alias(out))
+    return spans.agg(*parts)
 
 
 def explode_range(df: DataFrame, n: Column, name: str, chunk: int = 10_000) -> DataFrame:

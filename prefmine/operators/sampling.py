@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from prefmine.core import bucketed_rank, bucketed_sum, cut_lineage, explode_range, hash_long, hash_uniform, null_safe_join, ratio, top_per_key
 from prefmine.operators.joins import attach_counts
 
-BUCKETS = 256
+BUCKETS = 4096
 
 
-def hash_rank(df: DataFrame, group: list[str], keys: list[str], seed: int, name: str = "rank", buckets: int = BUCKETS) -> DataFrame:
-    """1-based position in a random order of each group."""
+def hash_rank(df: DataFrame, group: list[str], keys: list[str], seed: int, name: str = "rank", limit: int | None = None) -> DataFrame:
+    """1-based position in a random order of each group, or its first ``limit`` rows."""
     u = hash_uniform(seed, *keys)
     rows = df.withColumn("__u", u)
-    return bucketed_rank(rows, group, F.floor(F.col("__u") * buckets), [F.col("__u"), *[F.col(k) for k in keys]], name).drop("__u")
+    return bucketed_rank(rows, group, F.floor(F.col("__u") * BUCKETS), [F.col("__u"), *[F.col(k) for k in keys]], name, limit).drop("__u")
 
 
 def bernoulli(df: DataFrame, keys: list[str], share: float, seed: int) -> DataFrame:
@@ -28,7 +28,7 @@ def bernoulli(df: DataFrame, keys: list[str], share: float, seed: int) -> DataFr
 
 def fixed_size(df: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
     """Exactly ``n`` rows, or all if there are fewer."""
-    return hash_rank(df, [], keys, seed, "__r").filter(F.col("__r") <= n).drop("__r")
+    return hash_rank(df, [], keys, seed, "__r", n).drop("__r")
 
 
 def stratified_fraction(df: DataFrame, category: str, keys: list[str], cap: int, seed: int) -> DataFrame:
@@ -39,18 +39,19 @@ def stratified_fraction(df: DataFrame, category: str, keys: list[str], cap: int,
 
 def stratified_cap(df: DataFrame, category: str, keys: list[str], cap: int, seed: int) -> DataFrame:
     """At most ``cap`` random rows per category, exactly."""
-    return hash_rank(df, [category], keys, seed, "__r").filter(F.col("__r") <= cap).drop("__r")
+    return hash_rank(df, [category], keys, seed, "__r", cap).drop("__r")
 
 
 def weighted_sample(df: DataFrame, group: str, weight: Column, keys: list[str], n: int, seed: int) -> DataFrame:
     """``n`` rows per group without replacement, heavier rows first to be drawn.
 
-    The exponential key -ln(u)/w turns the draw into a top-n; buckets are powers of two of the key.
+    The exponential key -ln(u)/w turns the draw into a top-n; buckets are fine steps of
+    its logarithm, and those that cannot reach the first ``n`` are dropped before the sort.
     """
     u = hash_uniform(seed, *keys) + F.lit(2.0**-49)
     rows = df.withColumn("__key", -F.ln(u) / weight)
-    ranked = bucketed_rank(rows, [group], F.floor(F.log2("__key") * 8), [F.col("__key"), *[F.col(k) for k in keys]], "__r")
-    return ranked.filter(F.col("__r") <= n).drop("__r", "__key")
+    ranked = bucketed_rank(rows, [group], F.floor(F.log2("__key") * 64), [F.col("__key"), *[F.col(k) for k in keys]], "__r", n)
+    return ranked.drop("__r", "__key")
 
 
 # --------------------------------------------------------------------------- resampling by sparsity type
