@@ -8,7 +8,7 @@ from prefmine.queries.registry import ORACLES, QUERIES
 
 GROUPS = [
     "sources", "scalars", "joins", "profiles", "windows", "sampling", "graph",
-    "features", "dedup", "taste", "ratings", "ranking", "chain", "blends", "streams",
+    "features", "dedup", "flows", "taste", "ratings", "ranking", "chain", "blends", "streams",
 ]
 
 
