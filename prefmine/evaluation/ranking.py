@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefmine.core import ratio
+from prefmine.core import cut_lineage, ratio
 
 
 def ranked_hits(scored: DataFrame, keys: list[str], user: str, item: str, score: str, positive: str, k: int) -> DataFrame:
@@ -26,8 +26,12 @@ def ideal_gain(n: Column, k: int) -> Column:
 
 
 def user_metrics(scored: DataFrame, user: str, item: str, score: str, positive: str, ks: tuple[int, ...] = (10, 20), keys: list[str] | None = None) -> DataFrame:
-    """Recall@k and NDCG@k per user: hits over min(relevant, k), and binary gain over the ideal gain."""
+    """Recall@k and NDCG@k per user: hits over min(relevant, k), and binary gain over the ideal gain.
+
+    Scores are written once, because both the counts and the ranks read them.
+    """
     keys = keys or []
+    scored = cut_lineage(scored.select(*keys, user, item, score, positive))
     is_hit = F.col(positive) == 1
     relevant = scored.groupBy(*keys, user).agg(F.sum(F.when(is_hit, 1).otherwise(0)).alias("n_relevant")).filter("n_relevant > 0")
     top = ranked_hits(scored, keys, user, item, score, positive, max(ks)).filter(is_hit)

@@ -127,7 +127,7 @@ def user_centred(matrix: DataFrame, user: str) -> DataFrame:
 
 def double_centred(matrix: DataFrame, user: str, item: str) -> DataFrame:
     """Minus the user's mean, then minus the item's mean of what is left."""
-    rows = user_centred(matrix, user)
+    rows = cut_lineage(user_centred(matrix, user))
     means = rows.groupBy(item).agg(F.avg("centred").alias("item_mean"))
     return rows.join(means, item).withColumn("centred", F.col("centred") - F.col("item_mean"))
 

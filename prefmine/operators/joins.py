@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefmine.core import null_safe_join, ratio, top_per_key
+from prefmine.core import cut_lineage, null_safe_join, ratio, top_per_key
 
 
 def admitted(df: DataFrame, rating: str, body: str, min_chars: int = 20) -> DataFrame:
@@ -125,7 +123,8 @@ def item_pairs(
 
     ``df`` has one row per (user, item). A user's items are cut into chunks of about ``chunk``
     items and joined chunk pair by chunk pair, so a user who rated the whole catalogue is spread
-    over many tasks. Products of one pair are summed before the shuffle. The result is the pair
+    over many tasks. Both sides read the chunked rows from one written table, and products of one
+    pair are summed before the shuffle. The result is the pair
     table itself, with items in ascending order.
     """
     n_chunks = F.ceil(F.col("__deg") / F.lit(chunk)).cast("int")
@@ -133,6 +132,7 @@ def item_pairs(
     rows = df.join(deg, user).withColumn("__n", n_chunks).withColumn(
         "__chunk", F.pmod(F.xxhash64(item), F.col("__n")).cast("int")
     )
+    rows = cut_lineage(rows.drop("__deg"))
     cells = rows.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     values = sorted({c for pair in sums.values() for c in pair})
     left = cells.select(
@@ -146,7 +146,3 @@ def item_pairs(
     pairs = left.join(right, [user, "__ca", "__cb"]).filter(F.col("item_a") < F.col("item_b"))
     aggs = [F.sum(F.col(f"__l_{a}") * F.col(f"__r_{b}")).alias(out) for out, (a, b) in sums.items()]
     return pairs.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("common"), *aggs)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -88,24 +88,28 @@ def affinity(df: DataFrame, user: str, item: str, genre: str, weights: dict[str,
     """Share of each genre in a user's edge weights, for several weight formulas in one pass.
 
     Every user gets every genre. Users without weight get equal shares; bridge users
-    (``bridge(user, is_bridge_user)``) are blended with equal shares. Result:
+    (``bridge(user, is_bridge_user)``) are blended with equal shares. A user's sums are at most one
+    per genre and travel as one row, so the full grid needs no join. Result:
     (variant, user, genre, affinity, is_bridge_user).
     """
-    rows = df.select(user, item, *[F.greatest(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)).alias(f"__{n}") for n, c in weights.items()])
-    by_genre = rows.join(first_genre(df, item, genre, order), item)
-    sums = by_genre.groupBy(user, genre).agg(*[F.sum(f"__{n}").alias(n) for n in weights])
-    entries = ", ".join(f"'{n}', `{n}`" for n in weights)
-    long = sums.select(user, genre, F.expr(f"stack({len(weights)}, {entries}) AS (variant, raw)"))
+    clean = [F.greatest(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)).alias(n) for n, c in weights.items()]
+    by_genre = df.select(user, item, *clean).join(first_genre(df, item, genre, order), item)
+    sums = by_genre.groupBy(user, genre).agg(*[F.sum(n).alias(n) for n in weights])
+    per_user = sums.groupBy(user).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(genre), F.struct(*weights)))).alias("__raw"), *[F.sum(n).alias(f"__t_{n}") for n in weights]
+    )
     genres = df.agg(F.array_sort(F.collect_set(genre))).scalar()
-    names = F.array(*[F.lit(n) for n in weights])
-    grid = df.select(user).distinct().select(user, F.explode(names).alias("variant")).select(user, "variant", F.explode(genres).alias(genre))
-    filled = grid.join(long, [user, "variant", genre], "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
-    totals = long.groupBy(user, "variant").agg(F.sum("raw").alias("__total"))
-    flagged = filled.join(totals, [user, "variant"], "left").join(bridge, user, "left").withColumn("is_bridge_user", F.coalesce("is_bridge_user", F.lit(False)))
+    flagged = per_user.join(bridge, user, "left").withColumn("is_bridge_user", F.coalesce("is_bridge_user", F.lit(False)))
+    wide = flagged.withColumn(genre, F.explode(genres)).withColumn("__cell", F.try_element_at("__raw", F.col(genre)))
+    variants = F.array(*[
+        F.struct(F.lit(n).alias("variant"), F.coalesce(F.col("__cell").getField(n), F.lit(0.0)).alias("raw"), F.coalesce(f"__t_{n}", F.lit(0.0)).alias("total"))
+        for n in weights
+    ])
+    long = wide.select(user, genre, "is_bridge_user", F.explode(variants).alias("v"))
     n = F.size(genres)
-    share = F.when(F.coalesce("__total", F.lit(0.0)) < 1e-9, 1.0 / n).otherwise(F.try_divide(F.col("raw"), F.col("__total")))
+    share = F.when(F.col("v.total") < 1e-9, 1.0 / n).otherwise(F.try_divide(F.col("v.raw"), F.col("v.total")))
     smooth = F.when(F.col("is_bridge_user"), (1 - blend) * share + blend / n).otherwise(share)
-    return flagged.select("variant", user, genre, smooth.alias("affinity"), "is_bridge_user")
+    return long.select(F.col("v.variant").alias("variant"), user, genre, smooth.alias("affinity"), "is_bridge_user")
 
 
 def entropy_profile(shares: DataFrame, user: str, genre: str) -> DataFrame:

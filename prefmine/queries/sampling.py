@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from prefmine.core import rnd
 from prefmine.datasets import KEY, interactions, stages
 from prefmine.functions.scalars import vote_weight
 from prefmine.operators import profiles as P

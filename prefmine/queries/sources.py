@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from prefmine.core import rnd, scratch_path
 from prefmine.datasets import KEY, interactions, reviews, stages, table
-from prefmine.functions import scalars as S
 from prefmine.queries.registry import query
 from prefmine.sources import readers as R
 from prefmine.sources import schemas as C
