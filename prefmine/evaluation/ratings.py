@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefmine.core import exact_quantiles
+from prefmine.core import cut_lineage, exact_quantiles
 from prefmine.functions.scalars import clip
 
 
@@ -25,8 +25,11 @@ def scores(df: DataFrame, actual: str, pred: str, keys: list[str] | None = None)
 
 
 def subset_scores(df: DataFrame, subset: str, actual: str, pred: str) -> DataFrame:
-    """Scores per warm or cold subset and over all rows."""
-    return scores(df, actual, pred, [subset]).unionByName(scores(df, actual, pred).withColumn(subset, F.lit("all")))
+    """Scores per warm or cold subset and over all rows, from one pass over the predictions."""
+    both = df.select(subset, actual, pred).rollup(subset).agg(
+        F.grouping(subset).alias("__all"), F.count(F.lit(1)).alias("n"), *score_columns(actual, pred)
+    )
+    return both.withColumn(subset, F.when(F.col("__all") == 1, "all").otherwise(F.col(subset))).drop("__all")
 
 
 def star_scores(df: DataFrame, actual: str, preds: dict[str, str]) -> DataFrame:
@@ -40,7 +43,7 @@ def star_scores(df: DataFrame, actual: str, preds: dict[str, str]) -> DataFrame:
 
 def error_distribution(df: DataFrame, actual: str, pred: str, probs: dict[str, float], big: float = 2.0) -> DataFrame:
     """Percentiles of the absolute error and the share of large ones."""
-    errors = df.select(F.abs(error(actual, pred)).alias("e"))
+    errors = cut_lineage(df.select(F.abs(error(actual, pred)).alias("e")))
     q = exact_quantiles(errors, "e", probs)
     cut = {name: q.select(name).scalar() for name in probs}
     return errors.agg(

@@ -305,7 +305,7 @@ def cdf_of(dist: DataFrame, value: str, n: str) -> DataFrame:
 
 
 def gini_by(df: DataFrame, keys: list[str], item: str) -> DataFrame:
-    """Gini index of rows per item within each key.
+    """Gini index of rows per item within each key, and the number of items.
 
     Items with equal counts are one row of the distribution: ``m`` items of count ``x`` with
     ``before`` smaller ones contribute ``x * (m * before + m (m + 1) / 2)`` to the rank sum.
@@ -316,16 +316,21 @@ def gini_by(df: DataFrame, keys: list[str], item: str) -> DataFrame:
     ranked = dist.withColumn("before", F.sum("m").over(w) - m)
     rank_sum = F.sum(x * (m * F.col("before") + m * (m + 1) / 2))
     n, total = F.sum(m), F.sum(x * m)
-    return ranked.groupBy(*keys).agg((2 * rank_sum / (n * total) - (n + 1) / n).alias("gini"))
+    return ranked.groupBy(*keys).agg((2 * rank_sum / (n * total) - (n + 1) / n).alias("gini"), n.alias("n_items"))
 
 
 def sparsity_metrics(df: DataFrame, category: str, user: str, item: str) -> DataFrame:
-    """Density, Gini of item counts and share of cold users per category."""
-    base = density(df, user, item, [category]).select(category, "n_reviews", "n_users", "n_items", "density")
-    cold = df.groupBy(category, user).agg(rows().alias("n")).groupBy(category).agg(
-        F.avg((F.col("n") < 5).cast("double")).alias("cold_ratio")
+    """Density, Gini of item counts and share of cold users per category.
+
+    Two passes, one per side of the matrix: the counts per user and per item hold everything,
+    distinct numbers included.
+    """
+    users = df.groupBy(category, user).agg(rows().alias("n")).groupBy(category).agg(
+        F.sum("n").alias("n_reviews"), rows().alias("n_users"), F.avg((F.col("n") < 5).cast("double")).alias("cold_ratio")
     )
-    return base.join(gini_by(df, [category], item), category).join(cold, category)
+    both = users.join(gini_by(df, [category], item), category)
+    cells = F.col("n_users").cast("double") * F.col("n_items")
+    return both.select(category, "n_reviews", "n_users", "n_items", ratio(F.col("n_reviews"), cells).alias("density"), "gini", "cold_ratio")
 
 
 def sparsity_flags(metrics: DataFrame, low_density: float = 0.005, high_gini: float = 0.60, high_cold: float = 0.50) -> DataFrame:
