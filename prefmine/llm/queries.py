@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefmine.llm import lines, quality, sketches
+import public_tokenizers
+
+from prefmine.llm import lines, packing, pieces, quality, sketches
 from prefmine.llm.tables import documents, fold
 
 
@@ -32,9 +34,20 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, ranker).select("doc_id", held_out, "score", predicted)
 
 
+def piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pieces.with_ids(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=None, digests=True, check=True).drop("text")
+
+
+def packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.id_file(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op3_fingerprints": fingerprints,
     "op4_line_rules": line_rules,
     "op5_quality": quality_scores,
+    "op9_sentencepiece": piece_ids,
+    "op10_packed_ids": packed_ids,
 }
 ORACLES: dict[str, str] = {}
