@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from prefmine.llm import lines, packing, pieces, quality, sketches
+from prefmine.llm import lines, packing, pieces, quality, similar, sketches
 from prefmine.llm.tables import documents, fold
 
 
@@ -34,6 +34,10 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, ranker).select("doc_id", held_out, "score", predicted)
 
 
+def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.classes(documents(spark, sf_dir))
+
+
 def piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return pieces.with_ids(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=None, digests=True, check=True).drop("text")
@@ -47,6 +51,7 @@ QUERIES = {
     "op3_fingerprints": fingerprints,
     "op4_line_rules": line_rules,
     "op5_quality": quality_scores,
+    "op7_jaccard_join": jaccard_classes,
     "op9_sentencepiece": piece_ids,
     "op10_packed_ids": packed_ids,
 }
