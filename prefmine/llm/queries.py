@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from prefmine.llm import lines, packing, pieces, quality, similar, sketches
+from prefmine.llm import lines, maxent, packing, pieces, quality, similar, sketches
 from prefmine.llm.tables import documents, fold
 
 
+def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_texts(documents(spark, sf_dir), fold(F.col("doc_id"), 5) == 1)
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edit_report(documents(spark, sf_dir))
 
@@ -48,6 +52,7 @@ def packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_scores": language_scores,
     "op3_fingerprints": fingerprints,
     "op4_line_rules": line_rules,
     "op5_quality": quality_scores,
