@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from prefmine.llm import lines, maxent, packing, pieces, quality, similar, sketches
+from prefmine.llm import lines, maxent, packing, pieces, pii, quality, similar, sketches
 from prefmine.llm.tables import documents, fold
 
 
@@ -38,6 +38,14 @@ def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, ranker).select("doc_id", held_out, "score", predicted)
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.with_spans(docs, pii.learn(docs), base="base", spans="all")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("bigint").alias(f"n_{kind}")
+    counts = [count(kind) for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"), pii.as_text(F.col("all")).alias("spans"))
+
+
 def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.classes(documents(spark, sf_dir))
 
@@ -56,6 +64,7 @@ QUERIES = {
     "op3_fingerprints": fingerprints,
     "op4_line_rules": line_rules,
     "op5_quality": quality_scores,
+    "op6_personal_data": personal_data,
     "op7_jaccard_join": jaccard_classes,
     "op9_sentencepiece": piece_ids,
     "op10_packed_ids": packed_ids,
