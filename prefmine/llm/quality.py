@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prefmine.llm.style import form_of
-from prefmine.llm.tables import with_columns
+from prefmine.llm.tables import drawn, with_columns
 from prefmine.llm.words import slices
 
 FEATURES = (
@@ -112,13 +112,9 @@ def fit_ranker(x: np.ndarray, good: np.ndarray, rivals: int = 4, threshold: floa
 
 def learn(labelled: DataFrame, text: str = "text", label: str = "quality", order: str = "doc_id", max_labelled: int = 20_000, **fit) -> Ranker:
     """Fits on labelled rows. Their features, at most ``max_labelled`` short rows, come to the driver."""
-    rows = labelled.filter(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(order).alias("__order"))
-    # the bound is applied to ids before texts are parsed: a share of the hash range, then an exact limit
-    total = rows.count()
-    if total > max_labelled:
-        share = min(1.0, 1.2 * max_labelled / total)
-        rows = rows.filter(F.col("__order") < F.lit(int(-(1 << 63) + share * ((1 << 64) - 1))))
-    found = with_features(rows, "text").select("label", "__order", "features").orderBy("__order").limit(max_labelled).toPandas()
+    rows = labelled.filter(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.col(order).alias("order"))
+    rows = with_features(drawn(rows, F.col("order"), max_labelled), "text").select("label", "__order", "features")
+    found = rows.orderBy("__order").limit(max_labelled).toPandas()
     if not len(found):
         raise ValueError("no labelled rows")
     return fit_ranker(np.stack(found["features"].to_numpy()), found["label"].to_numpy() == 1, **fit)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from prefmine.llm import chat, lines, maxent, packing, pieces, pii, quality, similar, sketches
+from prefmine.llm import chat, lines, maxent, mixing, packing, pieces, pii, quality, similar, sketches
 from prefmine.llm.tables import documents, fold
 
 
@@ -15,6 +15,24 @@ def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_texts(documents(spark, sf_dir), fold(F.col("doc_id"), 5) == 1)
 
 
+#: target shares of the tokens of the mixture, by domain
+MIXTURE = {"clean": 0.90, "poor": 0.08, "toxic": 0.02}
+
+
+def domain_model(spark: SparkSession, sf_dir: str) -> mixing.Domains:
+    """Domains of the labelled table: poor, else toxic, else clean."""
+    domain = F.when(F.col("quality") == 0, "poor").when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("domain")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", domain)
+    return mixing.learn(documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id"))
+
+
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domains = domain_model(spark, sf_dir)
+    mixed = mixing.mixed(documents(spark, sf_dir), domains, MIXTURE)
+    shares = [F.get("posterior", i).alias(f"p_{name}") for i, name in enumerate(domains.names)]
+    return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.edit_report(documents(spark, sf_dir))
 
@@ -70,6 +88,7 @@ def packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_scores": language_scores,
+    "op2_mixture": mixture,
     "op3_fingerprints": fingerprints,
     "op4_line_rules": line_rules,
     "op5_quality": quality_scores,
