@@ -33,6 +33,8 @@ from prefmine.llm.words import Slice, slices
 WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60], np.int64)
 COUNTS = np.array([240, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1], np.int64)
 ESCAPE = 15
+SELECTOR = np.full(int(COUNTS[0]) + 1, ESCAPE, np.int64)
+SELECTOR[COUNTS[:ESCAPE]] = np.arange(ESCAPE)
 BLOCK = 1 << 16
 ROW_IDS = 1 << 19
 LETTER = np.zeros(256, bool)
@@ -44,30 +46,29 @@ HEADER = 12
 
 
 def _choose(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Selector and first value of every word: at each value the selector that takes most of what follows."""
-    n = len(values)
-    if int(values.max()) < 1 << 32:
-        values = values.astype(np.uint32)
-    place = np.arange(n, dtype=np.int32)
-    best = np.full(n, ESCAPE, np.int8)
-    step = np.ones(n, np.int32)
-    largest = int(values.max())
-    for s in range(ESCAPE - 1, -1, -1):
+    """Selector and first value of every word: at each value the selector that takes most of what follows.
+
+    Behind the last value zeros are thought, so the last word takes what is left.
+    """
+    n, largest = len(values), int(values.max())
+    padded = np.zeros(n + int(COUNTS.max()), np.uint32 if largest < 1 << 32 else np.uint64)
+    padded[:n] = values
+    step = np.zeros(n, np.int16)  # values taken; 0 where only an escape is left
+    for s in range(ESCAPE):
         width, count = int(WIDTHS[s]), int(COUNTS[s])
-        if largest >> width == 0:
-            reach = np.full(n, n, np.int32)
-        else:
-            wide = values >= values.dtype.type(1 << width)
-            reach = np.minimum.accumulate(np.where(wide, place, n)[::-1])[::-1]
-        fits = (reach - place >= count) | ((reach == n) & (n - place > COUNTS[s + 1] if s < ESCAPE - 1 else reach == n))
-        best[fits] = s
-        step[fits] = count
-    starts, at, steps = [], 0, step.tolist()
+        if largest >> width == 0:  # fits everywhere
+            np.maximum(step, count, out=step)
+            break
+        narrow = np.zeros(len(padded) + 1, np.int32)
+        np.cumsum(padded < (1 << width), out=narrow[1:])
+        fits = narrow[count : count + n] - narrow[:n] == count
+        np.maximum(step, fits * np.int16(count), out=step)
+    starts, at, steps = [], 0, np.maximum(step, 1).tolist()
     while at < n:
         starts.append(at)
         at += steps[at]
     first = np.array(starts, np.int64)
-    return best[first].astype(np.int64), first
+    return SELECTOR[step[first]], first
 
 
 def encode_block(values: np.ndarray) -> bytes:
@@ -224,7 +225,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id"
     """Encodes texts and writes their ids in ascending order of ``doc_id``."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    placed = rows.repartitionByRange(parts, F.asc_nulls_first("id"), "text").sortWithinPartitions(F.asc_nulls_first("id"), "text")
+    placed = rows.repartitionByRange(parts, F.asc_nulls_first("id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("id"), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
