@@ -158,24 +158,28 @@ def rate(posterior: Column, steps: list[np.ndarray]) -> Column:
     return out
 
 
-def targets_of(present: np.ndarray, names: tuple[str, ...], weights: dict[str, float], grow: bool) -> np.ndarray:
+def targets_of(present: np.ndarray, names: tuple[str, ...], weights: dict[str, float], anchor: str | None) -> np.ndarray:
     """Target tokens per domain for target weights; -1 where a domain has none present or no weight is given.
 
-    With ``grow`` the corpus keeps its number of tokens; else it gets the largest number for which no
-    domain needs more tokens than it has.
+    Without an anchor the corpus keeps its number of tokens. With one, this domain keeps its tokens, and the
+    others get theirs in proportion, but no more than they have: documents are only taken out.
     """
     wanted = np.array([weights.get(n, np.nan) for n in names], float)
     can = ~np.isnan(wanted) & (present > 0)
     if not can.any() or not wanted[can].sum() > 0:
         return np.full(len(names), -1.0)
-    wanted = wanted / wanted[can].sum()
-    most = present[can].sum() if grow else min(p / w for p, w in zip(present[can], wanted[can]) if w > 0)
-    return np.where(can, most * np.nan_to_num(wanted), -1.0)
+    wanted = np.nan_to_num(wanted) / wanted[can].sum()
+    if anchor is None:
+        return np.where(can, present[can].sum() * wanted, -1.0)
+    at = names.index(anchor) if anchor in names else -1
+    if at < 0 or not can[at] or not wanted[at] > 0:
+        return np.full(len(names), -1.0)
+    return np.where(can, np.minimum(present, present[at] / wanted[at] * wanted), -1.0)
 
 
 def fit_rates(
     narrow: DataFrame, names: tuple[str, ...], weights: dict[str, float], tokens: str = "n_tokens", posterior: str = "posterior",
-    grow: bool = True, passes: int = 15, tolerance: float = 1e-6,
+    anchor: str | None = None, passes: int = 15, tolerance: float = 1e-6,
 ) -> list[np.ndarray]:
     """Steps whose fold gives every document's rate. ``narrow`` is read once a pass and should be a written table."""
     k = len(names)
@@ -192,7 +196,7 @@ def fit_rates(
         return np.array([row[f"s{d}"] or 0.0 for d in range(k)]), gram
 
     present, gram = totals([])
-    wanted = targets_of(present, names, weights, grow)
+    wanted = targets_of(present, names, weights, anchor)
     held = wanted >= 0
     if not held.any():
         return []
@@ -223,23 +227,23 @@ def copies(rates: Column, key: Column, margin: float = 0.0, seed: int = 17) -> C
 
 
 def mixed(
-    df: DataFrame, domains: Domains, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text", grow: bool = True, margin: float = 0.0
+    df: DataFrame, domains: Domains, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text", anchor: str | None = None, margin: float = 0.0
 ) -> DataFrame:
     """(doc_id, n_tokens, posterior, rate, copies) of every document."""
     narrow = with_posteriors(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), domains).drop("text")
     narrow = written(narrow, "posteriors")
-    steps = fit_rates(narrow, domains.names, weights, grow=grow)
+    steps = fit_rates(narrow, domains.names, weights, anchor=anchor)
     fitted = F.when(F.col("n_tokens") == 0, 1.0).otherwise(rate(F.col("posterior"), steps))
     return narrow.withColumn("rate", fitted).withColumn("copies", copies(F.col("rate"), F.col("doc_id"), margin))
 
 
-def resampled(df: DataFrame, domains: Domains, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text", grow: bool = True, margin: float = 0.0) -> DataFrame:
+def resampled(df: DataFrame, domains: Domains, weights: dict[str, float], doc_id: str = "doc_id", text: str = "text", anchor: str | None = None, margin: float = 0.0) -> DataFrame:
     """The documents with all columns, each as often as its copies say.
 
     The rate follows from the text by the fitted steps, so it is worked out again in passing; nothing is joined.
     """
     narrow = written(with_posteriors(df.select(F.col(text).alias("text")), domains).drop("text"), "posteriors")
-    steps = fit_rates(narrow, domains.names, weights, grow=grow)
+    steps = fit_rates(narrow, domains.names, weights, anchor=anchor)
     rows = with_posteriors(df, domains, text, "__tokens", "__posterior")
     fitted = F.when(F.col("__tokens") == 0, 1.0).otherwise(rate(F.col("__posterior"), steps))
     n = copies(fitted, F.col(doc_id), margin)
