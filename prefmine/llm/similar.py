@@ -3,7 +3,7 @@
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is at least
 ``threshold``. The steps:
 
-1. ``sketch``: per document the key of its shingle set, its size and ``BANDS * ROWS`` MinHash values.
+1. ``sketch``: per document the key of its shingle set, and its ``BANDS * ROWS`` MinHash values by bands.
    Documents with equal sets are one class; from here on one representative (least id) stands for it.
 2. ``hubs``: representatives that agree on a band of MinHash values meet in that band's bucket. A bucket
    is named by its least member, the hub, so no list of members is ever built. Two members of a bucket
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefmine.llm.tables import with_columns, written
+from prefmine.llm.tables import release_memory, with_columns, written
 from prefmine.llm.words import mix, shingle_lists, slices
 
 BANDS, ROWS = 32, 4
@@ -62,26 +62,25 @@ def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, key of its shingle set, size of its text, MinHash values, band hashes."""
+    """One row per document: id, key of its shingle set, size of its text, hashes of its bands of MinHash values."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("id IS NOT NULL")
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    fields = [T.StructField(n, t) for n, t in (("set_key", T.BinaryType()), ("n_bytes", T.LongType()), ("minima", T.BinaryType()), ("bands", T.ArrayType(T.LongType())))]
+    fields = [T.StructField(n, t) for n, t in (("set_key", T.BinaryType()), ("n_bytes", T.LongType()), ("bands", T.ArrayType(T.LongType())))]
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        keys, n_bytes, minima, bands = [], [], [], []
+        keys, n_bytes, bands = [], [], []
         for part in slices(batch.column("text")):
             sets = shingle_lists(part)
             n_bytes += np.diff(part.offsets).tolist()
             values = min_hashes(sets)
             # the set's key: its size and two independent sums over its hashes
             keys += [len(s).to_bytes(8, "little") + mix(s).sum(dtype=np.uint64).tobytes() + mix(s ^ _SEEDS[0]).sum(dtype=np.uint64).tobytes() for s in sets]
-            minima += [v.tobytes() for v in values]
             folded = np.zeros((len(sets), BANDS), np.uint64)
             for r in range(ROWS):
                 folded = mix(folded + values.reshape(len(sets), BANDS, ROWS)[:, :, r].astype(np.uint64) + np.uint64(r + 1))
             folded[np.fromiter(map(len, sets), np.int64, len(sets)) == 0] = 0
             bands += list(folded.view(np.int64))
-        return {"set_key": pa.array(keys, pa.binary()), "n_bytes": pa.array(n_bytes, pa.int64()), "minima": pa.array(minima, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))}
+        return {"set_key": pa.array(keys, pa.binary()), "n_bytes": pa.array(n_bytes, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))}
 
     return with_columns(rows, make, fields).drop("text")
 
@@ -201,6 +200,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     ``copies`` in its class; ``found`` has rows (rep, root, copies): the copies of linked texts of one block
     and the least representative of the group there."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("id IS NOT NULL")
+    keyed = rows.withColumn("text_key", F.xxhash64("text"))
     sketched = written(sketch(rows, "id", "text"), "sketches")
     first = F.min(F.struct("id", "text_key"))
     sets = sketched.groupBy("set_key").agg(first["id"].alias("rep"), first["text_key"].alias("text_key"), F.count_distinct("id").alias("copies"))
@@ -221,10 +221,10 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     pairs = pairs.select("rep", "hub", "cell", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"))
 
-    texts = rows.withColumnRenamed("id", "rep").withColumn("text_key", F.xxhash64("text")).join(placed.select("rep", "text_key"), ["rep", "text_key"])
-    minima = sketched.withColumnRenamed("id", "rep").join(placed.select("rep", "text_key"), ["rep", "text_key"])
-    full = placed.join(texts.groupBy("rep").agg(F.first("text").alias("text")), "rep")
-    full = full.join(minima.groupBy("rep").agg(F.first("minima").alias("minima")), "rep").select("rep", "copies", "hubs", "text", "minima")
+    # the hint makes the join the same at every size: the texts are dealt by id, a broadcast would grow with the groups
+    wanted = placed.select("rep", "text_key").hint("shuffle_merge")
+    texts = keyed.withColumnRenamed("id", "rep").hint("shuffle_merge").join(wanted, ["rep", "text_key"]).groupBy("rep").agg(F.first("text").alias("text"))
+    full = placed.select("rep", "copies", "hubs").join(texts, "rep")
     work = pairs.join(full, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,13 +233,14 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
         ids, cell = table["rep"].to_numpy(), table["cell"].to_numpy()
         hub = int(table["hub"][0].as_py())
         copies = table["copies"].to_numpy()
-        minima = np.frombuffer(b"".join(table["minima"].to_pylist()), np.uint32).reshape(n, VALUES)
         hubs = np.full((n, BANDS), -1, np.int64)
         for i, found in enumerate(table["hubs"].to_pylist()):
             for band, h in found:
                 hubs[i, band] = h
         sets = [s for part in slices(table["text"]) for s in shingle_lists(part)]
+        minima = min_hashes(sets)  # anew: cheaper than sending 512 bytes of them for each text
         a, b = block_links(cell, hub, minima, hubs, sets, threshold, tolerance)
+        release_memory()
         if not len(a):
             return
         linked = np.bincount(a, copies[b], n) + np.bincount(b, copies[a], n)
