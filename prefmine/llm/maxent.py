@@ -20,7 +20,7 @@ sent whole. Texts are then stored as class numbers and 16-bit token hashes. Trai
 training texts, a third of them in each round: every task starts from the round's weights and makes
 mini-batch gradient steps over its part; changes are averaged per weight row over the tasks that made
 any. The weights' size does not depend on the data (``TEMPLATES * BUCKETS`` rows of ``CLASSES`` floats,
-4 MB); they, the head words and totals per class are all that passes the driver.
+2 MB); they, the head words and totals per class are all that passes the driver.
 
 Null texts count as empty: their only token is the end. A null id counts as an empty text for the fold.
 Repeated rows are scored, and learned from, each. Without training texts all scores are those of a
@@ -41,14 +41,14 @@ from pyspark.sql import functions as F
 from prefmine.llm.tables import written
 from prefmine.llm.words import mix, slices, words_of
 
-HEADS = 31
+HEADS = 15
 CLASSES = 2 * HEADS + 2  # heads, groups of other tokens by head, tokens without a head, the end
 LOOSE, ENDING, UNKNOWN = 2 * HEADS, 2 * HEADS + 1, 255
 BUCKETS = 1 << 12
 TEMPLATES = 4
 ROWS_EACH = 256  # weight rows that travel together
 END = np.uint64(0x5851F42D4C957F2D)
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 FREQUENT = 64  # of a block's tokens, those that can be the head of a text
 
 BLOCK_ROW = "kind int, block long, doc_id long, held_out boolean, n int, ids binary, place int, token long, head long"
@@ -241,14 +241,13 @@ def gradient_steps(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, r
     """One mini-batch: every weight row moves against the mean gradient of its tokens, by AdaGrad."""
     gradient = np.exp(log_probabilities(weights, bias, rows))
     gradient[np.arange(len(classes)), classes] -= 1
+    columns = np.ascontiguousarray(gradient.T, np.float64)
     for t in range(TEMPLATES):
-        order = np.argsort(rows[:, t], kind="stable")
-        sorted_rows = rows[order, t]
-        first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
-        own = sorted_rows[first]
-        step = np.add.reduceat(gradient[order], first, axis=0)
-        squares[own] += np.square(step).mean(1)
-        weights[own] -= rate * step / np.sqrt(squares[own] + 1e-3)[:, None]
+        own = rows[:, t] - t * BUCKETS
+        step = np.stack([np.bincount(own, column, BUCKETS) for column in columns], axis=1).astype(np.float32)
+        at = slice(t * BUCKETS, (t + 1) * BUCKETS)
+        squares[at] += np.einsum("ij,ij->i", step, step) / CLASSES
+        weights[at] -= step * (rate / np.sqrt(squares[at] + 1e-3))[:, None]
 
 
 def _batches(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
