@@ -6,6 +6,7 @@ may hold is fixed in size: a cut point, a model's coefficients, one row of stati
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -47,7 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="prefmine-")
     spark.sparkContext.setCheckpointDir(made)
@@ -67,16 +68,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/prefmine/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistributes rows by key if they come from fewer files than there are cores.
-
-    For work that costs far more per row than moving the row (parsing whole texts). Large inputs
-    have many files and row groups and are left where they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if 0 < len(df.inputFiles()) < cores else df
-
-
 # --------------------------------------------------------------------------- expressions
 
 
@@ -104,9 +95,9 @@ def hash_uniform(seed: int, *keys: Column | str) -> Column:
 
 
 def hash_long(seed: int, *keys: Column | str) -> Column:
-    """48-bit non-negative hash of the key columns."""
+    """48-bit non-negative hash of the key columns; a null counts as a value of its own."""
     text = F.concat_ws(
-        "|", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]
+        "|", F.lit(str(seed)), *[F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("\\N")) for k in keys]
     )
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
 

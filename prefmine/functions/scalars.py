@@ -45,8 +45,13 @@ def any_timestamp(column: Column | str) -> Column:
         F.try_to_timestamp(F.substring(c, 5, 40), F.lit("MMM dd HH:mm:ss Z yyyy")),
         F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ssZ")),
     )
-    in_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), zoned.cast("timestamp_ntz"))
-    return F.coalesce(in_utc, c.try_cast("timestamp_ntz"))
+    return F.coalesce(utc_wall_clock(zoned), c.try_cast("timestamp_ntz"))
+
+
+def utc_wall_clock(instant: Column) -> Column:
+    """Wall-clock time in UTC of an instant, whatever the session's zone and its clock changes."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
 def flag(column: str) -> Column:
@@ -113,13 +118,17 @@ def edge_weights(rating: str, votes: str, tokens: str) -> dict[str, Column]:
 
 
 def vote_weight(df: DataFrame, genre: str, votes: str) -> DataFrame:
-    """Adds ``vote_cap`` (p99 of the genre, 1 if that is 0) and ``vote_weight`` = log1p of capped votes."""
-    caps = value_percentiles(df, [genre], votes, {"__p99": 0.99}).select(
+    """Adds ``vote_cap`` (p99 of the genre, 1 if that is 0) and ``vote_weight`` = log1p of capped votes.
+
+    Votes that are missing, negative or no finite number count as 0, for the cap as for the weight.
+    """
+    count = F.col(votes).cast("double")
+    counted = df.withColumn("__votes", F.when((count > 0) & (count < float("inf")), count).otherwise(0.0))
+    caps = value_percentiles(counted, [genre], "__votes", {"__p99": 0.99}).select(
         genre, F.when(F.col("__p99") == 0, 1.0).otherwise(F.col("__p99")).alias("vote_cap")
     )
-    return null_safe_join(df, caps, [genre]).withColumn(
-        "vote_weight", F.log1p(F.least(F.col(votes).cast("double"), F.col("vote_cap")))
-    )
+    weighted = null_safe_join(counted, caps, [genre]).withColumn("vote_weight", F.log1p(F.least("__votes", "vote_cap")))
+    return weighted.drop("__votes")
 
 
 def stabilise(df: DataFrame, weight: str, cap_quantiles) -> DataFrame:

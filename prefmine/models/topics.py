@@ -19,9 +19,10 @@ class Topics:
 
     def top_terms(self, n: int = 10) -> DataFrame:
         """(topic, rank, term, weight) of the ``n`` heaviest terms per topic."""
-        words = F.array(*[F.lit(w) for w in self.vectorizer.vocabulary])
+        terms = self.docs.sparkSession.createDataFrame(list(enumerate(self.vectorizer.vocabulary)), "at int, term string")
         raw = self.model.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
-        return raw.select("topic", "rank", F.get(words, F.col("t.termIndices")).alias("term"), F.col("t.termWeights").alias("weight"))
+        named = raw.join(terms, F.col("t.termIndices") == F.col("at"))
+        return named.select("topic", "rank", "term", F.col("t.termWeights").alias("weight"))
 
     def vectors(self, key: list[str]) -> DataFrame:
         return self.model.transform(self.docs).select(*key, vector_to_array("topicDistribution").alias("vec"))

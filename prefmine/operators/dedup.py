@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefmine.core import null_safe_join, spread
+from prefmine.core import null_safe_join
 
 
 def previous_in_order(df: DataFrame, group: list[str], bucket: Column, order: list[str], take: dict[str, str]) -> DataFrame:
@@ -38,7 +38,7 @@ def simhash(df: DataFrame, key: str, text: Column, min_chars: int = 20) -> DataF
     """
     clean = F.trim(F.regexp_replace(F.lower(F.trim("__text")), r"\s+", " "))
     words = F.when(F.length(clean) >= min_chars, F.split(clean, " ")).otherwise(F.array().cast("array<string>"))
-    texts = spread(df.select(key, text.alias("__text")), key)
+    texts = df.select(key, text.alias("__text"))
     rows = texts.select(key, F.explode_outer(words).alias("__w")).withColumn("__md5", F.md5("__w"))
 
     def little_endian(first: int) -> Column:

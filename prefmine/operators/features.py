@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefmine.core import bucketed_rank, cut_lineage, spread
+from prefmine.core import bucketed_rank, cut_lineage
 from prefmine.functions.scalars import collapse_rare
 from prefmine.functions.text import word_tokens
 from prefmine.models.linalg import sum_vectors, unit
@@ -32,7 +32,7 @@ def term_counts(df: DataFrame, item: str, text: str, bigrams: bool = True, order
     first and last word of each text. Exploding the one-element array keeps the word list as a
     value, so that it is computed once per row however often it is used.
     """
-    texts = spread(df.filter(F.col(text).isNotNull()).select(item, *(order or []), text), item, *(order or []))
+    texts = df.filter(F.col(text).isNotNull()).select(item, *(order or []), text)
     rows = texts.select(item, *(order or []), F.explode(F.array(word_tokens(text))).alias("__t"))
     rows = rows.filter(F.size("__t") > 0)
     terms = F.col("__t")

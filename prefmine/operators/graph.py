@@ -6,8 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prefmine.core import cut_lineage, global_position, ratio
+from prefmine.sources.schemas import timestamp_of
 
 
 def core_edges(df: DataFrame, user: str, item: str, k_user: int, k_item: int, max_rounds: int | None = None):
@@ -89,7 +91,8 @@ def temporal_split(df: DataFrame, share: float, order: list[str], out: str = "sp
     if cut_day is None:
         return df.withColumn(out, F.lit("train"))
     late = F.lit("9999-12-31 00:00:00").cast("timestamp_ntz")
-    columns = [F.coalesce(F.col(order[0]).cast("timestamp_ntz"), late), *[F.col(c) for c in order[1:]]]
+    first = timestamp_of(df, order[0]) if isinstance(df.schema[order[0]].dataType, T.TimestampType) else F.col(order[0]).cast("timestamp_ntz")
+    columns = [F.coalesce(first, late), *[F.col(c) for c in order[1:]]]
     boundary = df.filter(day == F.lit(cut_day)).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)])
     names = [f"c{i}" for i in range(len(columns))]
     placed = global_position(boundary, [F.col(c) for c in names], "__pos")

@@ -79,12 +79,11 @@ def first_attribute(df: DataFrame, attributes: DataFrame, key: str, order: list[
     return df.join(top_per_key(attributes, [key], order), key, "left")
 
 
-def shared_users_by_pair(df: DataFrame, user: str, label: str, max_labels: int = 1000) -> DataFrame:
+def shared_users_by_pair(df: DataFrame, user: str, label: str) -> DataFrame:
     """Users in common for every pair of labels.
 
     Users with the same set of labels are counted first, so pairs are formed once per distinct
-    set and not once per user. Labels are a closed list (genres); more than ``max_labels`` in one
-    set is refused rather than expanded.
+    set and not once per user. The pairs of a set are emitted label by label, never held together.
     """
     sets = (
         df.filter(F.col(label).isNotNull() & F.col(user).isNotNull())
@@ -93,13 +92,7 @@ def shared_users_by_pair(df: DataFrame, user: str, label: str, max_labels: int =
         .groupBy("__labels")
         .agg(F.count(F.lit(1)).alias("__users"))
     )
-    checked = sets.withColumn(
-        "__labels",
-        F.when(F.size("__labels") <= max_labels, F.col("__labels")).otherwise(
-            F.raise_error(F.lit(f"more than {max_labels} labels for one user"))
-        ),
-    )
-    first = checked.select("__users", "__labels", F.posexplode("__labels").alias("__at", "label_a"))
+    first = sets.select("__users", "__labels", F.posexplode("__labels").alias("__at", "label_a"))
     pairs = first.select(
         "__users", "label_a", F.explode(F.slice("__labels", F.col("__at") + 2, F.size("__labels"))).alias("label_b")
     )

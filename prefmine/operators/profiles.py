@@ -254,12 +254,10 @@ def top_items(df: DataFrame, item: str, attributes: list[str], rating: str, n: i
     )
 
 
-def popular_items(df: DataFrame, item: str, rating: str, min_reviews: int = 50, n: int = 5000) -> DataFrame:
-    """Items with enough reviews and the spread of their ratings, the ``n`` most reviewed."""
-    return (
-        entity_ratings(df, item, rating).filter(F.col("n_reviews") >= min_reviews)
-        .orderBy(F.desc("n_reviews"), F.asc(item)).limit(n)
-    )
+def popular_items(df: DataFrame, item: str, rating: str, min_reviews: int = 50, n: int | None = None) -> DataFrame:
+    """Items with enough reviews and the spread of their ratings; with ``n`` only the ``n`` most reviewed."""
+    items = entity_ratings(df, item, rating).filter(F.col("n_reviews") >= min_reviews)
+    return items if n is None else items.orderBy(F.desc("n_reviews"), F.asc(item)).limit(n)
 
 
 def power_user_share(df: DataFrame, user: str, p: float = 0.99) -> DataFrame:
@@ -373,10 +371,13 @@ def mean_and_std(df: DataFrame, rating: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(rating).alias("mean"), F.stddev_samp(rating).alias("std"), rows().alias("n"))
 
 
-def equal_width_histogram(df: DataFrame, value: str, low: float, high: float, bins: int, keys: list[str] | None = None) -> DataFrame:
-    """Counts per equal-width bucket (1-based; the last bucket is closed), optionally by further keys."""
+def equal_width_histogram(df: DataFrame, value: str, low: float, high: float, bins: int, keys: list[str] | None = None, open_end: bool = False) -> DataFrame:
+    """Counts per equal-width bucket (1-based; the last bucket is closed), optionally by further keys.
+
+    With ``open_end`` values above ``high`` are counted in the last bucket; else they are left out.
+    """
     bucket = F.least(F.width_bucket(F.col(value).cast("double"), F.lit(float(low)), F.lit(float(high)), F.lit(bins)), F.lit(bins))
-    inside = df.filter(F.col(value).between(low, high))
+    inside = df.filter(F.col(value) >= low if open_end else F.col(value).between(low, high))
     return inside.groupBy(*(keys or []), bucket.alias("bucket")).agg(rows().alias("n"))
 
 

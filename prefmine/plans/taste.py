@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefmine.core import cut_lineage, spread
+from prefmine.core import cut_lineage
 from prefmine.functions.text import topic_tokens
 from prefmine.models.linalg import sum_vectors
 from prefmine.operators.sets import first_per_key
 
 # English stop words of more than two letters (shorter words are dropped anyway).
 STOP_WORDS = """
-all and any are because been before being below between both but can couldn did didn does doesn doing don down during each
-few for from further had hadn has hasn have haven having her here hers herself him himself his how into isn its itself just
-mightn more most mustn myself needn nor not now off once only other our ours ourselves out over own same shan she should
-shouldn some such than that the their theirs them themselves then there these they this those through too under until very
-was wasn were weren what when where which while who whom why will with won wouldn you your yours yourself yourselves about
-above after again against ain aren
+about above after again against ain all and any are aren because been before being below between both but can couldn did didn
+does doesn doing don down during each few for from further had hadn has hasn have haven having her here hers herself him
+himself his how into isn its itself just mightn more most mustn myself needn nor not now off once only other our ours
+ourselves out over own same shan she should shouldn some such than that the their theirs them themselves then there these
+they this those through too under until very was wasn were weren what when where which while who whom why will with won
+wouldn you your yours yourself yourselves
 """.split()
 
 
 def document_tokens(df: DataFrame, key: list[str], text: str, min_tokens: int = 5) -> DataFrame:
     """Topic tokens per document, documents with too few left out. The list is computed once per row."""
-    texts = spread(df.filter(F.col(text).isNotNull()).select(*key, text), *key)
+    texts = df.filter(F.col(text).isNotNull()).select(*key, text)
     rows = texts.select(*key, F.explode(F.array(topic_tokens(text, STOP_WORDS))).alias("tokens"))
     return rows.filter(F.size("tokens") >= min_tokens)
 

@@ -265,11 +265,11 @@ SELECT item_id, count(*) AS n_reviews, ROUND(avg(rating), 6) AS avg_rating, ROUN
 FROM interactions GROUP BY item_id HAVING count(*) >= 20 ORDER BY n_reviews DESC, item_id LIMIT 5000
 """)
 def popular_items(spark, d):
-    return rounded(P.popular_items(interactions(spark, d), "item_id", "rating", 20), "avg_rating", "rating_std")
+    return rounded(P.popular_items(interactions(spark, d), "item_id", "rating", 20, n=5000), "avg_rating", "rating_std")
 
 
 @query("d23_popularity_correlation", """
-, i AS (SELECT item_id, count(*) AS n, avg(rating) AS m FROM interactions GROUP BY item_id HAVING count(*) >= 20 ORDER BY n DESC, item_id LIMIT 5000)
+, i AS (SELECT item_id, count(*) AS n, avg(rating) AS m FROM interactions GROUP BY item_id HAVING count(*) >= 20)
 SELECT ROUND(corr(n, m), 6) AS r, count(*) AS items FROM i
 """)
 def popularity_correlation(spark, d):
@@ -278,7 +278,7 @@ def popularity_correlation(spark, d):
 
 
 @query("d23_popularity_quartiles", """
-, i AS (SELECT item_id, count(*) AS n, avg(rating) AS m FROM interactions GROUP BY item_id HAVING count(*) >= 20 ORDER BY n DESC, item_id LIMIT 5000),
+, i AS (SELECT item_id, count(*) AS n, avg(rating) AS m FROM interactions GROUP BY item_id HAVING count(*) >= 20),
 q AS (SELECT quantile_cont(n, 0.25) AS a, quantile_cont(n, 0.5) AS b, quantile_cont(n, 0.75) AS c FROM i)
 SELECT CASE WHEN n <= a THEN 'Q1 (least)' WHEN n <= b THEN 'Q2' WHEN n <= c THEN 'Q3' ELSE 'Q4 (most)' END AS tier,
        ROUND(avg(m), 6) AS mean, ROUND(stddev_samp(m), 6) AS std, count(*) AS n FROM i, q GROUP BY 1
@@ -300,14 +300,14 @@ def power_users(spark, d):
 
 _LENGTH = """
 , w AS (SELECT *, length(review_text) AS c, CAST(len(string_split(trim(regexp_replace(review_text, '\\s+', ' ', 'g')), ' ')) AS INT) AS k, year(ts)::INT AS yr
-        FROM reviews WHERE length(trim(review_text)) BETWEEN 20 AND 10000)
+        FROM reviews WHERE length(trim(review_text)) > 0)
 SELECT {key}, count(*) AS reviews, ROUND(median(c), 6) AS median_chars, ROUND(avg(c), 6) AS mean_chars, ROUND(quantile_cont(c, 0.9), 6) AS p90_chars,
        ROUND(median(k), 6) AS median_words, ROUND(avg(k), 6) AS mean_words, ROUND(quantile_cont(k, 0.9), 6) AS p90_words FROM w GROUP BY 1
 """
 
 
 def _lengths(spark, d, key):
-    rows = reviews(spark, d).filter(F.length(F.trim("review_text")).between(20, 10000)).select(
+    rows = reviews(spark, d).filter(F.length(F.trim("review_text")) > 0).select(
         "rating", F.year("ts").alias("yr"), F.length("review_text").alias("c"), word_count("review_text").alias("k")
     )
     out = P.length_by(rows, [key], "c", "k")
@@ -428,7 +428,7 @@ def box_numbers(spark, d):
 
 
 @query("d36_rating_length_grid", """
-SELECT rating, least(floor(n_chars / 500.0) + 1, 20)::BIGINT AS bucket, count(*) AS n FROM reviews WHERE n_chars BETWEEN 0 AND 10000 GROUP BY 1, 2
+SELECT rating, least(floor(n_chars / 500.0) + 1, 20)::BIGINT AS bucket, count(*) AS n FROM reviews WHERE n_chars >= 0 GROUP BY 1, 2
 """, "reviews")
 def rating_length_grid(spark, d):
-    return P.equal_width_histogram(reviews(spark, d), "n_chars", 0, 10000, 20, ["rating"])
+    return P.equal_width_histogram(reviews(spark, d), "n_chars", 0, 10000, 20, ["rating"], open_end=True)

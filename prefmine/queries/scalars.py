@@ -166,6 +166,19 @@ def vote_weight(spark, d):
     return rows.select("order_key", "line_no", "item_id", "n_tokens", rnd("vote_cap").alias("vote_cap"), rnd("vote_weight").alias("vote_weight"))
 
 
+@query("b14_vote_weight_unclean", """
+, v AS (SELECT *, CASE WHEN line_no % 3 = 0 THEN NULL WHEN line_no % 5 = 0 THEN -total_votes ELSE total_votes END AS votes FROM interactions),
+u AS (SELECT *, greatest(coalesce(votes, 0), 0) AS counted FROM v),
+c AS (SELECT genre, CASE WHEN quantile_cont(counted, 0.99) = 0 THEN 1.0 ELSE quantile_cont(counted, 0.99) END AS vote_cap FROM u GROUP BY genre)
+SELECT order_key, line_no, item_id, n_tokens, votes, ROUND(vote_cap, 6) AS vote_cap, ROUND(ln(1 + least(counted, vote_cap)), 6) AS vote_weight
+FROM u JOIN c USING (genre)
+""")
+def vote_weight_unclean(spark, d):
+    votes = F.when(F.col("line_no") % 3 == 0, None).when(F.col("line_no") % 5 == 0, -F.col("total_votes")).otherwise(F.col("total_votes"))
+    rows = S.vote_weight(interactions(spark, d).withColumn("votes", votes), "genre", "votes")
+    return rows.select("order_key", "line_no", "item_id", "n_tokens", "votes", rnd("vote_cap").alias("vote_cap"), rnd("vote_weight").alias("vote_weight"))
+
+
 @query("b15_edge_weights", """
 SELECT order_key, line_no, item_id, n_tokens, ROUND(rating/5.0*ln(1+total_votes), 6) AS f1_rating_votes, ROUND(rating/5.0, 6) AS f2_rating_only,
        ROUND(rating/5.0*ln(1+n_tokens), 6) AS f3_rating_length, ROUND(rating/5.0*ln(1+total_votes)*ln(1+n_tokens), 6) AS f4_rating_votes_length,

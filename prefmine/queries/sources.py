@@ -150,6 +150,14 @@ def inventory(spark, d):
     )
 
 
+@query("a10_inventory_by_brand", "SELECT brand, count(*) AS rows, TRUE AS readable FROM interactions GROUP BY 1")
+def inventory_by_brand(spark, d):
+    path = scratch_path(spark, "inventory")
+    K.write_partitioned(interactions(spark, d).select(*KEY, "brand"), path, "brand")
+    brand = F.url_decode(F.regexp_extract("path", r"brand=([^/]+)", 1))
+    return R.inventory(spark, path).groupBy(brand.alias("brand")).agg(F.sum("rows").alias("rows"), F.bool_and(F.col("readable")).alias("readable"))
+
+
 @query("a11_partitioned_sink", "SELECT brand, count(*) AS n, CAST(sum(rating) AS BIGINT) AS total FROM interactions GROUP BY brand")
 def partitioned_sink(spark, d):
     path = scratch_path(spark, "partitioned")

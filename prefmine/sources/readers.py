@@ -24,12 +24,16 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType = RETAIL_REVIE
     )
 
 
-def load_data(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """Reviews by format name."""
+def load_data(spark: SparkSession, path: str, format: str = "parquet", multi_line: bool = True) -> DataFrame:
+    """Reviews by format name.
+
+    A TSV file whose quoted fields hold no newlines can be read in splits with ``multi_line=False``;
+    otherwise each file is one task. ``read_tsv`` keeps the text of malformed rows, which are dropped here.
+    """
     if format == "parquet":
         return spark.read.parquet(path)
     if format == "tsv":
-        return read_tsv(spark, path).drop("_corrupt_record")
+        return read_tsv(spark, path, multi_line=multi_line).drop("_corrupt_record")
     raise ValueError(f"unknown format {format!r}: use 'parquet' or 'tsv'")
 
 
@@ -101,9 +105,11 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
         .load(path).select("path", F.col("length").alias("bytes"))
     )
+    # the metadata's path is URL-encoded, that of binary files isn't; a plus sign stands for itself in either
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     readable = (
         spark.read.schema("unused string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("ignoreCorruptFiles", "true")
-        .parquet(path).select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
+        .parquet(path).select(decoded.alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
     )
     norm = lambda c: F.regexp_replace(c, r"^file:/+", "file:/")
     return (

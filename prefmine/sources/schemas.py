@@ -51,10 +51,12 @@ def require(df: DataFrame, columns: set[str]) -> DataFrame:
 
 def timestamp_of(df: DataFrame, column: str):
     """Timestamp expression that fits the column's type: a cast, or the textual forms."""
-    from prefmine.functions.scalars import any_timestamp
+    from prefmine.functions.scalars import any_timestamp, utc_wall_clock
 
     kind = df.schema[column].dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+    if isinstance(kind, T.TimestampType):
+        return utc_wall_clock(F.col(column))
+    if isinstance(kind, ( T.TimestampNTZType, T.DateType)):
         return F.col(column).cast("timestamp_ntz")
     return any_timestamp(column)
 

@@ -48,7 +48,7 @@ def compare(spark, sf_dir: str, fn, sql: str | None, con=None) -> tuple[bool, st
     df = fn(spark, sf_dir)
     rows = df.collect()
     if sql is None:
-        return True, f"rows={len(rows)} (no SQL)"
+        return False, f"rows={len(rows)}, no SQL to compare with"
     con = con or connect(sf_dir)
     cur = con.execute(sql)
     columns = [d[0] for d in cur.description]

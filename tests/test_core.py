@@ -202,3 +202,41 @@ def test_sparsity_flags(spark):
 
     df = spark.createDataFrame([("x", 0.0062, 0.7, 0.9), ("y", 0.0001, 0.7, 0.1), ("z", 0.1, 0.1, 0.1)], "c string, density double, gini double, cold_ratio double")
     assert {r["c"]: r["type_flag"] for r in sparsity_flags(df).collect()} == {"x": "BC", "y": "AB", "z": "none"}
+
+
+def test_instants_keep_their_hour_through_a_clock_change(spark):
+    from prefmine.functions.scalars import any_timestamp
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        texts = ["2015-11-01 05:30:00+0000", "2015-11-01 06:30:00+0000", "Sun Nov 01 01:30:00 -0500 2015", "1960-03-01 00:00:00+0000"]
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        got = [r["p"] for r in df.select(F.date_format(any_timestamp("t"), "yyyy-MM-dd HH:mm:ss").alias("p")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == ["2015-11-01 05:30:00", "2015-11-01 06:30:00", "2015-11-01 06:30:00", "1960-03-01 00:00:00"]
+
+
+def test_null_keys_draw_by_place(spark):
+    df = spark.createDataFrame([(None, "a"), ("a", None)], "x string, y string")
+    assert df.select(K.hash_long(1, "x", "y")).distinct().count() == 2
+
+
+def test_pairs_of_a_user_with_many_labels(spark):
+    df = spark.range(2000).select(F.lit(1).alias("u"), F.col("id").cast("string").alias("label"))
+    assert J.shared_users_by_pair(df, "u", "label").count() == 2000 * 1999 // 2
+
+
+def test_simplex():
+    from prefmine.plans.blending import simplex
+
+    points = simplex(3, 0.05)
+    assert len(points) == len(set(points)) == 231 and all(abs(sum(p) - 1) < 1e-9 and min(p) >= 0 for p in points)
+
+
+def test_histogram_with_an_open_end(spark):
+    from prefmine.operators.profiles import equal_width_histogram
+
+    df = spark.createDataFrame([(5,), (99,), (100_000,)], "v int")
+    assert {r["bucket"]: r["n"] for r in equal_width_histogram(df, "v", 0, 100, 10, open_end=True).collect()} == {1: 1, 10: 2}
