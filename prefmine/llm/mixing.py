@@ -179,7 +179,7 @@ def targets_of(present: np.ndarray, names: tuple[str, ...], weights: dict[str, f
 
 def fit_rates(
     narrow: DataFrame, names: tuple[str, ...], weights: dict[str, float], tokens: str = "n_tokens", posterior: str = "posterior",
-    anchor: str | None = None, passes: int = 15, tolerance: float = 1e-6,
+    anchor: str | None = None, passes: int = 30, tolerance: float = 1e-6,
 ) -> list[np.ndarray]:
     """Steps whose fold gives every document's rate. ``narrow`` is read once a pass and should be a written table."""
     k = len(names)
