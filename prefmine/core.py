@@ -63,6 +63,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as a Parquet table in the shared folder and reads it back.
+
+    Like :func:`cut_lineage` it survives lost executors, but later steps read only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for an intermediate table."""
     return f"{shared_dir(spark).rstrip('/')}/prefmine/{name}-{uuid.uuid4().hex}"

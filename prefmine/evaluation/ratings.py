@@ -58,3 +58,8 @@ def category_improvement(df: DataFrame, category: str, actual: str, before: str,
         F.count(F.lit(1)).alias("n"), score_columns(actual, before, "_before")[0], score_columns(actual, after, "_after")[0]
     ).filter(F.col("n") >= min_rows)
     return per.withColumn("improvement", F.col("rmse_before") - F.col("rmse_after")).join(labels, category)
+
+
+def improvement_by_label(per: DataFrame, label: str) -> DataFrame:
+    """Mean improvement of the categories of each label, each category counting once."""
+    return per.groupBy(label).agg(F.count(F.lit(1)).alias("categories"), F.avg("improvement").alias("mean_improvement"))

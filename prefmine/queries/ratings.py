@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from prefmine.core import rnd
+from prefmine.core import rnd, stored
 from prefmine.datasets import KEY, ORDER, interactions
 from prefmine.evaluation import ratings as E
 from prefmine.models import means as M
@@ -34,7 +34,8 @@ RMSE = "count(*) AS n, ROUND(sqrt(avg((rating - pred) * (rating - pred))), 6) AS
 
 
 def raw_split(spark, d, share):
-    return R.sides(H.temporal_split(interactions(spark, d), share, ORDER), *UI)
+    rows = stored(interactions(spark, d), "interactions")
+    return R.sides(stored(H.temporal_split(rows, share, ORDER), "split"), *UI)
 
 
 @query("j01_shrunk_means", means_sql("interactions") + """
@@ -116,6 +117,24 @@ def category_improvement(spark, d):
     return rounded(out, "rmse_before", "rmse_after", "improvement")
 
 
+@query("k05_improvement_by_flag", split_sql("interactions", 0.8) + SIDES + means_sql() + PRED + """
+, f_i AS (SELECT brand, item_id, count(*) AS x FROM tr GROUP BY 1, 2), f_r AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY x, item_id) AS k FROM f_i),
+f_g AS (SELECT brand, 2 * sum(k * x) / (count(*) * sum(x)) - (count(*) + 1) / count(*) AS gini FROM f_r GROUP BY brand),
+f_u AS (SELECT brand, user_id, count(*) AS n FROM tr GROUP BY 1, 2), f_c AS (SELECT brand, avg(CASE WHEN n < 5 THEN 1.0 ELSE 0 END) AS cold_ratio FROM f_u GROUP BY brand),
+f_b AS (SELECT brand, count(*) / (count(DISTINCT user_id) * count(DISTINCT item_id)) AS density FROM tr GROUP BY brand),
+l AS (SELECT brand, COALESCE(NULLIF((CASE WHEN density < .026 THEN 'A' ELSE '' END) || (CASE WHEN gini > .10 THEN 'B' ELSE '' END) || (CASE WHEN cold_ratio > .958 THEN 'C' ELSE '' END), ''), 'none') AS type_flag
+      FROM f_b JOIN f_g USING (brand) JOIN f_c USING (brand)),
+c AS (SELECT brand, sqrt(avg(power(rating - (SELECT g FROM g), 2))) AS b, sqrt(avg(power(rating - pred, 2))) AS a FROM p GROUP BY brand HAVING count(*) >= 5)
+SELECT type_flag, count(*) AS categories, ROUND(avg(b - a), 6) + 0.0 AS mean_improvement FROM c JOIN l USING (brand) GROUP BY 1
+""")
+def improvement_by_flag(spark, d):
+    train, test = raw_split(spark, d, 0.8)
+    rows = M.mean_baseline(train, test, *UI, "rating").withColumn("global", M.global_mean(train, "rating"))
+    flags = P.sparsity_flags(P.sparsity_metrics(train, "brand", *UI), 0.026, 0.10, 0.958).select("brand", "type_flag")
+    per = E.category_improvement(rows, "brand", "rating", "global", "pred", flags)
+    return rounded(E.improvement_by_label(per, "type_flag"), "mean_improvement")
+
+
 # --------------------------------------------------------------------------- content, neighbours, factors
 
 from prefmine.core import cut_lineage  # noqa: E402
