@@ -7,7 +7,7 @@ from prefmine.datasets import interactions, table
 from prefmine.evaluation import ranking as R
 from prefmine.functions import scalars as S
 from prefmine.models import factors as Z
-from prefmine.models.linalg import cosine
+from prefmine.models.linalg import cosine, dot
 from prefmine.operators import sampling as G
 from prefmine.operators.graph import dense_index
 from prefmine.queries.profiles import rounded
@@ -24,7 +24,7 @@ PROTOCOL = SIDES + negatives_sql("tr", f"SELECT DISTINCT user_id, {NEG} AS want
 , cand AS (SELECT user_id, item_id, 1 AS positive FROM pos UNION ALL SELECT user_id, item_id, 0 FROM neg),
 sc AS (SELECT c.*, list_dot_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS als, CASE WHEN c.item_id % 7 = 0 THEN NULL ELSE
   list_dot_product(u.embedding[1:32]::DOUBLE[], i.embedding[1:32]::DOUBLE[]) / (sqrt(list_dot_product(u.embedding[1:32]::DOUBLE[], u.embedding[1:32]::DOUBLE[])) * sqrt(list_dot_product(i.embedding[1:32]::DOUBLE[], i.embedding[1:32]::DOUBLE[]))) END AS taste
-  FROM cand c JOIN embeddings u ON u.vec_id = c.user_id % 500 JOIN embeddings i ON i.vec_id = c.item_id),
+  FROM cand c JOIN embeddings u ON u.vec_id = c.user_id % (SELECT count(*) FROM embeddings) JOIN embeddings i ON i.vec_id = c.item_id),
 bl AS (SELECT *, max(als) OVER (PARTITION BY user_id) AS mx, avg(taste) OVER (PARTITION BY user_id) AS mt FROM sc),
 fin AS (SELECT user_id, item_id, positive, alpha::DOUBLE AS alpha, CASE WHEN alpha >= 1 OR mt IS NULL THEN als ELSE alpha * als / (mx + 1e-9) + (1 - alpha) * COALESCE(taste, mt, 0) END AS f FROM bl, (SELECT unnest([1.0, 0.7, 0.5, 0.3]) AS alpha)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY alpha, user_id ORDER BY f DESC, positive DESC, item_id) AS r, sum(positive) OVER (PARTITION BY alpha, user_id) AS np FROM fin),
@@ -56,11 +56,13 @@ def protocol(spark, d):
 def fixed_scores(spark, d):
     """Candidates scored with embedding vectors as factors and their first half as taste."""
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    cand = protocol(spark, d).withColumn("__uid", F.col("user_id") % 500)
-    rows = Z.score_pairs(cand, e.withColumnRenamed("vec_id", "__uid"), e.withColumnRenamed("vec_id", "item_id"), "__uid", "item_id", "als")
-    half = e.select("vec_id", F.slice("vec", 1, 32).alias("half"))
-    rows = rows.join(half.select(F.col("vec_id").alias("item_id"), F.col("half").alias("__i")), "item_id").join(half.select(F.col("vec_id").alias("__uid"), F.col("half").alias("__u")), "__uid")
-    return rows.select(*UI, "positive", "als", F.when(F.col("item_id") % 7 != 0, cosine(F.col("__u"), F.col("__i"))).alias("taste"))
+    n = e.agg(F.count(F.lit(1))).scalar()
+    cand = protocol(spark, d).withColumn("__uid", F.col("user_id") % n)
+    # a side's whole vector travels once, and both scores are numbers before anything else is shuffled
+    rows = cand.join(e.select(F.col("vec_id").alias("item_id"), F.col("vec").alias("__i")), "item_id").join(e.select(F.col("vec_id").alias("__uid"), F.col("vec").alias("__u")), "__uid")
+    half = lambda c: F.slice(c, 1, 32)
+    taste = F.when(F.col("item_id") % 7 != 0, cosine(half("__u"), half("__i"))).alias("taste")
+    return rows.select(*UI, "positive", dot(F.col("__u"), F.col("__i")).alias("als"), taste)
 
 
 def blended(spark, d, alphas=(1.0, 0.7, 0.5, 0.3)):
