@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +15,17 @@ from pyspark.sql import types as T
 from prefmine.core import scratch_path
 
 
+STEP = 1000
+
+
+def release_memory() -> None:
+    """Gives freed memory back: Python workers live on and share an executor's memory with later stages."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -47,10 +61,13 @@ def with_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Ar
     schema = T.StructType(kept + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = make(batch)
-            columns = [batch.column(f.name) for f in kept] + [new[n] for n in names]
-            yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + names)
+        for whole in batches:
+            for at in range(0, len(whole), STEP):  # small steps keep what a step makes small
+                batch = whole.slice(at, STEP)
+                new = make(batch)
+                columns = [batch.column(f.name) for f in kept] + [new[n] for n in names]
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in kept] + names)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
