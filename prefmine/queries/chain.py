@@ -31,24 +31,29 @@ def seen_items(spark, d):
     return C.seen_items(stages(spark, d), *UI)
 
 
-# Factor tables from the embeddings: users take vectors 0.., items 200.., stages 400..; element 1 is the bias.
+# Factor tables from the embeddings: users take all vectors, items 200.., stages 400..; element 1 is the bias.
 SCORED = """
 , pr AS (SELECT DISTINCT user_id, item_id, stage FROM stages),
 dl AS (SELECT p.user_id, p.item_id, p.stage, l, u.embedding[1]::DOUBLE + i.embedding[1]::DOUBLE + 0.1 AS bias,
   (SELECT sum(u.embedding[k]::DOUBLE * i.embedding[k]::DOUBLE * s.embedding[k]::DOUBLE) FROM range(1, 65) t(k)) * 2.0 AS x
-  FROM pr p JOIN embeddings u ON u.vec_id = p.user_id % 200 JOIN embeddings i ON i.vec_id = 200 + p.item_id, (SELECT unnest(range(4)) AS l) JOIN embeddings s ON s.vec_id = 400 + l),
+  FROM pr p JOIN embeddings u ON u.vec_id = p.user_id % (SELECT count(*) FROM embeddings) JOIN embeddings i ON i.vec_id = 200 + p.item_id, (SELECT unnest(range(4)) AS l) JOIN embeddings s ON s.vec_id = 400 + l),
 de AS (SELECT *, (greatest(x, 0) + ln(1 + exp(-abs(x)))) / 2.0 AS delta FROM dl),
 sx AS (SELECT *, bias + sum(delta) OVER (PARTITION BY user_id, item_id, stage ORDER BY l DESC) AS score FROM de)
 """
 
 
+def user_vector(vectors):
+    """A user's vector: the id modulo the number of vectors."""
+    return F.col("user_id") % vectors.agg(F.count(F.lit(1))).scalar()
+
+
 def scored_pairs(spark, d, pairs):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
     vectors = e.filter((F.col("vec_id") >= 400) & (F.col("vec_id") < 404)).orderBy("vec_id").collect()
     bias = F.get("vec", F.lit(0)).alias("bias")
-    users = e.filter("vec_id < 200").select(F.col("vec_id").alias("uid"), "vec", bias)
+    users = e.select(F.col("vec_id").alias("uid"), "vec", bias)
     items = e.filter("vec_id >= 200").select((F.col("vec_id") - 200).alias("item_id"), "vec", bias)
-    rows = pairs.withColumn("uid", F.col("user_id") % 200).withColumn("item_id", F.col("item_id").cast("bigint"))
+    rows = pairs.withColumn("uid", user_vector(e)).withColumn("item_id", F.col("item_id").cast("bigint"))
     return C.stage_scores(rows, users, items, [r["vec"] for r in vectors], "uid", "item_id", 0.1, 2.0).drop("uid")
 
 
@@ -82,22 +87,22 @@ def test_candidates(spark, d, held, test):
 
 @query("k08_auc", HOLDOUT + ", te AS (SELECT user_id, item_id FROM held WHERE split = 'test')" + negatives_sql("held", f"SELECT DISTINCT user_id, {NEG} AS want FROM te", "held", 21) + """
 , c AS (SELECT user_id, item_id, 1 AS positive FROM te UNION ALL SELECT user_id, item_id, 0 FROM neg),
-s AS (SELECT c.*, list_dot_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS s FROM c JOIN embeddings u ON u.vec_id = user_id % 200 JOIN embeddings i ON i.vec_id = 200 + c.item_id)
+s AS (SELECT c.*, list_dot_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS s FROM c JOIN embeddings u ON u.vec_id = user_id % (SELECT count(*) FROM embeddings) JOIN embeddings i ON i.vec_id = 200 + c.item_id)
 SELECT n.user_id, ROUND(avg(CASE WHEN p.s > n.s THEN 1.0 ELSE 0 END), 6) AS auc FROM s n JOIN s p ON n.user_id = p.user_id WHERE p.positive = 1 AND n.positive = 0 GROUP BY 1
 """, "stages")
 def auc(spark, d):
     from prefmine.models.factors import score_pairs
 
     held, test = holdout(spark, d)
-    cand = test_candidates(spark, d, held, test).withColumn("uid", F.col("user_id") % 200).withColumn("iid", F.col("item_id") + 200)
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    cand = test_candidates(spark, d, held, test).withColumn("uid", user_vector(e)).withColumn("iid", F.col("item_id") + 200)
     scored = score_pairs(cand, e.withColumnRenamed("vec_id", "uid"), e.withColumnRenamed("vec_id", "iid"), "uid", "iid", "s")
     return rounded(R.pairwise_auc(scored, "user_id", "s", "positive"), "auc")
 
 
 @query("k11_stage_evaluation", HOLDOUT + ", te AS (SELECT user_id, item_id, stage FROM held WHERE split = 'test')" + negatives_sql("held", f"SELECT DISTINCT user_id, {NEG} AS want FROM te", "held", 21) + """
 , c AS (SELECT user_id, item_id, 1 AS positive FROM te UNION ALL SELECT user_id, item_id, 0 FROM neg),
-s AS (SELECT c.*, list_dot_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS s FROM c JOIN embeddings u ON u.vec_id = user_id % 200 JOIN embeddings i ON i.vec_id = 200 + c.item_id),
+s AS (SELECT c.*, list_dot_product(u.embedding::DOUBLE[], i.embedding::DOUBLE[]) AS s FROM c JOIN embeddings u ON u.vec_id = user_id % (SELECT count(*) FROM embeddings) JOIN embeddings i ON i.vec_id = 200 + c.item_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, positive DESC, item_id) AS r FROM s),
 a AS (SELECT user_id, stage, (SELECT avg(CASE WHEN p.s > n.s THEN 1.0 ELSE 0 END) FROM s n, s p WHERE n.user_id = te.user_id AND p.user_id = te.user_id AND p.positive = 1 AND n.positive = 0) AS auc FROM te)
 SELECT stage, count(*) AS users, ROUND(avg(auc), 6) AS auc, ROUND(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 6) AS recall_5, ROUND(avg(CASE WHEN r <= 5 THEN 1 / log2(r + 1) ELSE 0 END), 6) AS ndcg_5
@@ -107,8 +112,8 @@ def stage_evaluation(spark, d):
     from prefmine.models.factors import score_pairs
 
     held, test = holdout(spark, d)
-    cand = test_candidates(spark, d, held, test).withColumn("uid", F.col("user_id") % 200).withColumn("iid", F.col("item_id") + 200)
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    cand = test_candidates(spark, d, held, test).withColumn("uid", user_vector(e)).withColumn("iid", F.col("item_id") + 200)
     scored = cut_lineage(score_pairs(cand, e.withColumnRenamed("vec_id", "uid"), e.withColumnRenamed("vec_id", "iid"), "uid", "iid", "s"))
     return rounded(R.stage_report(scored, test, "user_id", "item_id", "stage", "s", "positive", 5), "auc", "recall_5", "ndcg_5")
 
