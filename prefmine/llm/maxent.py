@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefmine.llm.tables import written
-from prefmine.llm.words import mix, slices, words_of
+from prefmine.llm.words import slices, words_of
 
 HEADS = 15
 CLASSES = 2 * HEADS + 2  # heads, groups of other tokens by head, tokens without a head, the end
@@ -48,7 +48,7 @@ BUCKETS = 1 << 12
 TEMPLATES = 4
 ROWS_EACH = 256  # weight rows that travel together
 END = np.uint64(0x5851F42D4C957F2D)
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 FREQUENT = 64  # of a block's tokens, those that can be the head of a text
 
 BLOCK_ROW = "kind int, block long, doc_id long, held_out boolean, n int, ids binary, place int, token long, head long"
@@ -177,7 +177,8 @@ def with_totals(rows: DataFrame) -> tuple[DataFrame, Totals]:
     once, twice = sum(r["n1"] for r in known), sum(r["n2"] for r in known)
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
     totals = Totals(int(tokens.sum()), int(distinct.sum()), discount, tokens, distinct)
-    return counted.select("block", "place", "token", "c", "class"), totals
+    short = F.col("token").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("short")  # all that the features need of it
+    return counted.select("block", "place", short, "c", "class"), totals
 
 
 def encoded(rows: DataFrame, entries: DataFrame, totals: Totals) -> DataFrame:
@@ -192,7 +193,7 @@ def encoded(rows: DataFrame, entries: DataFrame, totals: Totals) -> DataFrame:
         at = left["place"].to_numpy()
         c, kind, short = np.zeros(n, np.int64), np.zeros(n, np.uint8), np.zeros(n, np.uint16)
         c[at], kind[at] = left["c"].to_numpy(), left["class"].to_numpy().astype(np.uint8)
-        short[at] = (mix(left["token"].to_numpy().view(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+        short[at] = left["short"].to_numpy().astype(np.uint16)
         base = np.log10((c + 0.5) / norm)
         inside = np.where(single[kind], 0.0, np.log10(np.maximum(c - totals.discount, 1e-9) / sizes[kind]))
         out: dict[str, list] = {f.split()[0]: [] for f in TEXT_ROW.split(", ")}
