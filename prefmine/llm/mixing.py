@@ -9,7 +9,7 @@
    gradient of the squared error in the metric of the Gram matrix of the documents with a positive rate.
    A pass needs only the domains' totals, a vector and a matrix of the number of domains, so a
    document's rate is a fold over the passes' vectors: the narrow table of tokens and posteriors is
-   written once and only read. A step that doesn't lower the error is halved.
+   written once and only read. A step that doesn't lower the error is halved and turned to the plain gradient.
 3. ``copies`` rounds rates to whole numbers of copies by a hash of the id, so that the expected number is
    the rate; rates within ``margin`` of a whole number are rounded to it.
 
@@ -202,20 +202,20 @@ def fit_rates(
         return []
     scale = present[held].sum()
     steps: list[np.ndarray] = []
-    sums, length = present, 1.0
+    sums, length, ridge = present, 1.0, 1e-9
     for _ in range(passes):
         error = np.where(held, sums - wanted, 0.0)
         if np.abs(error).max() <= tolerance * scale:
             break
         part = gram[np.ix_(held, held)]
         step = np.zeros(k)
-        step[held] = length * np.linalg.solve(part + 1e-9 * scale * np.eye(held.sum()), error[held])
+        step[held] = length * np.linalg.solve(part + ridge * scale * np.eye(held.sum()), error[held])
         new, new_gram = totals([*steps, step])
         new_error = np.where(held, new - wanted, 0.0)
         if (new_error**2).sum() < (error**2).sum():
-            steps, sums, gram, length = [*steps, step], new, new_gram, 1.0
+            steps, sums, gram, length, ridge = [*steps, step], new, new_gram, 1.0, max(1e-9, ridge / 10)
         else:
-            length /= 2
+            length, ridge = length / 2, max(1e-4, ridge * 10)
     return steps
 
 
