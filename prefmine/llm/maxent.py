@@ -20,7 +20,7 @@ sent whole. Texts are then stored as class numbers and 16-bit token hashes. Trai
 training texts, a third of them in each round: every task starts from the round's weights and makes
 mini-batch gradient steps over its part; changes are averaged per weight row over the tasks that made
 any. The weights' size does not depend on the data (``TEMPLATES * BUCKETS`` rows of ``CLASSES`` floats,
-2 MB); they, the head words and totals per class are all that passes the driver.
+4 MB); they, the head words and totals per class are all that passes the driver.
 
 Null texts count as empty: their only token is the end. A null id counts as an empty text for the fold.
 Repeated rows are scored, and learned from, each. Without training texts all scores are those of a
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from prefmine.llm.tables import written
 from prefmine.llm.words import slices, words_of
 
-HEADS = 15
+HEADS = 31
 CLASSES = 2 * HEADS + 2  # heads, groups of other tokens by head, tokens without a head, the end
 LOOSE, ENDING, UNKNOWN = 2 * HEADS, 2 * HEADS + 1, 255
 BUCKETS = 1 << 12

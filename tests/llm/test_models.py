@@ -65,6 +65,14 @@ def test_gradient_steps_learn_a_sequence():
     assert np.exp(maxent.log_probabilities(weights, bias, rows)[np.arange(len(classes)), classes]).mean() > 0.8
 
 
+def test_thirty_frequent_words_are_each_predicted(spark):
+    """Words in a fixed order: a class of 15 words or more would cost half the tokens log10(15), 0.59 a token."""
+    rows = [(i, " ".join(f"w{(i + j) % 30}" for j in range(300))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    out = maxent.score_texts(df, F.col("doc_id") % 10 == 0).filter("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
+    assert out[0] / out[1] > -0.5
+
+
 def test_scores_of_odd_rows(odd, none):
     held = F.col("doc_id") == 9
     got = maxent.score_texts(odd, held).collect()
