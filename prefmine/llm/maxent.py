@@ -10,7 +10,7 @@ Tokens are lower-cased (A-Z) words and one end per text. The model is
   token, the previous two together (n-grams), the token before the previous one and the third before
   (skips), and a bias. Each template hashes into its own ``BUCKETS`` rows.
 - ``P(token | class)`` is the class's maximum-entropy distribution under its token counts, discounted
-  absolutely; the mass taken off is that of the unknown token. So the probabilities over all known tokens
+  absolutely, and does not depend on the history; the mass taken off is that of the unknown token. So the probabilities over all known tokens
   and the one unknown token sum to one, over the same events as the base score's.
 
 Texts are tokenised once, in blocks of at most ``BLOCK_BYTES``: a block's texts become places in the
