@@ -143,22 +143,22 @@ def _verified(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: f
 
 
 def block_links(
-    cell: np.ndarray, hub: int, minima: np.ndarray, hubs: np.ndarray, sets: list[np.ndarray], threshold: float, tolerance: float
+    cell: np.ndarray, low: int, high: int, hub: int, minima: np.ndarray, hubs: np.ndarray, sets: list[np.ndarray], threshold: float, tolerance: float
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs of a block: of texts in different cells, or of all texts if it has one cell.
+    """Linked pairs of the block of the cells ``low`` and ``high``: of a text of each, or of all texts if they are one
+    cell. A cell may be empty; the pairs within the other one are then left to that cell's own block.
 
     ``hubs`` has the hub of every text in every band, 0-based from the block's rows as unique numbers; -1
     where a text is alone in its bucket.
     """
     need = least_matches(threshold, tolerance)
-    first, second = np.unique(cell)[0], np.unique(cell)[-1]
-    left, right = np.flatnonzero(cell == first), np.flatnonzero(cell == second)
+    left, right = np.flatnonzero(cell == low), np.flatnonzero(cell == high)
     found_a, found_b = [], []
     width = max(1, (1 << 16) // max(1, len(right)))
     for i in range(0, len(left), width):
         rows = left[i : i + width]
         a, b = np.repeat(rows, len(right)), np.tile(right, len(rows))
-        if first == second:
+        if low == high:
             a, b = a[a < b], b[a < b]
         # the least hub they share must be this block's
         same = hubs[a] == hubs[b]
@@ -231,7 +231,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
         table = pa.Table.from_batches(list(batches))
         n = table.num_rows
         ids, cell = table["rep"].to_numpy(), table["cell"].to_numpy()
-        hub = int(table["hub"][0].as_py())
+        hub, low, high = (int(table[c][0].as_py()) for c in ("hub", "low", "high"))
         copies = table["copies"].to_numpy()
         hubs = np.full((n, BANDS), -1, np.int64)
         for i, found in enumerate(table["hubs"].to_pylist()):
@@ -239,7 +239,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
                 hubs[i, band] = h
         sets = [s for part in slices(table["text"]) for s in shingle_lists(part)]
         minima = min_hashes(sets)  # anew: cheaper than sending 512 bytes of them for each text
-        a, b = block_links(cell, hub, minima, hubs, sets, threshold, tolerance)
+        a, b = block_links(cell, low, high, hub, minima, hubs, sets, threshold, tolerance)
         release_memory()
         if not len(a):
             return

@@ -45,6 +45,16 @@ def test_a_hot_group_of_near_copies_and_a_shared_passage(spark):
     assert len(kept) == len(set(kept)) == len({c for c, _ in got.values()})
 
 
+def test_long_near_copies_are_linked_once(spark):
+    """Few long texts are dealt into several cells, some of which stay empty."""
+    words = [f"word{i}" for i in range(120_000)]  # 1.2 MB
+    rows = [(10 * i + j, " ".join([f"group{i}", *words[i:], *[f"own{j}"] * 3])) for i in range(4) for j in range(2)]
+    rows = [(i, t.replace("word", f"g{i // 10}w")) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in similar.classes(df).collect()}
+    assert got == {i: (i // 10 * 10, 1) for i, _ in rows}
+
+
 def test_pruning_rarely_drops_what_reaches_the_threshold():
     need = similar.least_matches(0.8, 1e-6)
     assert list(need) == sorted(need) and need[-1] < 0.8 * similar.VALUES
