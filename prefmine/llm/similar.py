@@ -143,13 +143,13 @@ def _verified(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: f
 
 
 def block_links(
-    cell: np.ndarray, low: int, high: int, hub: int, minima: np.ndarray, hubs: np.ndarray, sets: list[np.ndarray], threshold: float, tolerance: float
+    cell: np.ndarray, low: int, high: int, hub: int, minima: np.ndarray, hubs: np.ndarray, met: np.ndarray, sets: list[np.ndarray], threshold: float, tolerance: float
 ) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of the block of the cells ``low`` and ``high``: of a text of each, or of all texts if they are one
     cell. A cell may be empty; the pairs within the other one are then left to that cell's own block.
 
-    ``hubs`` has the hub of every text in every band, 0-based from the block's rows as unique numbers; -1
-    where a text is alone in its bucket.
+    ``hubs`` has the hub of every text in every band, an id of either sign; ``met`` is false where a text is
+    alone in its bucket.
     """
     need = least_matches(threshold, tolerance)
     left, right = np.flatnonzero(cell == low), np.flatnonzero(cell == high)
@@ -161,8 +161,8 @@ def block_links(
         if low == high:
             a, b = a[a < b], b[a < b]
         # the least hub they share must be this block's
-        same = hubs[a] == hubs[b]
-        least = np.where(same & (hubs[a] >= 0), hubs[a], np.iinfo(np.int64).max).min(1) if len(a) else np.zeros(0, np.int64)
+        same = (hubs[a] == hubs[b]) & met[a] & met[b]
+        least = np.where(same, hubs[a], np.iinfo(np.int64).max).min(1) if len(a) else np.zeros(0, np.int64)
         a, b = a[least == hub], b[least == hub]
         matches = np.zeros(len(a), np.int64)
         for step, least_needed in enumerate(need):
@@ -233,13 +233,13 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
         ids, cell = table["rep"].to_numpy(), table["cell"].to_numpy()
         hub, low, high = (int(table[c][0].as_py()) for c in ("hub", "low", "high"))
         copies = table["copies"].to_numpy()
-        hubs = np.full((n, BANDS), -1, np.int64)
+        hubs, met = np.zeros((n, BANDS), np.int64), np.zeros((n, BANDS), bool)
         for i, found in enumerate(table["hubs"].to_pylist()):
             for band, h in found:
-                hubs[i, band] = h
+                hubs[i, band], met[i, band] = h, True
         sets = [s for part in slices(table["text"]) for s in shingle_lists(part)]
         minima = min_hashes(sets)  # anew: cheaper than sending 512 bytes of them for each text
-        a, b = block_links(cell, low, high, hub, minima, hubs, sets, threshold, tolerance)
+        a, b = block_links(cell, low, high, hub, minima, hubs, met, sets, threshold, tolerance)
         release_memory()
         if not len(a):
             return

@@ -55,6 +55,19 @@ def test_long_near_copies_are_linked_once(spark):
     assert got == {i: (i // 10 * 10, 1) for i, _ in rows}
 
 
+def test_ids_of_either_sign(spark):
+    rng = np.random.default_rng(12)
+    ids = np.unique(rng.integers(-(1 << 63), 1 << 63, 58)).tolist() + [-1, 0]
+    rows = []
+    for n, i in enumerate(ids):  # groups of four, each with one word of its own
+        words = [f"g{n % 15}_{j}" for j in range(150)]
+        words[int(rng.integers(0, 150))] = f"own{n}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in similar.classes(df).collect()}
+    assert got == brute.similar(rows) and {k for _, k in got.values()} == {3}
+
+
 def test_pruning_rarely_drops_what_reaches_the_threshold():
     need = similar.least_matches(0.8, 1e-6)
     assert list(need) == sorted(need) and need[-1] < 0.8 * similar.VALUES
