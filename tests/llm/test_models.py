@@ -193,6 +193,16 @@ def test_trees_select_and_redact(spark):
     assert r["r"].startswith("call [PHONE]") and 'token = "[SECRET]"' in r["r"]
 
 
+def test_long_secrets_are_whole(spark):
+    """Secrets of any length are one span, also where they hold more than 400 other candidates."""
+    everything = pii.Model(lambda f: F.lit(1.0), {k: 0.5 for k in range(len(pii.KINDS))})
+    long, hexed, holding = "aB3.dE5-f_" * 20, "0123456789abcdef" * 10, "x123-45-6789y" * 500
+    texts = [f"token={long}", f"see {hexed} there", f"see {holding} there"]
+    got = spans_of(pii.with_spans(spark.createDataFrame([(t,) for t in texts], "text string"), everything, base="base", spans="all"))
+    assert [got[t]["r"] for t in texts] == ["token=[SECRET]", "see [SECRET] there", "see [SECRET] there"]
+    assert [got[t]["a"] for t in texts] == ["secret:6:206", "secret:4:164", "secret:4:6504"]
+
+
 def test_personal_data_of_odd_rows(odd, none):
     assert pii.with_spans(odd, pii.learn(odd)).count() == len(ODD)
     assert pii.learn(none).thresholds == {} and pii.with_spans(none, pii.Model(None, {})).count() == 0
