@@ -172,18 +172,18 @@ def tokenised(spark, d):
 
 @query("j12_lda_topics")
 def lda_topics(spark, d):
-    best, table_ = L.choose_topics(tokenised(spark, d), "review_id", [3, 4], passes=3, vocabulary=2000)
+    best, table_ = L.choose_topics(tokenised(spark, d), "review_id", [3, 4])
     return spark.createDataFrame([(k, round(s, 4), k == best.k) for k, s in table_], "k int, coherence double, chosen boolean")
 
 
 @query("m04_topic_terms")
 def topic_terms(spark, d):
-    return rounded(L.fit_topics(tokenised(spark, d), 3, passes=3, vocabulary=2000).top_terms(10), "weight", digits=4)
+    return rounded(L.fit_topics(tokenised(spark, d), 3).top_terms(10), "weight", digits=4)
 
 
 @query("m03_book_topics")
 def book_topics(spark, d):
-    fit = L.fit_topics(tokenised(spark, d), 3, passes=3, vocabulary=2000)
+    fit = L.fit_topics(tokenised(spark, d), 3)
     return longer(T.mean_vectors(fit.vectors(["item_id"]), "item_id", "vec", 3), "item_id", digits=4)
 
 

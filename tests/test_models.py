@@ -82,3 +82,16 @@ def test_clip_keeps_null(spark, value):
 
     df = spark.createDataFrame([(value,)], "x double")
     assert df.select(clip("x", 1.0, 5.0).alias("x")).first()["x"] == (None if value is None else min(max(value, 1.0), 5.0))
+
+
+def test_topic_queries_keep_vocabulary_and_passes(spark, sf_dir, monkeypatch):
+    from prefmine.models import topics
+    from prefmine.queries import taste
+
+    asked = []
+    count, lda = topics.CountVectorizer, topics.LDA
+    monkeypatch.setattr(topics, "CountVectorizer", lambda **k: asked.append(k["vocabSize"]) or count(**k))
+    monkeypatch.setattr(topics, "LDA", lambda **k: asked.append(k["maxIter"]) or lda(**k))
+    for made in (taste.lda_topics, taste.topic_terms, taste.book_topics):
+        assert made(spark, sf_dir).count() > 0
+    assert asked == [50_000, 10] * 4
