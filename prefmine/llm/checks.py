@@ -67,3 +67,60 @@ h AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) ||
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars, n_windows,
        CAST(largest_window AS BIGINT) AS largest_window FROM h JOIN z USING (conv_id)
 """
+
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, [CAST(ascii(x) AS BIGINT) FOR x IN string_split(k, '')]), "
+    "lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+)
+_STATES = ("z", "s", "u", "a")  # nothing left yet, or the last role left
+
+
+def _edit(state: str, cost: str, letter: str) -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}'}}"
+
+
+def _least(*values: str) -> str:
+    return f"list_min([{', '.join(values)}])"
+
+
+def _where(condition: str, value: str) -> str:
+    return f"CASE WHEN {condition} THEN {value} ELSE {{'c': 1000000000, 'a': ''}} END"
+
+
+#: cheapest edits row by row: the least (cost, audit) that leaves each last role
+REPAIR = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+       coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+m AS (SELECT *, {_CRC} % 20 AS m FROM c),
+d AS (SELECT conv_id, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role,
+        CASE m WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN m = 3 THEN [0, 1] ELSE [0] END) AS again FROM m WHERE m <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, substring(role, 1, 1) AS l,
+        rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM d),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, lag(l) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+f AS (SELECT *, CASE WHEN said = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN said[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM e),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+        count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated, count(*) AS n,
+        count(*) FILTER (WHERE before IS NOT NULL AND before || l NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+p AS (SELECT conv_id, n, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': ''}} AS z, {{'c': CAST(1000000000 AS BIGINT), 'a': ''}} AS s,
+        {{'c': CAST(2 AS BIGINT), 'a': 'I'}} AS u, {{'c': CAST(4 AS BIGINT), 'a': 'II'}} AS a FROM n
+      UNION ALL
+      SELECT conv_id, n, i, z, s, u, {_least('a', _edit('u', '2', 'I'))} AS a FROM (
+        SELECT conv_id, n, i, z, s, {_least('u', *[_edit(x, '2', 'I') for x in 'zsa'])} AS u, a FROM (
+          SELECT conv_id, n, i, {_edit('z', '3', 'D')} AS z,
+            {_least(_edit('s', '3', 'D'), _where("kept AND l = 's'", _edit('z', 'more', 'K')))} AS s,
+            {_least(_edit('u', '3', 'D'), _where("kept AND l = 'u'", _edit('x', 'more', 'K')), _where('kept', _edit('x', 'more + 2', 'R')))} AS u,
+            {_least(_edit('a', '3', 'D'), _where("kept AND l = 'a'", _edit('u', 'more', 'K')), _where('kept', _edit('u', 'more + 2', 'R')))} AS a
+          FROM (SELECT p.*  EXCLUDE (i), f.i, f.l, fault NOT IN ('b', 'd') AS kept, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS more, {_least('z', 's', 'a')} AS x
+                FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1)))),
+best AS (SELECT conv_id, {_least('z', 'a')} AS best FROM p WHERE i = n),
+w AS (SELECT conv_id, unnest(string_split(best.a, '')) AS edit, generate_subscripts(string_split(best.a, ''), 1) AS place FROM best),
+x AS (SELECT *, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER v AS i, sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER v AS nth FROM w WINDOW v AS (PARTITION BY conv_id ORDER BY place)),
+y AS (SELECT x.*, f.role, f.text, max(CASE WHEN x.nth = 1 AND edit = 'K' AND l = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY x.conv_id) AS opened
+      FROM x LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND f.i = x.i AND edit <> 'I'),
+r AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth - opened) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END,
+        chr(10) ORDER BY place) AS t FROM y WHERE edit <> 'D' GROUP BY conv_id),
+g AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT g.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.best.c, 0) AS cost, coalesce(best.best.a, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM g LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM g.conv_id
+"""

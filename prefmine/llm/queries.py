@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from prefmine.llm import chat, checks, lines, maxent, mixing, packing, pieces, pii, quality, similar, sketches
+from prefmine.llm import chat, checks, lines, maxent, mixing, packing, pieces, pii, quality, repair, similar, sketches
 from prefmine.llm.tables import documents, fold
 
 
@@ -86,6 +86,10 @@ def packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.id_file(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_language_scores": language_scores,
     "op2_mixture": mixture,
@@ -97,6 +101,7 @@ QUERIES = {
     "op8_chat_windows": chat_windows,
     "op9_sentencepiece": piece_ids,
     "op10_packed_ids": packed_ids,
+    "op12_conversation_repair": repaired_conversations,
 }
 #: of the others, SQL can't express the models, sketches or libraries
-ORACLES = {"op4_line_rules": checks.LINE_RULES, "op7_jaccard_join": checks.JACCARD, "op8_chat_windows": checks.CHAT}
+ORACLES = {"op4_line_rules": checks.LINE_RULES, "op7_jaccard_join": checks.JACCARD, "op8_chat_windows": checks.CHAT, "op12_conversation_repair": checks.REPAIR}
