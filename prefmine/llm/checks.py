@@ -124,3 +124,23 @@ SELECT g.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)
        coalesce(illegal, 0) AS illegal, coalesce(best.best.c, 0) AS cost, coalesce(best.best.a, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
 FROM g LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM g.conv_id
 """
+
+_SHARE = "1 + CAST(1000000000 * CAST({0} + 2 AS HUGEINT) // ({1} + 2 * v) AS BIGINT)"
+
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM d),
+c AS (SELECT lang, source, w, count(*) AS n, count(DISTINCT id) AS docs FROM w GROUP BY 1, 2, 3),
+k AS (SELECT lang, w, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1, 2 HAVING sum(docs) >= 10),
+l AS (SELECT lang, count(w) AS v, CAST(coalesce(sum(n), 0) AS BIGINT) AS total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN k USING (lang) GROUP BY lang),
+s AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT s.lang, s.source, k.w, k.n AS all_n, l.v, l.total AS all_total, coalesce(c.n, 0) AS n, sum(coalesce(c.n, 0)) OVER (PARTITION BY s.lang, s.source) AS total
+      FROM s JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.w = k.w),
+p AS (SELECT lang, source, w, n, {_SHARE.format("n", "total")} AS p, {_SHARE.format("all_n", "all_total")} AS q FROM x),
+pair AS (SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.w = b.w AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+      UNION ALL SELECT lang, source, 'term', w, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM o WHERE part = 'pair' OR rank <= 10
+"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from prefmine.llm import chat, checks, lines, maxent, mixing, packing, pieces, pii, quality, repair, similar, sketches
+from prefmine.llm import chat, checks, divergence, lines, maxent, mixing, packing, pieces, pii, quality, repair, similar, sketches
 from prefmine.llm.tables import documents, fold
 
 
@@ -90,6 +90,10 @@ def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damage_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_language_scores": language_scores,
     "op2_mixture": mixture,
@@ -102,6 +106,10 @@ QUERIES = {
     "op9_sentencepiece": piece_ids,
     "op10_packed_ids": packed_ids,
     "op12_conversation_repair": repaired_conversations,
+    "op13_source_divergence": source_divergence,
 }
 #: of the others, SQL can't express the models, sketches or libraries
-ORACLES = {"op4_line_rules": checks.LINE_RULES, "op7_jaccard_join": checks.JACCARD, "op8_chat_windows": checks.CHAT, "op12_conversation_repair": checks.REPAIR}
+ORACLES = {
+    "op4_line_rules": checks.LINE_RULES, "op7_jaccard_join": checks.JACCARD, "op8_chat_windows": checks.CHAT, "op12_conversation_repair": checks.REPAIR,
+    "op13_source_divergence": checks.DIVERGENCE,
+}
