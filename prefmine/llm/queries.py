@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from prefmine.llm import chat, checks, divergence, lines, maxent, mixing, packing, pieces, pii, quality, repair, similar, sketches
+from prefmine.llm import chat, checks, crossparse, divergence, lines, maxent, mixing, packing, pieces, pii, quality, repair, similar, sketches
 from prefmine.llm.tables import documents, fold
 
 
@@ -86,6 +86,13 @@ def packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.id_file(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 3) == 1
+    found = crossparse.predict(docs.drop("lang"), crossparse.learn(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.damage_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -105,6 +112,7 @@ QUERIES = {
     "op8_chat_windows": chat_windows,
     "op9_sentencepiece": piece_ids,
     "op10_packed_ids": packed_ids,
+    "op11_languages": languages,
     "op12_conversation_repair": repaired_conversations,
     "op13_source_divergence": source_divergence,
 }
