@@ -31,13 +31,13 @@ from pyspark.sql import types as T
 
 from prefmine.core import top_per_key
 from prefmine.llm.tables import release_memory, written
-from prefmine.llm.words import LOWER, Slice, prefix_hashes, range_hashes, slices
+from prefmine.llm.words import LOWER, Slice, mix, prefix_hashes, range_hashes, slices
 
 SCALE, SMOOTH = 1_000_000_000, 2
 MIN_DOCS, TOP = 10, 10
 CHUNK, SOURCES = 2048, 128
 BITS = 26
-HELD = 1 << 19
+HELD = 1 << 18
 SHUFFLED = np.random.default_rng(0).permutation(256).astype(np.uint8)
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -116,18 +116,19 @@ def _strings(texts: DataFrame, bits: int, wanted: np.ndarray, by_source: bool) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(held_by.value, np.uint8)
-        seen: dict[tuple[str, int, bytes], None] = {}
         numbers: dict[str, int] = {}
+        seen = np.zeros(0, np.uint64)  # marks of the strings that this task has given already
         for batch in batches:
             langs, sources = (batch.column(n).to_pylist() for n in ("lang", "source"))
-            out: dict[tuple, list[int]] = {}
             for part in slices(batch.column("text")):
                 doc, start, end, data = term_spans(part)
-                digest = digests(data, start, end, bits)
-                place = digest & ((1 << BITS) - 1)
-                at = np.flatnonzero(bitmap[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-                doc, start, end, digest = doc[at], start[at], end[at], digest[at]
+                whole = range_hashes(prefix_hashes(data), start, end)
+                place = whole & np.uint64((1 << min(BITS, bits)) - 1)
+                at = np.flatnonzero(bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                doc, start, end, whole = doc[at], start[at], end[at], whole[at]
+                digest = (whole & np.uint64((1 << bits) - 1)).view(np.int64)
                 raw = data.tobytes()
+                out: dict[tuple, list[int]] = {}
                 if by_source:
                     found: dict[tuple, int] = {}
                     for d, s, e, h in zip(doc.tolist(), start.tolist(), end.tolist(), digest.tolist()):
@@ -137,20 +138,17 @@ def _strings(texts: DataFrame, bits: int, wanted: np.ndarray, by_source: bool) -
                         sums = out.setdefault((langs[part.first + d], sources[part.first + d], h, term), [0, 0])
                         sums[0], sums[1] = sums[0] + n, sums[1] + 1
                 elif len(at):
-                    # equal strings are met once: two independent hashes tell strings apart
+                    # a string is given once; a hash that is independent of the digest tells strings of one digest apart
                     lang_of = np.array([numbers.setdefault(langs[part.first + d], len(numbers)) for d in range(len(part.offsets) - 1)], np.uint64)[doc]
-                    other = range_hashes(prefix_hashes(SHUFFLED[data]), start, end) + lang_of
-                    whole = range_hashes(prefix_hashes(data), start, end)
-                    order = np.lexsort((other, whole))
-                    fresh = (whole[order][1:] != whole[order][:-1]) | (other[order][1:] != other[order][:-1])
-                    for i in order[np.flatnonzero(np.concatenate([[True], fresh]))].tolist():
-                        seen[langs[part.first + doc[i]], int(digest[i]), raw[start[i] : end[i]]] = None
-            if not by_source and len(seen) > HELD:
-                out, seen = {(k[0], "", k[1], k[2]): [0, 0] for k in seen}, {}
-            if out:
-                yield _string_rows(out)
-        if seen:
-            yield _string_rows({(k[0], "", k[1], k[2]): [0, 0] for k in seen})
+                    marks, first = np.unique(mix(range_hashes(prefix_hashes(SHUFFLED[data]), start, end) + lang_of) ^ whole, return_index=True)
+                    at = np.searchsorted(seen, marks)
+                    fresh = np.concatenate([seen, marks[-1:]])[at] != marks
+                    fresh[at == len(seen)] = True
+                    for i in first[fresh].tolist():
+                        out[langs[part.first + doc[i]], "", int(digest[i]), raw[start[i] : end[i]]] = [0, 0]
+                    seen = np.sort(np.concatenate([seen, marks[fresh]]), kind="stable") if len(seen) < HELD else marks
+                if out:
+                    yield _string_rows(out)
         release_memory()
 
     return texts.mapInArrow(run, "lang string, source string, digest long, term string, n long, docs long")
