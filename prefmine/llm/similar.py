@@ -3,9 +3,9 @@
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is at least
 ``threshold``. The steps:
 
-1. ``sketch``: per document the key of its shingle set, and its ``BANDS * ROWS`` MinHash values by bands.
-   Documents with equal sets are one class; from here on one representative (least id) stands for it.
-2. ``hubs``: representatives that agree on a band of MinHash values meet in that band's bucket. A bucket
+1. ``sketch``: per document the hash of its shingle set, and its ``BANDS * ROWS`` MinHash values by bands.
+   Texts with equal sets are one node; its hash stands for it from here on, and one of its texts.
+2. ``hubs``: nodes that agree on a band of MinHash values meet in that band's bucket. A bucket
    is named by its least member, the hub, so no list of members is ever built. Two members of a bucket
    share the hub in the same band, and only then. At the threshold a pair misses all bands with a chance
    of ``(1 - 0.8 ** 4) ** 32``, 4e-8.
@@ -20,14 +20,16 @@ Two texts are linked if the Jaccard similarity of their sets of five-word shingl
    groups; their connected components are the classes.
 
 A text of 1 to 4 words has one shingle, all its words. Null texts count as empty; empty texts are alike and
-form one class. Documents are told apart by ``doc_id``: rows without one are left out, and rows that repeat
-an id with different texts make the classes of these texts one.
+form one class. Documents are told apart by ``doc_id``: rows without one are left out. Rows that repeat an id with
+different texts are as many nodes, each with its own links; ids come in at the end, where such an id makes the
+classes of its texts one and has the links of all of them, counted from text to text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -62,25 +64,26 @@ def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, key of its shingle set, size of its text, hashes of its bands of MinHash values."""
+    """One row per document: id, key of its text, node (hash of its shingle set), size of its text, hashes of its bands of MinHash values."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("id IS NOT NULL")
     rows = rows.withColumn("text_key", F.xxhash64("text"))
-    fields = [T.StructField(n, t) for n, t in (("set_key", T.BinaryType()), ("n_bytes", T.LongType()), ("bands", T.ArrayType(T.LongType())))]
+    fields = [T.StructField(n, t) for n, t in (("node", T.LongType()), ("n_bytes", T.LongType()), ("bands", T.ArrayType(T.LongType())))]
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        keys, n_bytes, bands = [], [], []
+        nodes, n_bytes, bands = [], [], []
         for part in slices(batch.column("text")):
             sets = shingle_lists(part)
             n_bytes += np.diff(part.offsets).tolist()
             values = min_hashes(sets)
-            # the set's key: its size and two independent sums over its hashes
-            keys += [len(s).to_bytes(8, "little") + mix(s).sum(dtype=np.uint64).tobytes() + mix(s ^ _SEEDS[0]).sum(dtype=np.uint64).tobytes() for s in sets]
+            # the set's hash, from its size and two independent sums over its hashes
+            sums = np.array([(len(s), mix(s).sum(dtype=np.uint64), mix(s ^ _SEEDS[0]).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 3)
+            nodes.append(mix(mix(sums[:, 0] + _SEEDS[1]) + mix(sums[:, 1]) + mix(sums[:, 2] ^ _SEEDS[2])).view(np.int64))
             folded = np.zeros((len(sets), BANDS), np.uint64)
             for r in range(ROWS):
                 folded = mix(folded + values.reshape(len(sets), BANDS, ROWS)[:, :, r].astype(np.uint64) + np.uint64(r + 1))
             folded[np.fromiter(map(len, sets), np.int64, len(sets)) == 0] = 0
             bands += list(folded.view(np.int64))
-        return {"set_key": pa.array(keys, pa.binary()), "n_bytes": pa.array(n_bytes, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))}
+        return {"node": pa.array(np.concatenate([np.zeros(0, np.int64), *nodes])), "n_bytes": pa.array(n_bytes, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))}
 
     return with_columns(rows, make, fields).drop("text")
 
@@ -195,20 +198,26 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
 # --------------------------------------------------------------------------- the join
 
 
-def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
-    """(members, found): ``members`` has id and representative ``rep`` of every document and the number of
-    ``copies`` in its class; ``found`` has rows (rep, root, copies): the copies of linked texts of one block
-    and the least representative of the group there."""
+class Join(NamedTuple):
+    """``members``: (id, rep), the nodes of every document. ``nodes``: (rep, first, text_key, copies), the least document of a node, the
+    key of its text there, and how many documents have it. ``found``: (rep, root, copies), for a text linked in a block the least
+    node of its group there and the documents of the nodes that it is linked to."""
+
+    members: DataFrame
+    nodes: DataFrame
+    found: DataFrame
+
+
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-6) -> Join:
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("id IS NOT NULL")
     keyed = rows.withColumn("text_key", F.xxhash64("text"))
-    sketched = written(sketch(rows, "id", "text"), "sketches")
-    first = F.min(F.struct("id", "text_key"))
-    sets = sketched.groupBy("set_key").agg(first["id"].alias("rep"), first["text_key"].alias("text_key"), F.count_distinct("id").alias("copies"))
-    members = sketched.select("id", "set_key").join(sets.drop("text_key"), "set_key")
-    members = written(members.groupBy("id").agg(F.min("rep").alias("rep"), F.max("copies").alias("copies")), "members")
-    firsts = written(sets.groupBy("rep").agg(F.min(F.struct("text_key", "copies")).alias("own")).select("rep", "own.*"), "firsts")
-    known = sketched.withColumnRenamed("id", "rep").join(firsts, ["rep", "text_key"])
-    reps = known.groupBy("rep").agg(F.first("copies").alias("copies"), F.first("text_key").alias("text_key"), F.max("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
+    sketched = written(sketch(rows, "id", "text").withColumnRenamed("node", "rep"), "sketches")
+    members = written(sketched.select("id", "rep").distinct(), "members")
+    firsts = members.groupBy("rep").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    known = sketched.withColumnRenamed("id", "first").join(firsts, ["rep", "first"])
+    one = F.min(F.struct("text_key", "n_bytes")).alias("one")
+    reps = known.groupBy("rep").agg(F.first("first").alias("first"), F.first("copies").alias("copies"), one, F.first("bands").alias("bands"))
+    reps = written(reps.select("rep", "first", "copies", "one.text_key", "one.n_bytes", "bands"), "nodes")
     banded = reps.select("rep", F.posexplode("bands").alias("band", "hash")).filter("hash <> 0")
     buckets = banded.groupBy("band", "hash").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     placed = banded.join(buckets, ["band", "hash"]).groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("band", "hub"))).alias("hubs"))
@@ -222,8 +231,8 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     pairs = pairs.select("rep", "hub", "cell", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"))
 
     # the hint makes the join the same at every size: the texts are dealt by id, a broadcast would grow with the groups
-    wanted = placed.select("rep", "text_key").hint("shuffle_merge")
-    texts = keyed.withColumnRenamed("id", "rep").hint("shuffle_merge").join(wanted, ["rep", "text_key"]).groupBy("rep").agg(F.first("text").alias("text"))
+    wanted = placed.select("rep", F.col("first").alias("id"), "text_key").hint("shuffle_merge")
+    texts = keyed.hint("shuffle_merge").join(wanted, ["id", "text_key"]).groupBy("rep").agg(F.first("text").alias("text"))
     full = placed.select("rep", "copies", "hubs").join(texts, "rep")
     work = pairs.join(full, "rep")
 
@@ -251,7 +260,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
         )
 
     found = work.groupBy("hub", "low", "high").applyInArrow(run, "rep long, root long, copies long")
-    return members, written(found, "links")
+    return Join(members, reps.select("rep", "first", "text_key", "copies"), written(found, "links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -275,22 +284,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
     """Per document ``doc_id``, ``class_id`` (least id of its class) and ``n_links``: other documents at or
-    above the threshold. A class is a connected component of links."""
-    members, found = links(docs, doc_id, text, threshold, tolerance)
-    labels = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("copies").alias("linked"))
-    return (
-        members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
-        .select(
-            F.col("id").alias("doc_id"), F.coalesce("label", "rep").alias("class_id"),
-            (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).cast("bigint").alias("n_links"),
-        )
-    )
+    above the threshold. A class is a connected component of links; the texts of one id are in one class, and its links
+    are those of all its texts."""
+    join = links(docs, doc_id, text, threshold, tolerance)
+    several = join.members.groupBy("id").agg(F.min("rep").alias("root"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    merged = join.members.join(several, "id").select("rep", "root")
+    labels = components(join.found.select("rep", "root").unionByName(merged).select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    least = labels.join(join.nodes, "rep").groupBy("label").agg(F.min("first").alias("least"))
+    counts = join.found.groupBy("rep").agg(F.sum("copies").alias("linked"))
+    known = join.nodes.join(labels.join(least, "label").select("rep", "least"), "rep", "left").join(counts, "rep", "left")
+    known = known.select("rep", F.coalesce("least", "first").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    found = join.members.join(known, "rep").groupBy(F.col("id").alias("doc_id"))
+    return found.agg(F.min("class_id").alias("class_id"), F.sum("n_links").cast("bigint").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The documents whose id is the least of their class, with all columns, once each. Rows without an id stay."""
-    kept = classes(docs, doc_id, text, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias("__kept"))
-    same = Window.partitionBy("__kept").orderBy(F.coalesce(F.col(text), F.lit("")))
-    known = docs.join(kept, F.col(doc_id).cast("bigint") == F.col("__kept")).withColumn("__n", F.row_number().over(same)).filter("__n = 1").drop("__n", "__kept")
+    """One row of every class of texts, with all columns: the one with the least id, then the least hash of its text. An id with texts
+    that are not alike keeps a row for each. Rows without an id stay."""
+    join = links(docs, doc_id, text, threshold)
+    labels = components(join.found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    own = join.nodes.join(labels, "rep", "left").groupBy(F.coalesce("label", "rep").alias("label")).agg(F.min(F.struct("first", "text_key")).alias("kept"))
+    kept = own.select(F.col("kept.first").alias("__kept"), F.col("kept.text_key").alias("__key"))
+    known = docs.withColumns({"__id": F.col(doc_id).cast("bigint"), "__text": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    known = known.join(kept, (F.col("__id") == F.col("__kept")) & (F.col("__text") == F.col("__key")))
+    plain = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    same = Window.partitionBy("__kept", "__key").orderBy(F.xxhash64(*[F.col(c) for c in plain]))
+    known = known.withColumn("__n", F.row_number().over(same)).filter("__n = 1").select(*[known[c] for c in docs.columns])
     return known.unionByName(docs.filter(F.col(doc_id).isNull()))

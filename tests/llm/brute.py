@@ -42,6 +42,26 @@ def similar(rows, num=4, den=5):
     return {i: (label[i], len(linked[i])) for i in ids}
 
 
+def text_classes(texts):
+    """{text: class} by links of texts."""
+    texts = sorted(set(texts))
+    found = similar(list(enumerate(texts)))
+    return {t: found[i][0] for i, t in enumerate(texts)}
+
+
+def similar_rows(rows, num=4, den=5):
+    """{id: (class id, links)} of rows that may repeat an id: links from each set of an id to each set of any id, itself aside."""
+    nodes = sorted({(i, frozenset(shingles(t or ""))) for i, t in rows}, key=lambda n: (n[0], sorted(n[1])))
+    linked = [[b for b, (_, y) in enumerate(nodes) if b != a and (den * len(x & y) >= num * len(x | y))] for a, (_, x) in enumerate(nodes)]
+    same = [[b for b, n in enumerate(nodes) if n[0] == m[0]] for m in nodes]
+    label, out = list(range(len(nodes))), {}
+    for _ in nodes:
+        label = [min(label[b] for b in [a, *linked[a], *same[a]]) for a in range(len(nodes))]
+    for a, (i, _) in enumerate(nodes):
+        out[i] = (nodes[label[a]][0], out.get(i, (0, 0))[1] + len(linked[a]))
+    return out
+
+
 def form(text):
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     w = WORD.findall(text)

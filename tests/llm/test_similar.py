@@ -68,6 +68,33 @@ def test_ids_of_either_sign(spark):
     assert got == brute.similar(rows) and {k for _, k in got.values()} == {3}
 
 
+def test_ids_that_repeat_with_differing_texts(spark):
+    """Every text has its own links, whichever ids it shares."""
+    rng = np.random.default_rng(8)
+    base = [[f"g{g}w{j}" for j in range(120)] for g in range(8)]
+
+    def text(g, own):
+        words = list(base[g])
+        words[int(rng.integers(0, 120))] = own
+        return " ".join(words)
+
+    five = [(1, text(0, "a")), (1, text(1, "b")), (2, text(0, "c")), (3, text(1, "d")), (4, text(2, "e"))]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in similar.classes(spark.createDataFrame(five, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 2), 2: (1, 1), 3: (1, 1), 4: (4, 0)}
+    assert sorted(r["doc_id"] for r in similar.one_of_each(spark.createDataFrame(five, "doc_id long, text string")).collect()) == [1, 1, 4]
+
+    rows = [(int(rng.integers(0, 40)), text(int(rng.integers(0, 8)), f"own{n % 50}")) for n in range(90)]
+    rows += [rows[0], rows[1], (100, rows[2][1]), (100, rows[3][1]), (101, ""), (101, rows[4][1]), (102, None), (103, " " + rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in similar.classes(df).collect()}
+    assert got == brute.similar_rows(rows)
+    kept = [(r["doc_id"], r["text"]) for r in similar.one_of_each(df).collect()]
+    groups = brute.text_classes([t or "" for _, t in rows])
+    assert sorted(groups[t or ""] for _, t in kept) == sorted(set(groups.values()))
+    for i, t in kept:
+        assert i == min(j for j, x in rows if groups[x or ""] == groups[t or ""])
+
+
 def test_pruning_rarely_drops_what_reaches_the_threshold():
     need = similar.least_matches(0.8, 1e-6)
     assert list(need) == sorted(need) and need[-1] < 0.8 * similar.VALUES
