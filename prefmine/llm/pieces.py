@@ -157,14 +157,14 @@ def _merge_alone(v: Vocabulary, symbols: list[int]) -> list[int]:
 def _merge_together(v: Vocabulary, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merges the symbols of many chunks (``owner`` ascending) until no pair forms a piece."""
     done_symbols, done_owner = [], []
-    none = np.int64(1) << 40
+    none = np.int64(1) << 62  # beyond (rank << 24) + place for any vocabulary of 64-bit ids that fits in memory
     made = np.append(v.pair_ids(symbols[:-1], symbols[1:]), -1)
     made[:-1][owner[1:] != owner[:-1]] = -1
     while len(symbols):
         place = np.arange(len(symbols))
         starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         # rank first, then position: the least is the best pair, leftmost among equals
-        keys = np.where(made >= 0, (v.rank[made] << 24) + place, none)
+        keys = np.where(made >= 0, (v.rank[made].astype(np.int64) << 24) + place, none)
         best = np.minimum.reduceat(keys, starts)
         active = best < none
         sizes = np.diff(np.append(starts, len(symbols)))

@@ -6,7 +6,8 @@ features of form; the logistic loss of score differences over the pairs is minim
 The threshold is the quantile of training scores that leaves the labelled share of poor texts below it;
 the score is mapped to 0..1 so that this quantile becomes ``threshold``.
 
-Inputs of a score come from the text alone. Null and empty texts get the score of their (zero) features.
+Inputs of a score come from the text alone. Texts without a word, null ones too, have score 0: zero noise and zero repeats
+are no sign of quality where there is nothing to read. Texts of few words are scored as the labels have them.
 Learning reads at most ``max_labelled`` labelled texts, the first in order of the hash of their ids; it needs
 both classes and raises ``ValueError`` otherwise. Repeated labelled rows are repeated evidence.
 """
@@ -46,7 +47,8 @@ class Ranker(NamedTuple):
 
     def score(self, features: np.ndarray) -> np.ndarray:
         at = (self.raw(features) - self.cut) / self.spread + np.log(self.threshold / (1 - self.threshold))
-        return 1 / (1 + np.exp(-np.clip(at, -30, 30)))
+        some = features[:, FEATURES.index("log_words")] != 0
+        return np.where(some, 1 / (1 + np.exp(-np.clip(at, -30, 30))), 0.0)
 
 
 def features(texts: pa.Array) -> np.ndarray:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from prefmine.llm import chat, checks, crossparse, divergence, lines, maxent, mixing, packing, pieces, pii, quality, repair, similar, sketches
-from prefmine.llm.tables import documents, fold
+from prefmine.llm.tables import documents, fold, written
 
 
 def language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hostile).alias("text")
     )
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return chat.digests(chat.windows(turns.unionByName(added)))
+    return chat.digests(written(chat.windows(turns.unionByName(added)), "windows"))  # read twice, built once
 
 
 def piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

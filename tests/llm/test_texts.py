@@ -142,5 +142,6 @@ def test_quality_of_odd_rows(odd, none, spark):
     ranker = quality.learn(labelled, max_labelled=30)
     got = quality.score(odd, ranker).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got) and quality.score(none, ranker).count() == 0
+    assert all((r["score"] == 0) == (not (r["text"] or "").split()) for r in got)  # nothing to read is never good
     with pytest.raises(ValueError):
         quality.learn(labelled.limit(0))
