@@ -38,13 +38,15 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document, read as a text review by the customer of the order of that number."""
+    """One row per document, read as a text review by the customer of the order of that number, of one of
+    as many items as there are twenty documents."""
     docs = table(spark, sf_dir, "documents")
     orders = table(spark, sf_dir, "orders")
+    n_items = docs.agg(F.ceil(F.count(F.lit(1)) / 20)).scalar()
     return docs.join(orders, docs.doc_id == orders.o_orderkey).select(
         F.col("doc_id").alias("review_id"),
         F.col("o_custkey").alias("user_id"),
-        (F.col("doc_id") % 50).alias("item_id"),
+        (F.col("doc_id") % n_items).alias("item_id"),
         (1 + F.col("n_chars") % 5).cast("int").alias("rating"),
         F.col("o_orderdate").alias("ts"),
         F.col("source").alias("category"),
@@ -87,7 +89,7 @@ VIEWS = {
          p_retailprice AS price, p_name AS title
   FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey)""",
     "reviews": """reviews AS (
-  SELECT doc_id AS review_id, o_custkey AS user_id, doc_id % 50 AS item_id, CAST(1 + n_chars % 5 AS INT) AS rating,
+  SELECT doc_id AS review_id, o_custkey AS user_id, doc_id % (SELECT CAST(ceil(count(*) / 20) AS BIGINT) FROM documents) AS item_id, CAST(1 + n_chars % 5 AS INT) AS rating,
          o_orderdate AS ts, source AS category, lang AS genre, text AS review_text, n_chars
   FROM documents JOIN orders ON o_orderkey=doc_id)""",
     "stages": """stages AS (

@@ -8,9 +8,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefmine.core import cut_lineage
+from prefmine.core import cut_lineage, stored
 from prefmine.operators.features import min_max
-from prefmine.plans.taste import topic_coherence
+from prefmine.plans.taste import window_coherence
+
+# Numbers of topics that are tried.
+TOPIC_COUNTS = (30, 40)
 
 
 class Topics:
@@ -28,22 +31,25 @@ class Topics:
         return self.model.transform(self.docs).select(*key, vector_to_array("topicDistribution").alias("vec"))
 
 
-def fit_topics(docs: DataFrame, k: int, min_df: float = 20, max_df: float = 0.4, vocabulary: int = 50_000, passes: int = 10, seed: int = 42) -> Topics:
-    """Online LDA over token lists; very rare and very common words are left out."""
+def bags(docs: DataFrame, min_df: float = 20, max_df: float = 0.4, vocabulary: int = 50_000):
+    """(vectorizer, stored rows with term counts); very rare and very common words are left out."""
     vectorizer = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary, minDF=min_df, maxDF=max_df).fit(docs)
-    bags = cut_lineage(vectorizer.transform(docs))
-    model = LDA(k=k, maxIter=passes, optimizer="online", seed=seed).fit(bags)
-    return Topics(model, vectorizer, bags, k)
+    return vectorizer, stored(vectorizer.transform(docs), "bags")
+
+
+def fit_topics(docs: DataFrame, k: int, passes: int = 10, seed: int = 42, counted=None, **which) -> Topics:
+    """Online LDA over token lists; ``counted`` is what :func:`bags` gives, for several fits on the same rows."""
+    vectorizer, rows = counted or bags(docs, **which)
+    return Topics(LDA(k=k, maxIter=passes, optimizer="online", seed=seed).fit(rows), vectorizer, rows, k)
 
 
-def choose_topics(docs: DataFrame, key: str, ks: list[int], **params) -> tuple[Topics, list[tuple[int, float]]]:
-    """The number of topics with the best coherence of the top ten terms."""
-    terms = cut_lineage(docs.select(key, F.explode("tokens").alias("term")).distinct())
-    n = docs.agg(F.count(F.lit(1))).scalar()
+def choose_topics(docs: DataFrame, key: str, ks: list[int], passes: int = 10, seed: int = 42, **which) -> tuple[Topics, list[tuple[int, float]]]:
+    """The number of topics with the best coherence of the top ten terms. Words are counted once."""
+    counted = bags(docs, **which)
     best, table = None, []
     for k in ks:
-        fit = fit_topics(docs, k, **params)
-        score = topic_coherence(terms, key, cut_lineage(fit.top_terms(10).select("topic", "term")), n).agg(F.avg("coherence")).first()[0]
+        fit = fit_topics(docs, k, passes, seed, counted)
+        score = window_coherence(docs, key, stored(fit.top_terms(10).select("topic", "term"), "top-terms")).agg(F.avg("coherence")).first()[0]
         table.append((k, float(score)))
         if best is None or score > best[0]:
             best = (score, fit)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefmine.core import cut_lineage
+from prefmine.core import cut_lineage, stored
 from prefmine.functions.text import topic_tokens
 from prefmine.models.linalg import sum_vectors
 from prefmine.operators.sets import first_per_key
@@ -160,26 +165,72 @@ def taste_card(profiles: DataFrame, labels: DataFrame, user: str, vec: str, acti
 
 
 def topic_coherence(docs: DataFrame, key: str, top_terms: DataFrame, n_docs: Column) -> DataFrame:
-    """Coherence of each topic's terms by document co-occurrence.
-
-    ``top_terms(topic, term)`` is short by definition. Each term has a vector of normalised
-    pointwise mutual information with the terms of its topic; the score is the mean cosine of the
-    term vectors with their sum. Probabilities are shares of documents, not of sliding windows.
-    """
+    """Coherence of each topic's terms by document co-occurrence: a document counts as one window."""
     hits = docs.select(key, "term").distinct().join(top_terms, "term")
     joint = (
         hits.alias("a").join(hits.alias("b"), [F.col(f"a.{key}") == F.col(f"b.{key}"), F.col("a.topic") == F.col("b.topic")])
         .groupBy(F.col("a.topic").alias("topic"), F.col("a.term").alias("t1"), F.col("b.term").alias("t2")).agg(F.count(F.lit(1)).alias("n12"))
     )
+    return coherence_of(top_terms, joint, n_docs)
+
+
+def window_coherence(docs: DataFrame, key: str, top_terms: DataFrame, size: int = 110) -> DataFrame:
+    """Coherence of each topic's terms by sliding windows of ``size`` tokens, each counted once per term.
+
+    ``docs`` has (key, tokens); a document of at most ``size`` tokens is one window. ``top_terms(topic, term)`` is
+    short by definition and comes to the driver. A task marks the windows of its documents that hold each term, a stretch at a time,
+    and sends one count per pair of terms. Repeated documents count as often as they occur; no documents give no rows.
+    """
+    terms = sorted({r["term"] for r in top_terms.select("term").distinct().collect()})
+    counts = stored(docs.select("tokens").mapInArrow(lambda batches: _window_counts(batches, terms, size), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")), "windows")
+    named = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    both = counts.filter("i >= 0").select(F.get(named, F.col("i")).alias("t1"), F.get(named, F.col("j")).alias("t2"), F.col("n").alias("n12"))
+    both = both.unionByName(both.filter("t1 <> t2").select(F.col("t2").alias("t1"), F.col("t1").alias("t2"), "n12"))
+    topics = top_terms.select("topic", F.col("term").alias("t1")).join(top_terms.select("topic", F.col("term").alias("t2")), "topic")
+    return coherence_of(top_terms, topics.join(both, ["t1", "t2"]), counts.filter("i < 0").agg(F.sum("n")).scalar())
+
+
+def _window_counts(batches: Iterator[pa.RecordBatch], terms: list[str], size: int, stretch: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """(i, j, n): windows that hold both of two terms by number, i <= j; (-1, -1, n) is the number of windows."""
+    shared, windows, wanted = np.zeros((len(terms), len(terms)), np.int64), 0, pa.array(terms, pa.string())
+    for batch in batches:
+        tokens = batch.column("tokens")
+        numbers = pc.fill_null(pc.index_in(tokens.flatten(), value_set=wanted), -1).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+        for begin, end in zip(np.concatenate([[0], ends[:-1]]), ends):
+            last = max(0, int(end - begin) - size)  # the last window's first token
+            windows += last + 1
+            at = np.flatnonzero(numbers[begin:end] >= 0)
+            here, row = np.unique(numbers[begin + at], return_inverse=True)
+            low, high = np.maximum(at - size + 1, 0), np.minimum(at, last)
+            for first in range(0, last + 1, stretch):
+                stop = min(first + stretch, last + 1)
+                some = (high >= first) & (low < stop)
+                steps = np.zeros((len(here), stop - first + 1), np.int32)
+                np.add.at(steps, (row[some], np.maximum(low[some], first) - first), 1)
+                np.add.at(steps, (row[some], np.minimum(high[some] + 1, stop) - first), -1)
+                holds = (np.cumsum(steps, 1)[:, :-1] > 0).astype(np.float32)
+                shared[np.ix_(here, here)] += np.rint(holds @ holds.T).astype(np.int64)
+    i, j = np.nonzero(np.triu(shared))
+    columns = [np.append(i, -1).astype(np.int32), np.append(j, -1).astype(np.int32), np.append(shared[i, j], windows)]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "j", "n"])
+
+
+def coherence_of(top_terms: DataFrame, joint: DataFrame, total: Column) -> DataFrame:
+    """Mean cosine of each term's vector with the sum of its topic's vectors; a vector holds the normalised
+    pointwise mutual information of the term with the terms of its topic.
+
+    ``joint(topic, t1, t2, n12)`` counts the windows with both terms, ``t1 = t2`` those with one.
+    """
     single = joint.filter("t1 = t2").select("topic", F.col("t1").alias("t"), F.col("n12").alias("n1"))
     grid = top_terms.select("topic", F.col("term").alias("t1")).join(top_terms.select("topic", F.col("term").alias("t2")), "topic")
     eps = 1e-12
-    p12 = F.coalesce(F.col("n12"), F.lit(0)) / n_docs + eps
+    p12 = F.coalesce(F.col("n12"), F.lit(0)) / total + eps
     full = (
         grid.join(joint, ["topic", "t1", "t2"], "left")
         .join(single.select("topic", F.col("t").alias("t1"), F.col("n1")), ["topic", "t1"])
         .join(single.select("topic", F.col("t").alias("t2"), F.col("n1").alias("n2")), ["topic", "t2"])
-        .withColumn("npmi", F.ln(p12 / (F.col("n1") / n_docs * F.col("n2") / n_docs)) / -F.ln(p12))
+        .withColumn("npmi", F.ln(p12 / (F.col("n1") / total * F.col("n2") / total)) / -F.ln(p12))
     )
     summed = full.groupBy("topic", "t2").agg(F.sum("npmi").alias("s"))
     both = full.join(summed, ["topic", "t2"])

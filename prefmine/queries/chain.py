@@ -121,7 +121,7 @@ def stage_evaluation(spark, d):
 @query("o05_stage_factors")
 def stage_factors(spark, d):
     held, test = holdout(spark, d)
-    models = C.fit_stage_factors(held.filter("split = 'train'"), *UI, "stage", rank=4, iterations=3, reg=0.1, alpha=10.0)
+    models = C.fit_stage_factors(held.filter("split = 'train'"), *UI, "stage")
     cand = test_candidates(spark, d, held, test)
     scored = cut_lineage(C.monotone_scores(cand, models, [*UI, "positive"]).withColumn("s", F.get("scores", F.lit(3))))
     return rounded(R.stage_report(scored, test, "user_id", "item_id", "stage", "s", "positive", 5), "auc", "recall_5", "ndcg_5", digits=4)

@@ -119,6 +119,6 @@ def implicit_ranker(spark, d):
     train, _ = sides(spark, d)
     weights = S.edge_weights("rating", "n_tokens", "n_tokens")["f3_rating_length"]
     cells = train.groupBy(*UI).agg(F.sum(weights).alias("value"))
-    factors = Z.fit_als(cells, *UI, rank=8, iterations=5, reg=0.1, implicit=True, alpha=40.0)
+    factors = Z.fit_als(cells, *UI, rank=64, iterations=20, reg=0.1, implicit=True, alpha=40.0)
     scored = factors.score(protocol(spark, d), "als")
     return rounded(R.mean_metrics(R.user_metrics(scored, *UI, "als", "positive")), *METRICS, digits=4)

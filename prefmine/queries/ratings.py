@@ -226,14 +226,14 @@ def cf_grid(spark, d):
 @query("j06_residual_factors")
 def residual_factors(spark, d):
     train, test = raw_split(spark, d, 0.8)
-    model = Z.fit_residual(cut_lineage(train.select(*UI, "rating")), *UI, "rating", rank=8, iterations=5, rounds=2)
+    model = Z.fit_residual(cut_lineage(train.select(*UI, "rating")), *UI, "rating")
     return rounded(E.scores(model.predict(test), "rating", "pred"), "rmse", "mae", digits=4)
 
 
 @query("j07_implicit_rating")
 def implicit_rating(spark, d):
     train, test = raw_split(spark, d, 0.8)
-    factors = Z.fit_implicit(train, *UI, rank=10, iterations=5, reg=0.01)
+    factors = Z.fit_implicit(train, *UI, rank=20, iterations=10, reg=0.01)
     rows = factors.score(M.mean_baseline(train, test, *UI, "rating", shrink=False, out="base"))
     # Coarse residual scales.
     coarse = [-0.50, -0.25, -0.10, -0.05, 0.00, 0.01, 0.03, 0.05, 0.08, 0.10, 0.15, 0.20, 0.30, 0.50, 0.75, 1.00]
@@ -243,7 +243,7 @@ def implicit_rating(spark, d):
 @query("j09_explicit_als")
 def explicit_als(spark, d):
     train, test = raw_split(spark, d, 0.8)
-    factors = Z.fit_als(X.utility_matrix(train, *UI, "rating", "avg"), *UI, rank=10, iterations=5, reg=0.1)
+    factors = Z.fit_als(X.utility_matrix(train, *UI, "rating", "avg"), *UI)
     rows = factors.score(test).withColumn("pred", F.coalesce("score", M.global_mean(train, "rating")))
     return rounded(E.scores(rows, "rating", "pred"), "rmse", "mae", digits=4)
 
@@ -251,7 +251,7 @@ def explicit_als(spark, d):
 @query("j10_centred_svd")
 def centred_svd(spark, d):
     train, test = raw_split(spark, d, 0.8)
-    model = Z.fit_svd(cut_lineage(train.select(*UI, "rating")), *UI, "rating", k=6, rounds=2)
+    model = Z.fit_svd(cut_lineage(train.select(*UI, "rating")), *UI, "rating")
     return rounded(E.subset_scores(model.predict(test), "subset", "rating", "pred"), "rmse", "mae", digits=4)
 
 
@@ -264,8 +264,8 @@ def resampled_comparison(spark, d):
     again = cut_lineage(G.resample(train, flags, "brand", *UI, KEY))
     preds = {
         "mean_baseline": M.mean_baseline(train, warm, *UI, "rating", shrink=False),
-        "svd_raw": Z.fit_svd(train, *UI, "rating", k=4, rounds=1).predict(warm),
-        "svd_resampled": Z.fit_svd(again, *UI, "rating", k=4, rounds=1).predict(warm),
+        "svd_raw": Z.fit_svd(train, *UI, "rating").predict(warm),
+        "svd_resampled": Z.fit_svd(again, *UI, "rating").predict(warm),
     }
     parts = [p.select("rating", "pred", F.lit(n).alias("model")) for n, p in preds.items()]
     out = E.scores(parts[0].unionByName(parts[1]).unionByName(parts[2]), "rating", "pred", ["model"])

@@ -23,11 +23,11 @@ def topic_tokens(spark, d):
 
 @query("m02_bags_of_words", TOK + """
 , b AS (SELECT review_id, term, count(*) AS n FROM (SELECT review_id, unnest(k) AS term FROM doc) GROUP BY 1, 2),
-v AS (SELECT term FROM b GROUP BY term HAVING count(*) >= 20 AND count(*) <= 0.4 * (SELECT count(*) FROM doc) ORDER BY count(*) DESC, term LIMIT 5000)
+v AS (SELECT term FROM b GROUP BY term HAVING count(*) >= 20 AND count(*) <= 0.4 * (SELECT count(*) FROM doc) ORDER BY count(*) DESC, term LIMIT 50000)
 SELECT review_id, term, n FROM b WHERE term IN (SELECT term FROM v)
 """, "reviews")
 def bags_of_words(spark, d):
-    return T.filtered_bags(T.document_tokens(reviews(spark, d), ["review_id"], "review_text"), ["review_id"], 20, 0.4, 5000)
+    return T.filtered_bags(T.document_tokens(reviews(spark, d), ["review_id"], "review_text"), ["review_id"], 20, 0.4, 50_000)
 
 
 # Topic-like vectors: absolute embedding values as shares, one item per vector, genre from its part.
@@ -172,19 +172,19 @@ def tokenised(spark, d):
 
 @query("j12_lda_topics")
 def lda_topics(spark, d):
-    best, table_ = L.choose_topics(tokenised(spark, d), "review_id", [3, 4])
+    best, table_ = L.choose_topics(tokenised(spark, d), "review_id", list(L.TOPIC_COUNTS))
     return spark.createDataFrame([(k, round(s, 4), k == best.k) for k, s in table_], "k int, coherence double, chosen boolean")
 
 
 @query("m04_topic_terms")
 def topic_terms(spark, d):
-    return rounded(L.fit_topics(tokenised(spark, d), 3).top_terms(10), "weight", digits=4)
+    return rounded(L.fit_topics(tokenised(spark, d), L.TOPIC_COUNTS[0]).top_terms(10), "weight", digits=4)
 
 
 @query("m03_book_topics")
 def book_topics(spark, d):
-    fit = L.fit_topics(tokenised(spark, d), 3)
-    return longer(T.mean_vectors(fit.vectors(["item_id"]), "item_id", "vec", 3), "item_id", digits=4)
+    fit = L.fit_topics(tokenised(spark, d), L.TOPIC_COUNTS[0])
+    return longer(T.mean_vectors(fit.vectors(["item_id"]), "item_id", "vec", L.TOPIC_COUNTS[0]), "item_id", digits=4)
 
 
 @query("j13_topic_coherence", TOK + """
@@ -198,14 +198,37 @@ m AS (SELECT topic, t2, sum(v) AS s FROM f GROUP BY 1, 2), c AS (SELECT topic, t
 SELECT topic, ROUND(avg(c), 6) AS coherence FROM c GROUP BY 1
 """, "reviews")
 def coherence(spark, d):
-    from prefmine.core import top_per_key
+    rows = tokenised(spark, d)
+    docs = rows.select("review_id", F.explode("tokens").alias("term")).distinct()
+    return rounded(T.topic_coherence(docs, "review_id", frequent_terms(spark, d, rows), rows.agg(F.count(F.lit(1))).scalar()), "coherence")
 
+
+@query("j13_window_coherence", TOK + """
+, dt AS (SELECT DISTINCT review_id, term FROM (SELECT review_id, unnest(k) AS term FROM doc)),
+tt AS (SELECT genre AS topic, term FROM dt JOIN reviews USING (review_id) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY genre ORDER BY count(*) DESC, term) <= 10),
+sz AS (SELECT review_id, greatest(len(k) - 110, 0) AS last, k FROM doc), n AS (SELECT sum(last + 1) AS n FROM sz),
+ps AS (SELECT review_id, last, unnest(k) AS term, generate_subscripts(k, 1) - 1 AS p FROM sz),
+h AS (SELECT DISTINCT review_id, topic, term, unnest(range(greatest(p - 109, 0), least(p, last) + 1)) AS w FROM ps JOIN tt USING (term)),
+j AS (SELECT a.topic, a.term AS t1, b.term AS t2, count(*) AS n12 FROM h a JOIN h b ON a.review_id = b.review_id AND a.w = b.w AND a.topic = b.topic GROUP BY 1, 2, 3),
+s AS (SELECT topic, t1 AS t, n12 AS c FROM j WHERE t1 = t2),
+f AS (SELECT a.topic, a.term AS t1, b.term AS t2, ln((COALESCE(n12, 0) / n + 1e-12) / (s1.c / n * s2.c / n)) / -ln(COALESCE(n12, 0) / n + 1e-12) AS v
+ FROM tt a JOIN tt b ON a.topic = b.topic LEFT JOIN j ON j.topic = a.topic AND j.t1 = a.term AND j.t2 = b.term JOIN s s1 ON s1.topic = a.topic AND s1.t = a.term JOIN s s2 ON s2.topic = a.topic AND s2.t = b.term, n),
+m AS (SELECT topic, t2, sum(v) AS s FROM f GROUP BY 1, 2), c AS (SELECT topic, t1, sum(v * s) / (sqrt(sum(v * v)) * sqrt(sum(s * s))) AS c FROM f JOIN m USING (topic, t2) GROUP BY 1, 2)
+SELECT topic, ROUND(avg(c), 6) AS coherence FROM c GROUP BY 1
+""", "reviews")
+def window_coherence(spark, d):
     rows = tokenised(spark, d)
+    return rounded(T.window_coherence(rows, "review_id", frequent_terms(spark, d, rows)), "coherence")
+
+
+def frequent_terms(spark, d, rows):
+    """The ten most frequent terms of each genre, in the place of topics."""
+    from prefmine.core import stored, top_per_key
+
     docs = rows.select("review_id", F.explode("tokens").alias("term")).distinct()
     genres = reviews(spark, d).select("review_id", F.col("genre").alias("topic"))
     counts = docs.join(genres, "review_id").groupBy("topic", "term").agg(F.count(F.lit(1)).alias("n"))
-    top = top_per_key(counts, ["topic"], [F.desc("n"), F.asc("term")], 10).select("topic", "term")
-    return rounded(T.topic_coherence(docs, "review_id", top, rows.agg(F.count(F.lit(1))).scalar()), "coherence")
+    return stored(top_per_key(counts, ["topic"], [F.desc("n"), F.asc("term")], 10).select("topic", "term"), "frequent-terms")
 
 
 def popular(spark, d):
