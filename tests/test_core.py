@@ -120,6 +120,28 @@ def test_near_duplicates_brute_force(spark):
         assert set(got) == want and len(got) == len(want)
 
 
+def test_band_classes_brute_force(spark):
+    """All pairs within three bits, also where one band's value is shared by most signatures."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    sigs = {}
+    for i in range(700):
+        s = rng.choice(base)
+        for _ in range(rng.randrange(5)):
+            s ^= 1 << rng.randrange(64)
+        sigs[i] = s if i % 3 else (s & ~0xFFFF0000) | 0xBEEF0000 if i % 60 else 0
+    near = {i: {j for j in sigs if j != i and bin(sigs[i] ^ sigs[j]).count("1") <= 3} for i in sigs}
+    df = spark.createDataFrame([(i, s - (1 << 64) if s >= 1 << 63 else s) for i, s in sigs.items()], "id bigint, signature bigint").repartition(4)
+    for strict, sizes in ((False, {}), (True, {"cell": 16, "shard": 100})):
+        some = {i for i in sigs if strict or sigs[i]}
+        label = {i: i for i in some}
+        for _ in some:
+            label = {i: min([label[i], *(label[j] for j in near[i] & some)]) for i in some}
+        got = {r["id"]: (r["class_id"], r["n_links"]) for r in D.band_classes(df, "id", strict=strict, **sizes).collect()}
+        assert got == {i: (label[i], len(near[i] & some)) for i in some}
+    assert D.band_classes(df.limit(0), "id").count() == 0
+
+
 def test_simhash_by_hand(spark):
     from hashlib import md5
 
