@@ -245,6 +245,55 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float]) -> DataF
     return spans.agg(*parts)
 
 
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], parts: int = 1024) -> DataFrame:
+    """Exact interpolated quantiles per group of a continuous column, for many groups at once.
+
+    Ranks are narrowed down: each round counts the values of every range that still holds a wanted rank in ``parts``
+    equal parts, and goes on with the part that holds it, until a range is a single value. What is kept is
+    ``parts`` counts per group and rank, whatever the number of distinct values, so a hot group needs no sorted or
+    gathered values; a range usually takes two to four rounds. Null and NaN values are left out; null keys
+    are a group. Values must be finite.
+    """
+    found = df.select(*keys, F.col(value).cast("double").alias("__v"))
+    found = stored(found.filter(F.col("__v").isNotNull() & ~F.isnan("__v")), "values")
+    bounds = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    exact = {n: (F.col("__n") - 1) * F.lit(float(p)) for n, p in probs.items()}
+    both = F.array_distinct(F.array(*[f(e).cast("bigint") for e in exact.values() for f in (F.floor, F.ceil)]))
+    # rank: 0-based in the group; before: values of the group below the range
+    targets = stored(bounds.select(*keys, F.explode(both).alias("__rank"), "__lo", "__hi", F.lit(0).cast("bigint").alias("__before")), "targets")
+    done = [targets.filter("__lo = __hi").select(*keys, "__rank", F.col("__lo").alias("__x"))]
+    left = targets.filter("__lo < __hi")
+    while left.limit(1).count():
+        ranges = left.select(*keys, "__lo", "__hi").distinct()
+        inside = _join_groups(found, ranges, keys).filter("__v BETWEEN __lo AND __hi")
+        half = lambda c: F.col(c) / 2  # noqa: E731  the width of a range may exceed the largest double
+        part = F.least(F.floor((half("__v") - half("__lo")) / (half("__hi") - half("__lo")) * parts), F.lit(parts - 1)).alias("__part")
+        counts = inside.groupBy(*keys, "__lo", "__hi", part).agg(F.count(F.lit(1)).alias("__k"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
+        run = Window.partitionBy(*keys, "__lo", "__hi").orderBy("__part")
+        counts = counts.withColumn("__end", F.sum("__k").over(run))
+        hit = null_safe_join(left, counts, [*keys, "__lo", "__hi"], "inner")
+        wanted = F.col("__rank") - F.col("__before")
+        hit = hit.filter((wanted < F.col("__end")) & (wanted >= F.col("__end") - F.col("__k")))
+        hit = hit.select(*keys, "__rank", F.col("__min").alias("__lo"), F.col("__max").alias("__hi"), (F.col("__before") + F.col("__end") - F.col("__k")).alias("__before"))
+        targets = stored(hit, "targets")
+        done.append(targets.filter("__lo = __hi").select(*keys, "__rank", F.col("__lo").alias("__x")))
+        left = targets.filter("__lo < __hi")
+    at = _join_groups(bounds, reduce(DataFrame.unionByName, done), keys)
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when(F.col("__rank") == rank.cast("bigint"), F.col("__x")))
+
+    parts_of = [(value_at(F.floor(e)) + (value_at(F.ceil(e)) - value_at(F.floor(e))) * F.max(e - F.floor(e))).alias(n) for n, e in exact.items()]
+    return at.groupBy(*keys).agg(*parts_of)
+
+
+def _join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of the rows of equal groups; without keys all rows are one group."""
+    if keys:
+        return null_safe_join(left, right, keys, "inner")
+    return left.withColumn("__one", F.lit(1)).join(right.withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+
 def explode_range(df: DataFrame, n: Column, name: str, chunk: int = 10_000) -> DataFrame:
     """One row per 1..n for each input row, spreading large ``n`` over tasks.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefmine.core import bucketed_rank, cut_lineage
+from prefmine.core import bucketed_rank, cut_lineage, grouped_quantiles
 from prefmine.functions.scalars import collapse_rare
 from prefmine.functions.text import word_tokens
 from prefmine.models.linalg import sum_vectors, unit
@@ -75,8 +75,7 @@ def item_attributes(df: DataFrame, item: str, rating: str, price: str, brand: st
 
 def numeric_features(attributes: DataFrame, item: str) -> DataFrame:
     """Price (missing: median) and rating divided by their means, log of the count."""
-    freq = attributes.filter(F.col("price").isNotNull()).groupBy("price").agg(F.count(F.lit(1)).alias("f"))
-    median = freq.agg(F.percentile("price", F.lit(0.5), F.col("f"))).scalar()
+    median = grouped_quantiles(attributes, [], "price", {"m": 0.5}).scalar()
     rows = attributes.withColumn("__p", F.coalesce("price", median)).withColumn("__r", F.coalesce("avg_rating", F.lit(3.5)))
     means = rows.agg(F.greatest(F.avg("__p"), F.lit(1e-6)).alias("p"), F.greatest(F.avg("__r"), F.lit(1e-6)).alias("r"))
     return rows.select(

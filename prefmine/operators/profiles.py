@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefmine.core import pct, ratio, value_percentiles
+from prefmine.core import grouped_quantiles, null_safe_join, pct, ratio, stored, value_percentiles
 from prefmine.functions.scalars import VOLUME_TIERS, bucket_label
 
 
@@ -230,12 +230,9 @@ def entity_ratings(df: DataFrame, entity: str, rating: str) -> DataFrame:
 def rating_bias_by_volume(df: DataFrame, item: str, rating: str) -> DataFrame:
     """Mean and median item rating by how often the item was rated."""
     tiered = entity_ratings(df, item, rating).withColumn("tier", bucket_label("n_reviews", VOLUME_TIERS))
-    freq = tiered.groupBy("tier", "avg_rating").agg(rows().alias("f"), F.sum("n_reviews").alias("n"))
-    f = F.col("f")
-    return freq.groupBy("tier").agg(
-        F.sum(f).alias("items"), (F.sum(F.col("avg_rating") * f) / F.sum(f)).alias("mean_item_rating"),
-        F.percentile("avg_rating", F.lit(0.5), f).alias("median_item_rating"), (F.sum("n") / F.sum(f)).alias("avg_reviews_per_item"),
-    )
+    tiered = stored(tiered.select("tier", "avg_rating", "n_reviews"), "tiers")
+    sums = tiered.groupBy("tier").agg(rows().alias("items"), F.avg("avg_rating").alias("mean_item_rating"), F.avg("n_reviews").alias("avg_reviews_per_item"))
+    return null_safe_join(sums, grouped_quantiles(tiered, ["tier"], "avg_rating", {"median_item_rating": 0.5}), ["tier"])
 
 
 def user_tiers(df: DataFrame, user: str, rating: str, tiers) -> DataFrame:
@@ -383,9 +380,6 @@ def equal_width_histogram(df: DataFrame, value: str, low: float, high: float, bi
 
 def box_numbers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Minimum, quartiles, maximum and mean per key."""
-    freq = df.groupBy(*keys, value).agg(rows().alias("f"))
-    f = F.col("f")
-    return freq.groupBy(*keys).agg(
-        F.min(value).alias("min_value"), *[F.percentile(value, F.lit(p), f).alias(n) for n, p in {"q1": 0.25, "median": 0.5, "q3": 0.75}.items()],
-        F.max(value).alias("max_value"), (F.sum(F.col(value) * f) / F.sum(f)).alias("mean_value"),
-    )
+    kept = stored(df.select(*keys, value), "box")
+    sums = kept.groupBy(*keys).agg(F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.avg(value).alias("mean_value"))
+    return null_safe_join(sums, grouped_quantiles(kept, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}), keys)

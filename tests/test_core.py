@@ -120,6 +120,29 @@ def test_near_duplicates_brute_force(spark):
         assert set(got) == want and len(got) == len(want)
 
 
+def test_grouped_quantiles(spark):
+    """Many distinct values in one hot group, ties, wide ranges, null keys and values, single rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [("hot", float(x)) for x in np.concatenate([rng.normal(size=3000), rng.exponential(1e9, 500), [-1e308, 1e308]])]
+    rows += [("ties", float(i % 3)) for i in range(100)] + [("one", 4.5), (None, 1.0), (None, 2.0), ("gap", None), ("gap", 7.0), ("nan", float("nan"))]
+    rows += [(f"g{i % 40}", float(rng.random())) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    probs = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.993, "e": 1.0}
+    got = {r["k"]: tuple(r)[1:] for r in K.grouped_quantiles(df, ["k"], "x", probs, 16).collect()}
+    groups = {}
+    for k, x in rows:
+        if x is not None and x == x:
+            groups.setdefault(k, []).append(x)
+    assert set(got) == set(groups)
+    for k, values in groups.items():
+        assert np.allclose(got[k], np.quantile(values, list(probs.values())), rtol=1e-12), k
+    whole = K.grouped_quantiles(df.filter("k LIKE 'g%'"), [], "x", {"m": 0.5}).scalar
+    assert spark.range(1).select(whole().alias("m")).first()["m"] == pytest.approx(np.median([x for k, x in rows if k and k[0] == "g" and x is not None]))
+    assert K.grouped_quantiles(df.limit(0), ["k"], "x", {"m": 0.5}).count() == 0
+
+
 def test_band_classes_brute_force(spark):
     """All pairs within three bits, also where one band's value is shared by most signatures."""
     rng = random.Random(9)
