@@ -162,7 +162,8 @@ def test_base_spans_equal_plain_matching(spark):
     df = spark.createDataFrame([(t,) for t in HOSTILE], "text string")
     got = spans_of(pii.with_spans(df, pii.Model(None, {}), base="base", spans="all"))
     for text in HOSTILE:
-        assert got[text]["b"] == ",".join(brute.base_spans(text)) == got[text]["a"], text[:60]
+        assert got[text]["b"] == ",".join(brute.base_spans(text)), text[:60]
+        assert set(got[text]["b"].split(",")) <= {"", *got[text]["a"].split(",")}
 
 
 def test_personal_data_query(query, rows):
@@ -193,9 +194,21 @@ def test_trees_select_and_redact(spark):
     assert r["r"].startswith("call [PHONE]") and 'token = "[SECRET]"' in r["r"]
 
 
+def test_formats_that_the_corpus_lacks_go_by_the_strict_rule(spark):
+    """Learned from cards, phones and keys only; an SSN, an IBAN and a spelled-out address are found all the same."""
+    probe = "ssn 123-45-6789, DE89 3704 0044 0532 0130 00, john (at) mail (dot) com, ssn 000-45-6789, DE88 3704 0044 0532 0130 00"
+    lines = [f"call +1 (269) 555-{1000 + i} 45241322646528{i % 90 + 10} now, token={i:032x}" for i in range(300)]
+    model = pii.learn(spark.createDataFrame([(t,) for t in lines], "text string"))
+    missing = {i for i, (k, _) in enumerate(pii.CANDIDATES) if k in ("ssn", "iban")}
+    assert model.thresholds and not missing & set(model.thresholds)
+    got = spans_of(pii.with_spans(spark.createDataFrame([(probe,)], "text string"), model, base="base", spans="all"))[probe]["a"]
+    where = lambda kind, part: f"{kind}:{probe.index(part)}:{probe.index(part) + len(part)}"
+    assert set(got.split(",")) == {where("ssn", "123-45-6789"), where("iban", "DE89 3704 0044 0532 0130 00"), where("email", "john (at) mail (dot) com")}
+
+
 def test_long_secrets_are_whole(spark):
     """Secrets of any length are one span, also where they hold more than 400 other candidates."""
-    everything = pii.Model(lambda f: F.lit(1.0), {k: 0.5 for k in range(len(pii.KINDS))})
+    everything = pii.Model(lambda f: F.lit(1.0), {k: 0.5 for k in range(len(pii.CANDIDATES))})
     long, hexed, holding = "aB3.dE5-f_" * 20, "0123456789abcdef" * 10, "x123-45-6789y" * 500
     texts = [f"token={long}", f"see {hexed} there", f"see {holding} there"]
     got = spans_of(pii.with_spans(spark.createDataFrame([(t,) for t in texts], "text string"), everything, base="base", spans="all"))
