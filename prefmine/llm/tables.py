@@ -49,8 +49,8 @@ def drawn(df: DataFrame, order: Column, n: int) -> DataFrame:
     """
     rows = df.withColumn("__order", F.xxhash64(order))
     total = rows.count()
-    if total > n:
-        rows = rows.filter(F.col("__order") < F.lit(int(-(1 << 63) + min(1.0, 1.2 * n / total) * ((1 << 64) - 1))))
+    if total > 1.2 * n:
+        rows = rows.filter(F.col("__order") < F.lit(int(-(1 << 63) + 1.2 * n / total * (1 << 64))))
     return rows
 
 

@@ -137,6 +137,15 @@ def test_pairs_and_ranks():
         quality.fit_ranker(x, np.ones(400, bool))
 
 
+def test_draws_of_any_share(spark):
+    from prefmine.llm.tables import drawn
+
+    df = spark.range(1000)
+    for n in (1, 100, 832, 834, 900, 999, 1000, 2000):  # also where a fifth to spare takes all rows
+        found = drawn(df, df["id"], n)
+        assert min(n, 1000) * 0.9 - 10 <= found.count() <= 1.2 * n + 100 and found.orderBy("__order").limit(n).count() <= n
+
+
 def test_quality_of_odd_rows(odd, none, spark):
     labelled = spark.createDataFrame([(i, "Good text of words. " * 9 if i % 2 else "a | b | c |" * 9, i % 2) for i in range(40)], "doc_id long, text string, quality int")
     ranker = quality.learn(labelled, max_labelled=30)
