@@ -185,10 +185,10 @@ nb AS (SELECT * FROM pr WHERE sim > 0 QUALIFY row_number() OVER (PARTITION BY it
 KEYJ = " AND ".join(f"f.{k} = p.{k}" for k in KEY)
 
 
-def cf_pred(name, mc, mn, sh):
+def cf_pred(name, mc, mn, sh, ms=0.0, nb="nb"):
     return f""", {name} AS (SELECT p.*, f.n IS NULL OR f.n < {mn} OR f.den <= 1e-12 AS fb, CASE WHEN f.n >= {mn} AND f.den > 1e-12 THEN least(greatest(f.um + f.num / f.den, 1), 5) ELSE p.pred END AS v FROM p LEFT JOIN
- (SELECT {', '.join('p.' + k for k in KEY)}, count(*) AS n, max(ct.um) AS um, sum(sim * common / (common + {sh}) * ct.c) AS num, sum(abs(sim * common / (common + {sh}))) AS den FROM p JOIN nb ON p.item_id = nb.item_id
-  JOIN ct ON ct.user_id = p.user_id AND ct.item_id = nb.neighbour WHERE common >= {mc} AND sim > 0 GROUP BY ALL) f ON {KEYJ})"""
+ (SELECT {', '.join('p.' + k for k in KEY)}, count(*) AS n, max(ct.um) AS um, sum(sim * common / (common + {sh}) * ct.c) AS num, sum(abs(sim * common / (common + {sh}))) AS den FROM p JOIN {nb} nb ON p.item_id = nb.item_id
+  JOIN ct ON ct.user_id = p.user_id AND ct.item_id = nb.neighbour WHERE common >= {mc} AND sim > {ms} GROUP BY ALL) f ON {KEYJ})"""
 
 
 def cf_parts(spark, d):
@@ -205,6 +205,13 @@ def item_neighbours(spark, d):
     return N.neighbours(cut_lineage(N.centred_cells(train, *UI, "rating")), *UI, 20).withColumn("sim", rnd("sim"))
 
 
+@query("j04_bounded_neighbours", CF.replace("sim DESC, neighbour) <= 20)", "sim DESC, neighbour) <= 20), nr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, neighbour) AS rank FROM nb)")
+       + " SELECT item_id, neighbour, ROUND(sim, 6) AS sim, common, rank::INT AS rank FROM nr")
+def bounded_neighbours(spark, d):
+    train, _ = raw_split(spark, d, 0.8)
+    return N.bounded_neighbours(cut_lineage(N.centred_cells(train, *UI, "rating")), *UI, 20).withColumn("sim", rnd("sim"))
+
+
 @query("j04_item_cf", CF + cf_pred("r", 1, 1, 2.0) + f" SELECT {K}, ROUND(v, 5) AS pred, fb AS fallback FROM r")
 def item_cf(spark, d):
     rows, _, found = cf_parts(spark, d)
@@ -223,6 +230,22 @@ def cf_grid(spark, d):
     return rounded(N.tune(rows, found, KEY, "base", "rating", _GRID), "rmse", "mae", "fallback_rate")
 
 
+_FULL = [{"top_k": k, "min_common": mc, "min_neighbours": mn, "shrink": sh, "min_sim": ms} for k in (10, 20) for mc in (1, 2) for mn in (1, 3) for sh in (2.0, 10.0) for ms in (0.0, 0.1)]
+_CUT = "".join(f", nb{k} AS (SELECT * FROM nb QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sim DESC, neighbour) <= {k})" for k in (10, 20))
+
+
+@query("j05_cf_full_grid", CF + _CUT + "".join(cf_pred(f"r{i}", g["min_common"], g["min_neighbours"], g["shrink"], g["min_sim"], f"nb{g['top_k']}") for i, g in enumerate(_FULL)) + " UNION ALL ".join(
+    " SELECT " + ", ".join(f"{float(v)}::DOUBLE AS {n}" for n, v in g.items()) + f", count(*) AS n, ROUND(sqrt(avg(power(rating - v, 2))), 6) AS rmse, ROUND(avg(abs(rating - v)), 6) AS mae, ROUND(avg(CASE WHEN fb THEN 1.0 ELSE 0 END), 6) AS fallback_rate FROM r{i}"
+    for i, g in enumerate(_FULL)))
+def cf_full_grid(spark, d):
+    """All five axes from one table of ranked neighbours."""
+    train, test = raw_split(spark, d, 0.8)
+    cells = cut_lineage(N.centred_cells(train, *UI, "rating"))
+    near = stored(N.bounded_neighbours(cells, *UI, 20), "neighbours")
+    rows = M.mean_baseline(train, test, *UI, "rating", shrink=False, out="base")
+    return rounded(N.tune(rows, N.matches(test, near, cells, *UI, KEY), KEY, "base", "rating", _FULL), "rmse", "mae", "fallback_rate")
+
+
 @query("j06_residual_factors")
 def residual_factors(spark, d):
     train, test = raw_split(spark, d, 0.8)

@@ -46,6 +46,32 @@ def test_ridges_match_numpy(spark):
         assert np.allclose(w, want) and math.isclose(b, y.mean() - want @ x.mean(0), abs_tol=1e-9)
 
 
+def test_bounded_neighbours_form_fewer_pairs(spark):
+    """Small tight groups of items, a few users who rate nearly everything, users with one constant rating and repeated sims."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(30):
+        likes = rng.choice([-1, 1], size=6)
+        for u in range(8):
+            for i in range(6):
+                if rng.random() < 0.9:
+                    rows.append((g * 8 + u, g * 6 + i, float(3 + 2 * likes[i] * (1 if u % 2 else -1) + rng.normal() * 0.1)))
+    for u in range(5):
+        rows += [(10_000 + u, i, 3.0 + 0.2 * float(rng.normal())) for i in range(180) if rng.random() < 0.9]
+    rows += [(20_000, i, 4.0) for i in range(0, 180, 7)]
+    cells = N.centred_cells(spark.createDataFrame(rows, "user bigint, item bigint, rating double"), "user", "item", "rating").checkpoint()
+    for k in (1, 3):
+        want = {tuple(r) for r in N.neighbours(cells, "user", "item", k).select("item", "neighbour", "sim", "common").collect()}
+        got = N.bounded_neighbours(cells, "user", "item", k, chunk=50)
+        assert {tuple(r) for r in got.drop("rank").collect()} == want
+        assert got.groupBy("item").agg(F.max("rank").alias("m"), F.count("*").alias("n")).filter("m <> n").count() == 0
+    split = N.split_cells(cells, "user", "item", 2)
+    formed, whole = split.agg(F.sum(F.when(~F.col("head") & (F.col("x") != 0), F.col("items"))), F.sum("items")).first()
+    assert formed < whole / 2
+    empty = N.bounded_neighbours(cells.limit(0), "user", "item", 3)
+    assert empty.count() == 0
+
+
 def test_neighbours_by_hand(spark):
     ratings = {1: {10: 5, 20: 4, 30: 1}, 2: {10: 4, 20: 5, 30: 2}, 3: {10: 1, 20: 2, 30: 5}, 4: {10: 5, 30: 3}}
     rows = [(u, i, r) for u, items in ratings.items() for i, r in items.items()]
