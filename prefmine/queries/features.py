@@ -106,7 +106,7 @@ def stacked_features(spark, d):
 def truncated_svd(spark, d):
     from prefmine.core import cut_lineage
 
-    rows, _, singular, share = L.truncated_svd(cut_lineage(all_features(spark, d)), "item_id", "feature", "value", 8)
+    rows, _, singular, share, _ = L.truncated_svd(cut_lineage(all_features(spark, d)), "item_id", "feature", "value", 8, rounds=30, tol=0.01)
     return rows.select("item_id", L.unit(F.col("vec")).alias("vec"), F.lit(share).alias("explained"), F.lit(float(singular[0])).alias("largest"))
 
 

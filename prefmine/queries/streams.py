@@ -19,7 +19,7 @@ SELECT user_id, count(*) AS review_count, count(DISTINCT event_type)::INT AS lab
 def user_stats_stream(spark, d):
     path = scratch_path(spark, "q01")
     A.user_stats_stream(events(spark, d), "user_id", "event_type", f"{path}/out", f"{path}/state")
-    return A.latest_user_stats(spark, f"{path}/out", "user_id")
+    return A.latest_user_stats(spark, f"{path}/out", "user_id", "event_type")
 
 
 @query("q02_activity_windows", """

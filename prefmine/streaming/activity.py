@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from prefmine.core import top_per_key
-
 
 def read_stream(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
     """New Parquet files of a folder."""
@@ -24,21 +22,30 @@ def _finish(query: StreamingQuery) -> None:
         raise query.exception()
 
 
-def user_stats_stream(events: DataFrame, user: str, label: str, path: str, checkpoint: str, bridge_from: int = 3) -> None:
-    """Rows and distinct labels per user; each batch appends the users it changed with the batch number."""
-    stats = events.groupBy(user).agg(F.count(F.lit(1)).alias("review_count"), F.size(F.collect_set(label)).alias("label_count"))
-    stats = stats.withColumn("is_bridge_user", F.col("label_count") >= bridge_from)
+def user_stats_stream(events: DataFrame, user: str, label: str, path: str, checkpoint: str) -> None:
+    """Rows per (user, label), kept as a table that every batch merges its own counts into.
+
+    The stream has no state and no set of labels: a batch adds its counts to the table the batch before it left. Two
+    folders take turns, so a batch that is run again starts from the same table, and only two copies are ever kept.
+    """
 
-    def append(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    def merge(batch: DataFrame, number: int) -> None:
+        counts = batch.groupBy(user, label).agg(F.count(F.lit(1)).alias("rows"))
+        if number:
+            before = batch.sparkSession.read.parquet(f"{path}/side={(number - 1) % 2}").select(user, label, "rows")
+            counts = counts.unionByName(before).groupBy(user, label).agg(F.sum("rows").alias("rows"))
+        counts.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/side={number % 2}")
 
-    _finish(stats.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(append).start())
+    rows = events.select(user, label)
+    _finish(rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(merge).start())
 
 
-def latest_user_stats(spark: SparkSession, path: str, user: str) -> DataFrame:
-    """The newest row per user of what the stream has written."""
+def latest_user_stats(spark: SparkSession, path: str, user: str, label: str, bridge_from: int = 3) -> DataFrame:
+    """Rows and distinct labels per user, from the newest table the stream has written. Null labels are not counted as labels."""
     rows = spark.read.parquet(path)
-    return top_per_key(rows, [user], [F.desc("batch")]).drop("batch")
+    newest = rows.filter(F.col("batch") == rows.agg(F.max("batch")).scalar())
+    stats = newest.groupBy(user).agg(F.sum("rows").alias("review_count"), F.count(label).cast("int").alias("label_count"))
+    return stats.withColumn("is_bridge_user", F.col("label_count") >= bridge_from)
 
 
 def activity_windows(events: DataFrame, ts: str, rating: str, path: str, checkpoint: str, width: str = "30 days", delay: str = "7 days") -> None:

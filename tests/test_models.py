@@ -17,12 +17,17 @@ def test_truncated_svd(spark):
     rng = np.random.default_rng(0)
     a = rng.normal(size=(30, 5)) @ rng.normal(size=(5, 12)) + 0.01 * rng.normal(size=(30, 12))
     entries = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(30) for j in range(12)], "r bigint, c bigint, v double")
-    rows, cols, singular, share = L.truncated_svd(entries, "r", "c", "v", 3, rounds=4)
+    rows, cols, singular, share, residuals = L.truncated_svd(entries, "r", "c", "v", 3, rounds=20, tol=1e-4)
     u, s, vt = np.linalg.svd(a)
     assert np.allclose(singular, s[:3], rtol=1e-3)
     assert math.isclose(share, float((s[:3] ** 2).sum() / (s**2).sum()), rel_tol=1e-3)
     got = np.array([r["vec"] for r in rows.orderBy("r").collect()]) @ np.array([r["vec"] for r in cols.orderBy("c").collect()]).T
     assert np.allclose(got, (u[:, :3] * s[:3]) @ vt[:3], atol=1e-2)
+    v = np.array([r["vec"] for r in cols.orderBy("c").collect()])
+    us = np.array([r["vec"] for r in rows.orderBy("r").collect()])
+    assert np.allclose(v.T @ v, np.eye(3), atol=1e-8) and np.allclose(us.T @ us, np.diag(singular**2), atol=1e-6)
+    assert residuals.max() <= 1e-4 and np.linalg.norm(a.T @ (us / singular) - v * singular, axis=0).max() < 1e-3 * s[0]
+    assert L.truncated_svd(entries, "r", "c", "v", 3, rounds=1).residuals.max() > 1e-4
 
 
 def test_positive_ridge_is_optimal():
