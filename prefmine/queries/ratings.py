@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from prefmine.core import rnd, stored
+from prefmine.core import rnd, scratch_path, stored
 from prefmine.datasets import KEY, ORDER, interactions
 from prefmine.evaluation import ratings as E
 from prefmine.models import means as M
+from prefmine.models import saved as V
 from prefmine.operators import graph as H
 from prefmine.operators import profiles as P
 from prefmine.plans import rating as R
@@ -62,6 +63,15 @@ def raw_mean_baseline(spark, d):
     return M.mean_baseline(train, test, *UI, "rating", shrink=False).select(*KEY, rnd("pred").alias("pred"))
 
 
+@query("j02_saved_means", split_sql("interactions", 0.1) + SIDES + means_sql() + PRED + f" SELECT {K}, ROUND(pred, 6) AS pred FROM p")
+def saved_means(spark, d):
+    """Fitted, written, loaded, and only then asked."""
+    train, test = raw_split(spark, d, 0.1)
+    path = scratch_path(spark, "means-model")
+    V.fit_means(train, *UI, "rating").save(spark, path)
+    return V.load_means(spark, path).predict(test).select(*KEY, rnd("pred").alias("pred"))
+
+
 @query("k01_scores", split_sql("interactions", 0.8) + SIDES + means_sql() + PRED + f" SELECT {RMSE} FROM p")
 def scores(spark, d):
     train, test = raw_split(spark, d, 0.8)

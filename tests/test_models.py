@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from prefmine.core import cut_lineage
 from prefmine.evaluation import ranking as R
 from prefmine.models import ensemble as E
 from prefmine.models import linalg as L
@@ -64,7 +65,7 @@ def test_bounded_neighbours_form_fewer_pairs(spark):
     for u in range(5):
         rows += [(10_000 + u, i, 3.0 + 0.2 * float(rng.normal())) for i in range(180) if rng.random() < 0.9]
     rows += [(20_000, i, 4.0) for i in range(0, 180, 7)]
-    cells = N.centred_cells(spark.createDataFrame(rows, "user bigint, item bigint, rating double"), "user", "item", "rating").checkpoint()
+    cells = cut_lineage(N.centred_cells(spark.createDataFrame(rows, "user bigint, item bigint, rating double"), "user", "item", "rating"))
     for k in (1, 3):
         want = {tuple(r) for r in N.neighbours(cells, "user", "item", k).select("item", "neighbour", "sim", "common").collect()}
         got = N.bounded_neighbours(cells, "user", "item", k, chunk=50)
