@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -73,6 +74,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, path: str, schema: str, make: Callable[[], DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
+    """The table at ``path``, written from ``make()`` unless an earlier run has completed it.
+
+    So a job whose driver was lost goes on after its last complete table when it is started again with the same paths.
+    """
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        make().write.mode("overwrite").partitionBy(*by).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for an intermediate table."""
     return f"{shared_dir(spark).rstrip('/')}/prefmine/{name}-{uuid.uuid4().hex}"
