@@ -10,6 +10,7 @@ from prefmine.models import saved as V
 from prefmine.operators import graph as H
 from prefmine.operators import profiles as P
 from prefmine.plans import rating as R
+from prefmine.plans import tuning as U
 from prefmine.queries.graph import core_sql, split_sql
 from prefmine.queries.profiles import rounded
 from prefmine.queries.registry import query
@@ -273,6 +274,22 @@ def implicit_rating(spark, d):
     return rounded(C.scale_grid(cut_lineage(rows.select("rating", "base", "score")), "base", "score", "rating", coarse), "rmse", "mae", "known_coverage", digits=4)
 
 
+def inner_split(spark, d):
+    """Training rows up to the last tenth of the training side, and that tenth."""
+    folds = stored(H.temporal_split(raw_split(spark, d, 0.8)[0].drop("split"), 0.9, ORDER), "folds")
+    return folds.filter("split = 'train'"), folds.filter("split = 'test'")
+
+
+@query("j06_gradient_grid")
+def gradient_grid(spark, d):
+    return rounded(U.gradient_grid(*inner_split(spark, d)), "rmse", "mae", "known_coverage", "train_rmse", digits=4)
+
+
+@query("j07_implicit_grid")
+def implicit_grid(spark, d):
+    return rounded(U.implicit_grid(*inner_split(spark, d)), "rmse", "mae", "known_coverage", digits=4)
+
+
 @query("j09_explicit_als")
 def explicit_als(spark, d):
     train, test = raw_split(spark, d, 0.8)
