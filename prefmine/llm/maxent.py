@@ -1,7 +1,7 @@
 """Language-model scoring: hashed maximum-entropy model with a class-factored softmax.
 
 Tokens are lower-cased (A-Z) words and one end per text. The model is
-``P(token | history) = P(class | history) * P(token | class)``.
+``P(token | history) = P(class | history) * P(cell | class, history) * P(token | cell)``.
 
 - Classes: each of the ``HEADS`` most frequent training words is a class of its own, and so is the end.
   Every other token belongs to the group of a head: the commonest frequent word of a text in which it
@@ -9,18 +9,24 @@ Tokens are lower-cased (A-Z) words and one end per text. The model is
 - ``P(class | history)`` is a softmax over the classes of the sum of hashed features' weights: the previous
   token, the previous two together (n-grams), the token before the previous one and the third before
   (skips), and a bias. Each template hashes into its own ``BUCKETS`` rows.
-- ``P(token | class)`` is the class's maximum-entropy distribution under its token counts, discounted
-  absolutely, and does not depend on the history; the mass taken off is that of the unknown token. So the probabilities over all known tokens
-  and the one unknown token sum to one, over the same events as the base score's.
+- ``P(cell | class, history)``: the ``OWN`` most frequent tokens of a group are a cell each, all others are dealt by hash
+  into ``CELLS - OWN`` shared ones. A second softmax over the cells of a group sums the weights of the same n-gram
+  and skip features, each taken together with the group, in ``inner_buckets`` rows per template, which grow with the training tokens. So history chooses
+  among some 400 words, as words, and among the shared cells for the rest. Classes of one token have one cell.
+- ``P(token | cell)`` is the cell's maximum-entropy distribution under its token counts, discounted absolutely, and does
+  not depend on the history. What the discount takes off a class is the mass of the unknown token in it. So the
+  probabilities over all known tokens and the one unknown token sum to one, over the same events as the base score's.
 
 Texts are tokenised once, in blocks of at most ``BLOCK_BYTES``: a block's texts become places in the
 block's own list of distinct tokens. These lists are shuffled by token to give each entry its training
 total and class, and then by block, where they meet the block's texts: the vocabulary is never held or
-sent whole. Texts are then stored as class numbers and 16-bit token hashes. Training goes over all
+sent whole. Texts are then stored as class numbers, cells and 16-bit token hashes. Training goes over all
 training texts, a third of them in each round: every task starts from the round's weights and makes
 mini-batch gradient steps over its part; changes are averaged per weight row over the tasks that made
-any. The weights' size does not depend on the data (``TEMPLATES * BUCKETS`` rows of ``CLASSES`` floats,
-4 MB); they, the head words and totals per class are all that passes the driver.
+any. The class weights have ``TEMPLATES * BUCKETS`` rows of ``CLASSES`` floats (4 MB), whatever the data; rows of cells, and the tokens
+that a training task takes, both grow with the cube root of the training tokens, so that what tasks send stays in proportion to
+the input: 4 MB of cells up to 67 million tokens, 16 MB at 4 billion, 256 MB at 17 trillion. Weights, head words, the most frequent tokens
+of the groups and totals per cell are all that passes the driver.
 
 Null texts count as empty: their only token is the end. A null id counts as an empty text for the fold.
 Repeated rows are scored, and learned from, each. Without training texts all scores are those of a
@@ -30,7 +36,7 @@ uniform model over one unknown token and the end.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -38,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prefmine.core import top_per_key
 from prefmine.llm.tables import written
 from prefmine.llm.words import slices, words_of
 
@@ -47,22 +54,28 @@ LOOSE, ENDING, UNKNOWN = 2 * HEADS, 2 * HEADS + 1, 255
 BUCKETS = 1 << 12
 TEMPLATES = 4
 ROWS_EACH = 256  # weight rows that travel together
+OWN, CELLS = 12, 16  # tokens of a group with a cell of their own, all its cells
+INNER_BUCKETS = 1 << 14  # rows of cells per template for up to GROWS_FROM training tokens
+GROWS_FROM = 1 << 26
+TASK_TOKENS = 3 << 19  # of a training task, for up to GROWS_FROM training tokens
 END = np.uint64(0x5851F42D4C957F2D)
 BLOCK_BYTES = 12 << 20
 FREQUENT = 64  # of a block's tokens, those that can be the head of a text
 
 BLOCK_ROW = "kind int, block long, doc_id long, held_out boolean, n int, ids binary, place int, token long, head long"
-TEXT_ROW = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, classes binary, hashes binary"
+TEXT_ROW = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, classes binary, cells binary, hashes binary"
 
 
 class Totals(NamedTuple):
-    """Of the training tokens: count, distinct tokens, the discount, count and distinct tokens of each class."""
+    """Of the training tokens: count, distinct tokens, the discount, count and distinct tokens of each class and of each of its cells."""
 
     tokens: int
     distinct: int
     discount: float
     class_tokens: np.ndarray
     class_distinct: np.ndarray
+    cell_tokens: np.ndarray
+    cell_distinct: np.ndarray
 
     @property
     def unknown_share(self) -> np.ndarray:
@@ -71,6 +84,24 @@ class Totals(NamedTuple):
         share[:HEADS] = share[ENDING] = 0
         return share
 
+    @property
+    def growth(self) -> int:
+        """Cube root of the training tokens over ``GROWS_FROM``, as the next power of two, 1 at least."""
+        return 1 << max(0, math.ceil(math.log2(max(self.tokens, 1) / GROWS_FROM) / 3))
+
+    @property
+    def inner_buckets(self) -> int:
+        return INNER_BUCKETS * self.growth
+
+    def inside(self, c: np.ndarray, kind: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """log10 P(token | cell), and that it is a known one, of tokens with training counts ``c``; 0 for unknown tokens."""
+        out = np.zeros(len(c))
+        at = np.flatnonzero((kind >= HEADS) & (kind <= LOOSE) & (c > 0))
+        k, e = kind[at], cell[at]
+        rest = self.cell_tokens[k, e] - self.discount * self.cell_distinct[k, e]
+        out[at] = np.log10(1 - self.unknown_share[k]) + np.log10((c[at] - self.discount) / rest)
+        return out
+
 
 def _packed(values: np.ndarray) -> bytes:
     return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
@@ -168,52 +199,63 @@ def with_totals(rows: DataFrame) -> tuple[DataFrame, Totals]:
     kind = F.when(F.col("c") == 0, UNKNOWN).when(F.col("token") == end, ENDING)
     kind = F.coalesce(kind, F.try_element_at(own, "token"), F.try_element_at(own, "group") + HEADS, F.lit(LOOSE)).cast("int")
     counted = counted.withColumn("class", kind)
-    known = counted.filter(F.col("own") & (F.col("c") > 0)).groupBy("class").agg(
+    grouped = counted.filter(F.col("own") & F.col("class").between(HEADS, LOOSE)).select("class", "token", "c")
+    # at most OWN tokens of every group
+    first = top_per_key(grouped, ["class"], [F.desc("c"), F.col("token")], OWN).select("class", "token", "c").collect()
+    first.sort(key=lambda r: (r["class"], -r["c"], r["token"]))
+    own_cell, place = [], dict.fromkeys(range(CLASSES), 0)
+    for r in first:
+        own_cell.append((r["token"], place[r["class"]]))
+        place[r["class"]] += 1
+    own_cells = rows.sparkSession.createDataFrame(own_cell, "token bigint, own_cell int")
+    in_group = F.col("class").between(HEADS, LOOSE)
+    shared = F.lit(OWN) + F.pmod(F.col("token"), F.lit(CELLS - OWN)).cast("int")
+    counted = counted.join(F.broadcast(own_cells), "token", "left").withColumn("cell", F.when(in_group, F.coalesce("own_cell", shared)).otherwise(0))
+    known = counted.filter(F.col("own") & (F.col("c") > 0)).groupBy("class", "cell").agg(
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")
-    ).collect()  # a row per class
-    tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
+    ).collect()  # a row per cell
+    cell_tokens, cell_distinct = np.zeros((CLASSES, CELLS)), np.zeros((CLASSES, CELLS))
     for r in known:
-        tokens[r["class"]], distinct[r["class"]] = r["n"], r["v"]
+        cell_tokens[r["class"], r["cell"]], cell_distinct[r["class"], r["cell"]] = r["n"], r["v"]
+    tokens, distinct = cell_tokens.sum(1), cell_distinct.sum(1)
     once, twice = sum(r["n1"] for r in known), sum(r["n2"] for r in known)
     discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    totals = Totals(int(tokens.sum()), int(distinct.sum()), discount, tokens, distinct)
+    totals = Totals(int(tokens.sum()), int(distinct.sum()), discount, tokens, distinct, cell_tokens, cell_distinct)
     short = F.col("token").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("short")  # all that the features need of it
-    return counted.select("block", "place", short, "c", "class"), totals
+    return counted.select("block", "place", short, "c", "class", "cell"), totals
 
 
 def encoded(rows: DataFrame, entries: DataFrame, totals: Totals) -> DataFrame:
-    """Texts as classes and token hashes, with the base score and the score inside classes."""
+    """Texts as classes, cells and token hashes, with the base score and the score inside cells."""
     norm = totals.tokens + 0.5 * (totals.distinct + 1)
-    sizes = np.append(np.maximum(totals.class_tokens, 1), np.ones(UNKNOWN + 1 - CLASSES))
-    single = np.zeros(UNKNOWN + 1, bool)
-    single[:HEADS] = single[ENDING] = single[UNKNOWN] = True
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         n = left.num_rows
         at = left["place"].to_numpy()
-        c, kind, short = np.zeros(n, np.int64), np.zeros(n, np.uint8), np.zeros(n, np.uint16)
+        c, kind, cell, short = np.zeros(n, np.int64), np.zeros(n, np.uint8), np.zeros(n, np.uint8), np.zeros(n, np.uint16)
+        cell[at] = left["cell"].to_numpy().astype(np.uint8)
         c[at], kind[at] = left["c"].to_numpy(), left["class"].to_numpy().astype(np.uint8)
         short[at] = left["short"].to_numpy().astype(np.uint16)
         base = np.log10((c + 0.5) / norm)
-        inside = np.where(single[kind], 0.0, np.log10(np.maximum(c - totals.discount, 1e-9) / sizes[kind]))
+        inside = totals.inside(c, kind, cell)
         out: dict[str, list] = {f.split()[0]: [] for f in TEXT_ROW.split(", ")}
         for row in right.select(["doc_id", "held_out", "n", "ids"]).to_pylist():
             places = _unpacked(row["ids"], np.int32, row["n"])
-            values = (row["doc_id"], row["held_out"], row["n"], int((c[places] > 0).sum()), float(base[places].sum()), float(inside[places].sum()), _packed(kind[places]), _packed(short[places]))
+            values = (row["doc_id"], row["held_out"], row["n"], int((c[places] > 0).sum()), float(base[places].sum()), float(inside[places].sum()), _packed(kind[places]), _packed(cell[places]), _packed(short[places]))
             for name, value in zip(out, values):
                 out[name].append(value)
-        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types)})
 
     texts = rows.filter("kind = 0").select("block", "doc_id", "held_out", "n", "ids")
     return entries.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(run, TEXT_ROW)
 
 
-# --------------------------------------------------------------------------- the model of classes
+# --------------------------------------------------------------------------- the model of classes and cells
 
 
-def feature_rows(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Weight rows of the features of every token, one column per template; no history crosses a text's start."""
+def histories(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The history of every token as each template sees it; no history crosses a text's start."""
     n = len(hashes)
     starts = np.cumsum(sizes) - sizes
     place = np.arange(n) - np.repeat(starts, sizes)
@@ -224,9 +266,25 @@ def feature_rows(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         past[place < back] = 0
         before.append(past)
     one, two, three = before
-    mixed = (one, one * np.uint32(0x9E3779B1) + two * np.uint32(0x85EBCA77), two + np.uint32(0x20000), three + np.uint32(0x40000))
-    spread = [((m ^ (m >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(20)).astype(np.int64) for m in mixed]
-    return np.stack([s + i * BUCKETS for i, s in enumerate(spread)], axis=1)
+    return one, one * np.uint32(0x9E3779B1) + two * np.uint32(0x85EBCA77), two + np.uint32(0x20000), three + np.uint32(0x40000)
+
+
+def hashed(mixed: Iterable[np.ndarray], buckets: int) -> np.ndarray:
+    """Weight rows, one column per template; ``buckets`` is a power of two."""
+    down = np.uint32(32 - buckets.bit_length() + 1)
+    spread = [((m ^ (m >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> down).astype(np.int64) for m in mixed]
+    return np.stack([s + i * buckets for i, s in enumerate(spread)], axis=1)
+
+
+def feature_rows(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Weight rows of the class features of every token."""
+    return hashed(histories(hashes, sizes), BUCKETS)
+
+
+def cell_rows(past: tuple[np.ndarray, ...], at: np.ndarray, classes: np.ndarray, buckets: int) -> np.ndarray:
+    """Weight rows of the cell features of the tokens ``at``: of their histories together with their classes."""
+    own = (classes.astype(np.uint32) + np.uint32(1)) * np.uint32(0xC2B2AE35)
+    return hashed([(m[at] ^ own) * np.uint32(0x27D4EB2F) for m in past], buckets)
 
 
 def log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -251,8 +309,26 @@ def gradient_steps(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, r
         weights[at] -= step * (rate / np.sqrt(squares[at] + 1e-3))[:, None]
 
 
-def _batches(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Texts of an Arrow batch in groups of about ``size`` tokens: classes, hashes, tokens per text."""
+def cell_steps(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, rows: np.ndarray, cells: np.ndarray, rate: float) -> None:
+    """The like for cells, with a bias per token, moving only the rows that the mini-batch meets."""
+    gradient = np.exp(log_probabilities(weights, bias, rows))
+    gradient[np.arange(len(cells)), cells] -= 1
+    for t in range(TEMPLATES):
+        order = np.argsort(rows[:, t], kind="stable")
+        ids = rows[order, t]
+        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        step, at = np.add.reduceat(gradient[order], starts, axis=0), ids[starts]
+        squares[at] += np.einsum("ij,ij->i", step, step) / CELLS
+        weights[at] -= step * (rate / np.sqrt(squares[at] + 1e-3))[:, None]
+
+
+def _grouped(classes: np.ndarray) -> np.ndarray:
+    """Places of the tokens that are in a group, and so in one of several cells."""
+    return np.flatnonzero((classes >= HEADS) & (classes <= LOOSE))
+
+
+def _batches(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts of an Arrow batch in groups of about ``size`` tokens: classes, cells, hashes, tokens per text."""
     n = batch.column("n_tokens").to_numpy()
     group = np.cumsum(n) // size
     for at in np.split(np.arange(len(n)), np.flatnonzero(np.diff(group)) + 1):
@@ -260,11 +336,12 @@ def _batches(batch: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.
             part = batch.slice(at[0], len(at))
             sizes = n[at]
             classes = [_unpacked(r, np.uint8, k) for r, k in zip(part.column("classes").to_pylist(), sizes)]
+            cells = [_unpacked(r, np.uint8, k) for r, k in zip(part.column("cells").to_pylist(), sizes)]
             hashes = [_unpacked(r, np.uint16, k) for r, k in zip(part.column("hashes").to_pylist(), sizes)]
-            yield np.concatenate(classes), np.concatenate(hashes), sizes
+            yield np.concatenate(classes), np.concatenate(cells), np.concatenate(hashes), sizes
 
 
-DELTA = "rows int, salt int, change binary, tasks binary"
+DELTA = "rows int, salt int, change binary, tasks binary"  # chunks of ROWS_EACH rows, those of cells after those of classes
 MINI = 8192
 
 
@@ -277,46 +354,98 @@ def _summed(deltas: DataFrame, *keys: str) -> DataFrame:
     return deltas.groupBy(*keys).applyInArrow(run, DELTA)
 
 
-def train(texts: DataFrame, totals: Totals, rounds: int = 3, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, bias) of the class model from all texts that are not held out."""
+class Model(NamedTuple):
+    """Weights and biases of the classes, and of the cells of each class."""
+
+    weights: np.ndarray
+    bias: np.ndarray
+    cell_weights: np.ndarray
+    cell_bias: np.ndarray
+
+
+def _untrained(totals: Totals) -> Model:
     bias = np.log((totals.class_tokens + 0.5) / (totals.tokens + 0.5 * CLASSES)).astype(np.float32)
-    weights = np.zeros((TEMPLATES * BUCKETS, CLASSES), np.float32)
-    learned = texts.filter(~F.col("held_out")).select("doc_id", "n_tokens", "classes", "hashes")
+    # a cell without tokens has no mass
+    cells = np.log(np.maximum(totals.cell_tokens, 1e-18) / np.maximum(totals.class_tokens, 1)[:, None]).astype(np.float32)
+    return Model(np.zeros((TEMPLATES * BUCKETS, CLASSES), np.float32), bias, np.zeros((TEMPLATES * totals.inner_buckets, CELLS), np.float32), cells)
+
+
+def _changes(new: np.ndarray, old: np.ndarray, squares: np.ndarray, first: int, salt: int) -> Iterator[pa.RecordBatch]:
+    changed = (squares > 1.0).astype(np.int32)
+    for i in range(0, len(new), ROWS_EACH):
+        at = slice(i, i + ROWS_EACH)
+        if changed[at].any():
+            yield pa.RecordBatch.from_pydict({
+                "rows": pa.array([first + i // ROWS_EACH], pa.int32()), "salt": pa.array([salt], pa.int32()),
+                "change": [(new[at] - old[at]).tobytes()], "tasks": [changed[at].tobytes()],
+            })
+
+
+def train(texts: DataFrame, totals: Totals, rounds: int = 3, rate: float = 0.3) -> Model:
+    """The model from all texts that are not held out."""
+    model = _untrained(totals)
+    learned = texts.filter(~F.col("held_out")).select("doc_id", "n_tokens", "classes", "cells", "hashes")
+    tasks = max(1, -(-totals.tokens // (rounds * TASK_TOKENS * totals.growth)))
+    chunks = len(model.weights) // ROWS_EACH
     for turn in range(rounds):
-        now = weights
 
-        def run(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], now: Model = model) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            own, squares = now.copy(), np.full(len(now), 1.0, np.float32)
+            own, squares = now.weights.copy(), np.full(len(now.weights), 1.0, np.float32)
+            own_cells, cell_squares = now.cell_weights.copy(), np.full(len(now.cell_weights), 1.0, np.float32)
+            buckets = len(own_cells) // TEMPLATES
             for batch in batches:
-                for classes, hashes, sizes in _batches(batch, 8 * MINI):
-                    rows = feature_rows(hashes, sizes)
+                for classes, cells, hashes, sizes in _batches(batch, 8 * MINI):
+                    past = histories(hashes, sizes)
+                    rows = hashed(past, BUCKETS)
                     for i in range(0, len(rows), MINI):
-                        gradient_steps(own, bias, squares, rows[i : i + MINI], classes[i : i + MINI], rate)
-            own -= now
-            changed = (squares > 1.0).astype(np.int32)
-            part = TaskContext.get().partitionId()
-            for i in range(0, len(own), ROWS_EACH):
-                if changed[i : i + ROWS_EACH].any():
-                    yield pa.RecordBatch.from_pydict({
-                        "rows": pa.array([i // ROWS_EACH], pa.int32()), "salt": pa.array([part % 64], pa.int32()),
-                        "change": [own[i : i + ROWS_EACH].tobytes()], "tasks": [changed[i : i + ROWS_EACH].tobytes()],
-                    })
-
-        share = learned.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn)
+                        gradient_steps(own, now.bias, squares, rows[i : i + MINI], classes[i : i + MINI], rate)
+                    inner = _grouped(classes)
+                    for i in range(0, len(inner), MINI):
+                        at = inner[i : i + MINI]
+                        k = classes[at]
+                        cell_steps(own_cells, now.cell_bias[k], cell_squares, cell_rows(past, at, k, buckets), cells[at], rate)
+            salt = TaskContext.get().partitionId() % 64
+            yield from _changes(own, now.weights, squares, 0, salt)
+            yield from _changes(own_cells, now.cell_weights, cell_squares, chunks, salt)
+
+        share = learned.filter(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn).coalesce(tasks)
         deltas = _summed(_summed(share.mapInArrow(run, DELTA), "rows", "salt"), "rows").collect()  # the size of the weights
-        weights = weights.copy()
+        weights, cell_weights = model.weights.copy(), model.cell_weights.copy()
         for row in deltas:
-            at = slice(row["rows"] * ROWS_EACH, (row["rows"] + 1) * ROWS_EACH)
-            tasks = np.maximum(np.frombuffer(row["tasks"], np.int32), 1)
-            weights[at] += np.frombuffer(row["change"], np.float32).reshape(-1, CLASSES) / tasks[:, None]
-    return weights, bias
-
-
-def text_scores(texts: DataFrame, totals: Totals, weights: np.ndarray, bias: np.ndarray) -> DataFrame:
+            table, first = (weights, row["rows"]) if row["rows"] < chunks else (cell_weights, row["rows"] - chunks)
+            at = slice(first * ROWS_EACH, (first + 1) * ROWS_EACH)
+            many = np.maximum(np.frombuffer(row["tasks"], np.int32), 1)
+            table[at] += np.frombuffer(row["change"], np.float32).reshape(len(many), -1) / many[:, None]
+        model = model._replace(weights=weights, cell_weights=cell_weights)
+    return model
+
+
+def token_scores(model: Model, unknown: np.ndarray, classes: np.ndarray, cells: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """ln P(class, cell | history) of every token; of an unknown one, ln of its own probability."""
+    past = histories(hashes, sizes)
+    rows = hashed(past, BUCKETS)
+    out = np.zeros(len(rows))
+    for i in range(0, len(rows), MINI):
+        logs, own = log_probabilities(model.weights, model.bias, rows[i : i + MINI]), classes[i : i + MINI]
+        known = own != UNKNOWN
+        value = logs[np.arange(len(own)), np.where(known, own, 0)]
+        if not known.all():
+            value[~known] = np.log(np.maximum(np.exp(logs[~known]) @ unknown, 1e-30))
+        out[i : i + MINI] = value
+    inner = _grouped(classes)
+    buckets = len(model.cell_weights) // TEMPLATES
+    for i in range(0, len(inner), MINI):
+        at = inner[i : i + MINI]
+        logs = log_probabilities(model.cell_weights, model.cell_bias[classes[at]], cell_rows(past, at, classes[at], buckets))
+        out[at] += logs[np.arange(len(at)), cells[at]]
+    return out
+
+
+def text_scores(texts: DataFrame, totals: Totals, model: Model) -> DataFrame:
     """Appends ``score``: log10 of the model's probability of the whole text."""
-    unknown = np.append(totals.unknown_share, 0)[:CLASSES].astype(np.float32)
+    unknown = totals.unknown_share.astype(np.float32)
     scale = 1 / math.log(10)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     empty = not totals.tokens
@@ -325,16 +454,8 @@ def text_scores(texts: DataFrame, totals: Totals, weights: np.ndarray, bias: np.
         for batch in batches:
             score = batch.column("inside").to_numpy().copy()
             done = 0
-            for classes, hashes, sizes in _batches(batch, MINI):
-                rows = feature_rows(hashes, sizes)
-                each = np.zeros(len(rows))
-                for i in range(0, len(rows), MINI):
-                    logs, own = log_probabilities(weights, bias, rows[i : i + MINI]), classes[i : i + MINI]
-                    known = own != UNKNOWN
-                    value = logs[np.arange(len(own)), np.where(known, own, 0)]
-                    if not known.all():
-                        value[~known] = np.log(np.maximum(np.exp(logs[~known]) @ unknown, 1e-30))
-                    each[i : i + MINI] = value
+            for classes, cells, hashes, sizes in _batches(batch, MINI):
+                each = token_scores(model, unknown, classes, cells, hashes, sizes)
                 score[done : done + len(sizes)] += np.add.reduceat(each, np.cumsum(sizes) - sizes) * scale
                 done += len(sizes)
             if empty:
@@ -351,5 +472,4 @@ def score_texts(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "
     cut = written(blocks(rows), "blocks")
     entries, totals = with_totals(cut)
     texts = written(encoded(cut, entries, totals), "encoded")
-    weights, bias = train(texts, totals, rounds)
-    return text_scores(texts, totals, weights, bias).withColumn("train_tokens", F.lit(totals.tokens).cast("bigint"))
+    return text_scores(texts, totals, train(texts, totals, rounds)).withColumn("train_tokens", F.lit(totals.tokens).cast("bigint"))

@@ -37,15 +37,27 @@ def test_probabilities_sum_to_one():
     counts = rng.integers(1, 50, 300)
     kinds = np.append(np.arange(maxent.HEADS), rng.integers(maxent.HEADS, maxent.LOOSE + 1, 300 - maxent.HEADS - 1)).astype(int)
     kinds = np.append(kinds, maxent.ENDING)
-    tokens, distinct = np.bincount(kinds, counts, maxent.CLASSES), np.bincount(kinds, minlength=maxent.CLASSES).astype(float)
-    totals = maxent.Totals(int(counts.sum()), 300, 0.7, tokens, distinct)
-    single = (kinds < maxent.HEADS) | (kinds == maxent.ENDING)
-    inside = np.where(single, 1.0, (counts - 0.7) / tokens[kinds])
-    weights = rng.normal(size=(maxent.TEMPLATES * maxent.BUCKETS, maxent.CLASSES)).astype(np.float32)
-    bias = np.full(maxent.CLASSES, -40.0, np.float32)
-    bias[tokens > 0] = 0
-    p = np.exp(maxent.log_probabilities(weights, bias, np.array([[5, 4100, 9000, 13000]])))[0]
-    assert (p[kinds] * inside).sum() + p @ totals.unknown_share == pytest.approx(1, abs=1e-5)
+    grouped = (kinds >= maxent.HEADS) & (kinds <= maxent.LOOSE)
+    cells = np.where(grouped, rng.integers(0, maxent.CELLS - 3, len(kinds)), 0)  # some cells have no token
+    shape = (maxent.CLASSES, maxent.CELLS)
+    at = kinds * maxent.CELLS + cells
+    cell_tokens, cell_distinct = np.bincount(at, counts, np.prod(shape)).reshape(shape), np.bincount(at, minlength=np.prod(shape)).astype(float).reshape(shape)
+    totals = maxent.Totals(int(counts.sum()), 300, 0.7, cell_tokens.sum(1), cell_distinct.sum(1), cell_tokens, cell_distinct)
+    start = maxent._untrained(totals)
+    bias = np.where(totals.class_tokens > 0, start.bias, -40.0).astype(np.float32)
+    noise = lambda w: rng.normal(size=w.shape).astype(np.float32)
+    model = start._replace(weights=noise(start.weights), bias=bias, cell_weights=noise(start.cell_weights))
+    history = np.array([11, 22, 33], np.uint16)
+    # one text per token, in which that token follows the history; the last one ends in an unknown token
+    kinds_of = np.append(kinds, maxent.UNKNOWN)
+    cells_of = np.append(cells, 0)
+    classes = np.stack([np.zeros(len(kinds_of), int)] * 3 + [kinds_of], 1).ravel().astype(np.uint8)
+    inner = np.stack([np.zeros(len(kinds_of), int)] * 3 + [cells_of], 1).ravel().astype(np.uint8)
+    hashes = np.tile(np.append(history, 44).astype(np.uint16), len(kinds_of))
+    scores = maxent.token_scores(model, totals.unknown_share.astype(np.float32), classes, inner, hashes, np.full(len(kinds_of), 4))[3::4]
+    inside = totals.inside(np.append(counts, 0), kinds_of, cells_of)
+    assert (np.exp(scores) * 10**inside).sum() == pytest.approx(1, abs=1e-4)
+    assert np.ptp(scores[:-1][kinds == maxent.HEADS]) > 0.1
 
 
 def test_histories_stop_at_text_starts():
@@ -65,6 +77,41 @@ def test_gradient_steps_learn_a_sequence():
     assert np.exp(maxent.log_probabilities(weights, bias, rows)[np.arange(len(classes)), classes]).mean() > 0.8
 
 
+def test_cell_steps_learn_histories_inside_a_class():
+    """The same class throughout: only the history tells the cells apart."""
+    hashes = np.tile(np.array([1, 2, 3, 4, 5, 6], np.uint16), 400)
+    cells = (hashes - 1).astype(np.uint8)
+    past, at = maxent.histories(hashes, np.array([len(hashes)])), np.arange(len(hashes))
+    rows = maxent.cell_rows(past, at, np.full(len(hashes), maxent.HEADS + 3, np.uint8), 1 << 10)
+    other = maxent.cell_rows(past, at, np.full(len(hashes), maxent.HEADS + 4, np.uint8), 1 << 10)
+    assert (rows != other).mean() > 0.9
+    weights, squares = np.zeros((maxent.TEMPLATES << 10, maxent.CELLS), np.float32), np.ones(maxent.TEMPLATES << 10, np.float32)
+    bias = np.zeros((len(hashes), maxent.CELLS), np.float32)
+    for _ in range(20):
+        maxent.cell_steps(weights, bias, squares, rows, cells, 0.3)
+    assert np.exp(maxent.log_probabilities(weights, bias, rows)[at, cells]).mean() > 0.8
+
+
+def test_rare_words_are_predicted_from_their_history(spark):
+    """150 words, each always followed by the same one: with shares of a group alone, all but the heads would cost more than a digit."""
+    rng = np.random.default_rng(5)
+    follow = rng.permutation(150)
+    def text(i):
+        words, w = [], i % 150
+        for _ in range(200):
+            words.append(f"w{w}")
+            w = int(follow[w]) if rng.random() < 0.9 else int(rng.integers(150))
+        return " ".join(words)
+    df = spark.createDataFrame([(i, text(i)) for i in range(3000)], "doc_id long, text string").repartition(2)
+    out = maxent.score_texts(df, F.col("doc_id") % 10 == 0).filter("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
+    assert out[0] / out[1] > -1.0  # the source itself gives about -0.35, counts alone -2.2
+
+
+def test_rows_of_cells_grow_with_the_training_tokens():
+    sizes = [maxent.Totals(n, 1, 0.5, *[np.zeros(1)] * 4).inner_buckets for n in (0, 1 << 20, 1 << 26, 1 << 27, 1 << 32, 1 << 44)]
+    assert sizes == [1 << 14, 1 << 14, 1 << 14, 1 << 15, 1 << 16, 1 << 20]
+
+
 def test_thirty_frequent_words_are_each_predicted(spark):
     """Words in a fixed order: a class of 15 words or more would cost half the tokens log10(15), 0.59 a token."""
     rows = [(i, " ".join(f"w{(i + j) % 30}" for j in range(300))) for i in range(1500)]
