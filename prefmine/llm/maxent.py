@@ -386,6 +386,7 @@ def train(texts: DataFrame, totals: Totals, rounds: int = 3, rate: float = 0.3)
     model = _untrained(totals)
     learned = texts.filter(~F.col("held_out")).select("doc_id", "n_tokens", "classes", "cells", "hashes")
     tasks = max(1, -(-totals.tokens // (rounds * TASK_TOKENS * totals.growth)))
+    salts = math.isqrt(tasks - 1) + 1  # the first sums and the last one take as many parts each
     chunks = len(model.weights) // ROWS_EACH
     for turn in range(rounds):
 
@@ -406,7 +407,7 @@ def train(texts: DataFrame, totals: Totals, rounds: int = 3, rate: float = 0.3)
                         at = inner[i : i + MINI]
                         k = classes[at]
                         cell_steps(own_cells, now.cell_bias[k], cell_squares, cell_rows(past, at, k, buckets), cells[at], rate)
-            salt = TaskContext.get().partitionId() % 64
+            salt = TaskContext.get().partitionId() % salts
             yield from _changes(own, now.weights, squares, 0, salt)
             yield from _changes(own_cells, now.cell_weights, cell_squares, chunks, salt)
 
