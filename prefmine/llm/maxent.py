@@ -58,6 +58,7 @@ OWN, CELLS = 12, 16  # tokens of a group with a cell of their own, all its cells
 INNER_BUCKETS = 1 << 14  # rows of cells per template for up to GROWS_FROM training tokens
 GROWS_FROM = 1 << 26
 TASK_TOKENS = 3 << 19  # of a training task, for up to GROWS_FROM training tokens
+NEAR = 512  # tokens whose logits stay in a core's cache
 END = np.uint64(0x5851F42D4C957F2D)
 BLOCK_BYTES = 12 << 20
 FREQUENT = 64  # of a block's tokens, those that can be the head of a text
@@ -288,25 +289,32 @@ def cell_rows(past: tuple[np.ndarray, ...], at: np.ndarray, classes: np.ndarray,
 
 
 def log_probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[rows[:, 0]]
-    for t in range(1, TEMPLATES):
-        logits += weights[rows[:, t]]
-    logits += bias
-    logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+    out = np.empty((len(rows), weights.shape[1]), np.float32)
+    for i in range(0, len(rows), NEAR):
+        at = slice(i, i + NEAR)
+        logits = np.take(weights, rows[at, 0], axis=0, out=out[at], mode="clip")
+        more = np.empty_like(logits)
+        for t in range(1, TEMPLATES):
+            logits += np.take(weights, rows[at, t], axis=0, out=more, mode="clip")
+        logits += bias if bias.ndim == 1 else bias[at]
+        logits -= logits.max(1, keepdims=True)
+        logits -= np.log(np.exp(logits, out=more).sum(1, keepdims=True))
+    return out
 
 
 def gradient_steps(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, rows: np.ndarray, classes: np.ndarray, rate: float) -> None:
     """One mini-batch: every weight row moves against the mean gradient of its tokens, by AdaGrad."""
     gradient = np.exp(log_probabilities(weights, bias, rows))
     gradient[np.arange(len(classes)), classes] -= 1
-    columns = np.ascontiguousarray(gradient.T, np.float64)
+    flat, columns = gradient.astype(np.float64).ravel(), np.arange(CLASSES)
     for t in range(TEMPLATES):
         own = rows[:, t] - t * BUCKETS
-        step = np.stack([np.bincount(own, column, BUCKETS) for column in columns], axis=1).astype(np.float32)
+        cells = np.add.outer(own * CLASSES, columns).ravel()
+        step = np.bincount(cells, flat, BUCKETS * CLASSES).astype(np.float32).reshape(BUCKETS, CLASSES)
         at = slice(t * BUCKETS, (t + 1) * BUCKETS)
         squares[at] += np.einsum("ij,ij->i", step, step) / CLASSES
-        weights[at] -= step * (rate / np.sqrt(squares[at] + 1e-3))[:, None]
+        step *= (rate / np.sqrt(squares[at] + 1e-3))[:, None]
+        weights[at] -= step
 
 
 def cell_steps(weights: np.ndarray, bias: np.ndarray, squares: np.ndarray, rows: np.ndarray, cells: np.ndarray, rate: float) -> None:
