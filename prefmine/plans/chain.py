@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefmine.core import cut_lineage
+from prefmine.core import cut_lineage, stored
 from prefmine.models.factors import Factors, fit_als
 from prefmine.operators.graph import dense_index, encode, min_interactions, with_final_stage
 from prefmine.operators.windows import suffix_sums
@@ -82,7 +82,7 @@ def fit_stage_factors(df: DataFrame, user: str, item: str, stage: str, n_stages:
     rows = cut_lineage(df.select(user, item, stage))
     out = []
     for s in range(n_stages):
-        cells = rows.filter(F.col(stage) >= s).groupBy(user, item).agg(F.count(F.lit(1)).cast("double").alias("value"))
+        cells = stored(rows.filter(F.col(stage) >= s).groupBy(user, item).agg(F.count(F.lit(1)).cast("double").alias("value")), "cells")
         out.append(fit_als(cells, user, item, implicit=True, **params))
     return out
 

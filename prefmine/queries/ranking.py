@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from prefmine.core import cut_lineage, rnd
+from prefmine.core import cut_lineage, rnd, stored
 from prefmine.datasets import interactions, table
 from prefmine.evaluation import ranking as R
 from prefmine.functions import scalars as S
@@ -118,7 +118,7 @@ def top_items(spark, d):
 def implicit_ranker(spark, d):
     train, _ = sides(spark, d)
     weights = S.edge_weights("rating", "n_tokens", "n_tokens")["f3_rating_length"]
-    cells = train.groupBy(*UI).agg(F.sum(weights).alias("value"))
+    cells = stored(train.groupBy(*UI).agg(F.sum(weights).alias("value")), "cells")
     factors = Z.fit_als(cells, *UI, rank=64, iterations=20, reg=0.1, implicit=True, alpha=40.0)
     scored = factors.score(protocol(spark, d), "als")
     return rounded(R.mean_metrics(R.user_metrics(scored, *UI, "als", "positive")), *METRICS, digits=4)

@@ -127,3 +127,21 @@ def test_topic_queries_keep_vocabulary_and_passes(spark, sf_dir, monkeypatch):
     for made in (taste.lda_topics, taste.topic_terms, taste.book_topics):
         assert made(spark, sf_dir).count() > 0
     assert asked == [50_000, 10, 10, 50_000, 10, 50_000, 10]  # words are counted once for both numbers of topics
+
+
+def test_solver_blocks_follow_cores_and_cells(spark, monkeypatch):
+    """A vector is shuffled once per block, so blocks must not follow the number of shuffle partitions."""
+    from prefmine.models import factors as Z
+
+    cells = spark.range(1000).selectExpr("id % 50 AS u", "id % 37 AS i", "1.0D AS value")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    cores = max(10, spark.sparkContext.defaultParallelism)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "400")
+        assert Z.solver_blocks(cells) == cores
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert Z.solver_blocks(cells) == 4
+        monkeypatch.setattr(Z, "BLOCK_CELLS", 50)
+        assert Z.solver_blocks(cells) == 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
