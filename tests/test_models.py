@@ -129,6 +129,53 @@ def test_topic_queries_keep_vocabulary_and_passes(spark, sf_dir, monkeypatch):
     assert asked == [50_000, 10, 10, 50_000, 10, 50_000, 10]  # words are counted once for both numbers of topics
 
 
+def _cells(spark, seed=11):
+    rng = np.random.default_rng(seed)
+    rows = [(u, i, float(rng.integers(1, 6))) for u in range(40) for i in range(30) if u == 0 or i == 0 or rng.random() < 0.3]
+    return rows, cut_lineage(N.centred_cells(spark.createDataFrame(rows, "u bigint, i bigint, r double"), "u", "i", "r"))
+
+
+def test_neighbours_of_hot_users_and_items_without_a_table_of_pairs(spark):
+    """User 0 rates all items, item 0 is rated by all users; lists are cut and item 0 is spread over tasks."""
+    rows, cells = _cells(spark)
+    a = np.zeros((40, 30))
+    has = np.zeros((40, 30), bool)
+    for u, i, r in rows:
+        a[u, i], has[u, i] = r, True
+    c = np.where(has, a - (a.sum(1) / has.sum(1))[:, None], 0.0)
+    c = c / np.sqrt((c * c).sum(0))
+    want = {}
+    for i in range(30):
+        sims = sorted((-round(float(c[:, i] @ c[:, j]), 9), j, int((has[:, i] & has[:, j]).sum())) for j in range(30) if j != i)
+        want |= {(i, j): (-s, n) for s, j, n in sims[:5] if s < 0}
+    for chunk, task_pairs in ((1000, 2_000_000), (7, 150), (7, 500), (1000, 1)):
+        got = N.neighbours(cells, "u", "i", 5, chunk, task_pairs)
+        assert {(r["i"], r["neighbour"]): (round(r["sim"], 8), r["common"]) for r in got.collect()} == {k: (round(s, 8), n) for k, (s, n) in want.items()}
+    near = N.neighbours(cells, "u", "i", 5)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not [line for line in exchanges if "neighbour" in line or "item_b" in line], "pairs are shuffled"
+
+
+def test_tune_scores_as_predict_and_joins_once(spark):
+    rows, cells = _cells(spark)
+    near = cut_lineage(N.bounded_neighbours(cells, "u", "i", 5))
+    test = spark.createDataFrame([(k, u, i, float(1 + (u + i) % 5), 3.0) for k, (u, i) in enumerate(itertools.product(range(0, 45, 2), range(0, 33, 3)))], "k bigint, u bigint, i bigint, rating double, base double")
+    found = cut_lineage(N.matches(test, near, cells, "u", "i", ["k"]))
+    grid = [{"top_k": k, "min_common": mc, "min_neighbours": mn, "shrink": sh, "min_sim": ms} for k in (2, 5) for mc in (1, 9) for mn in (1, 3) for sh in (0.0, 10.0) for ms in (0.0, 0.1)]
+    out = N.tune(test, found, ["k"], "base", "rating", grid)
+    got = {tuple(r[n] for n in grid[0]): r for r in out.collect()}
+    assert len(got) == len(grid)
+    for point in grid[::5]:
+        scored = N.predict(test, found, ["k"], "base", **point)
+        error = F.col("rating") - F.col("pred")
+        want = scored.agg(F.count(F.lit(1)), F.sqrt(F.avg(error * error)), F.avg(F.abs(error)), F.avg(F.col("fallback").cast("double"))).first()
+        r = got[tuple(float(v) for v in point.values())]
+        assert r["n"] == want[0] and np.allclose([r["rmse"], r["mae"], r["fallback_rate"]], list(want)[1:])
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(out) == joins(N.tune(test, found, ["k"], "base", "rating", grid[:1])) == 1
+
+
 def test_solver_blocks_follow_cores_and_cells(spark, monkeypatch):
     """A vector is shuffled once per block, so blocks must not follow the number of shuffle partitions."""
     from prefmine.models import factors as Z
