@@ -192,3 +192,19 @@ def test_solver_blocks_follow_cores_and_cells(spark, monkeypatch):
         assert Z.solver_blocks(cells) == 20
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_bounded_neighbours_write_few_candidates(spark, monkeypatch):
+    """Without bounds from the first pass the k-th best of what an item has met is one."""
+    _, cells = _cells(spark)
+    sizes = {}
+    write = N.stored
+
+    def recorded(df, name):
+        out = write(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(N, "stored", recorded)
+    got = N.bounded_neighbours(cells, "u", "i", 3, seed_share=0.0)
+    assert got.count() and sizes["candidates"] <= 30 * 3 + 10
