@@ -7,13 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefmine.core import cut_lineage, ratio
-
-
-def ranked_hits(scored: DataFrame, keys: list[str], user: str, item: str, score: str, positive: str, k: int) -> DataFrame:
-    """The first ``k`` candidates of each user with their rank. Ties: positives first, then smaller ids."""
-    w = Window.partitionBy(*keys, user).orderBy(F.desc(score), F.desc(positive), F.asc(item))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+from prefmine.core import ratio
 
 
 def ideal_gain(n: Column, k: int) -> Column:
@@ -28,19 +22,18 @@ def ideal_gain(n: Column, k: int) -> Column:
 def user_metrics(scored: DataFrame, user: str, item: str, score: str, positive: str, ks: tuple[int, ...] = (10, 20), keys: list[str] | None = None) -> DataFrame:
     """Recall@k and NDCG@k per user: hits over min(relevant, k), and binary gain over the ideal gain.
 
-    Scores are written once, because both the counts and the ranks read them.
+    Ties: positives first, then smaller ids. Ranks and sums follow from one shuffle by user, whose candidates are never more
+    than the catalogue.
     """
     keys = keys or []
-    scored = cut_lineage(scored.select(*keys, user, item, score, positive))
     is_hit = F.col(positive) == 1
-    relevant = scored.groupBy(*keys, user).agg(F.sum(F.when(is_hit, 1).otherwise(0)).alias("n_relevant")).filter("n_relevant > 0")
-    top = ranked_hits(scored, keys, user, item, score, positive, max(ks)).filter(is_hit)
-    aggs = []
+    w = Window.partitionBy(*keys, user).orderBy(F.desc(score), F.desc(positive), F.asc(item))
+    ranked = scored.select(*keys, user, item, score, positive).withColumn("rank", F.row_number().over(w))
+    aggs = [F.sum(F.when(is_hit, 1).otherwise(0)).alias("n_relevant")]
     for k in ks:
-        inside = F.col("rank") <= k
+        inside = is_hit & (F.col("rank") <= k) & F.col(user).isNotNull()
         aggs += [F.count_if(inside).alias(f"__h{k}"), F.sum(F.when(inside, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"__g{k}")]
-    gains = top.groupBy(*keys, user).agg(*aggs)
-    rows = relevant.join(gains, [*keys, user], "left")
+    rows = ranked.groupBy(*keys, user).agg(*aggs).filter("n_relevant > 0")
     out = rows.select(*keys, user, "n_relevant", *[c for k in ks for c in (
         (F.coalesce(f"__h{k}", F.lit(0)) / F.least("n_relevant", F.lit(k))).alias(f"recall_{k}"),
         (F.coalesce(f"__g{k}", F.lit(0.0)) / ideal_gain(F.col("n_relevant"), k)).alias(f"ndcg_{k}"),
@@ -61,20 +54,26 @@ def pairwise_auc(scored: DataFrame, user: str, score: str, positive: str, keys:
     return neg.join(pos, keys).groupBy(*keys).agg(F.avg((F.col("__p") > F.col("__n")).cast("double")).alias("auc"))
 
 
-def candidates(positives: DataFrame, negatives: DataFrame, user: str, item: str) -> DataFrame:
-    """Positives and negatives of each user in one frame with ``positive`` 1 or 0."""
+def candidates(positives: DataFrame, negatives: DataFrame, user: str, item: str, drawn: bool = False) -> DataFrame:
+    """Positives and negatives of each user in one frame with ``positive`` 1 or 0.
+
+    ``drawn`` says that the negatives were drawn for the users of these positives, so they need not be looked up again.
+    """
     pos = positives.select(user, item).distinct().withColumn("positive", F.lit(1))
-    return pos.unionByName(negatives.join(pos.select(user).distinct(), user, "left_semi").select(user, item).withColumn("positive", F.lit(0)))
+    if not drawn:
+        negatives = negatives.join(pos.select(user).distinct(), user, "left_semi")
+    return pos.unionByName(negatives.filter(F.col(user).isNotNull()).select(user, item).withColumn("positive", F.lit(0)))
 
 
 def blend_scores(df: DataFrame, user: str, als: str, taste: str, alphas: list[float]) -> DataFrame:
     """One row per candidate and alpha: alpha * als / max(als) + (1 - alpha) * taste.
 
     A missing taste score is the mean of the user's other ones, or 0. With alpha 1, or for users
-    without taste, the score is the plain factor score. Per-user numbers come from an aggregation.
+    without taste, the score is the plain factor score. Per-user numbers come
+    from one shuffle by user, which also serves the ranks.
     """
-    stats = df.groupBy(user).agg(F.max(als).alias("__max"), F.avg(taste).alias("__mean"))
-    rows = df.join(stats, user)
+    own = Window.partitionBy(user)
+    rows = df.filter(F.col(user).isNotNull()).withColumn("__max", F.max(als).over(own)).withColumn("__mean", F.avg(taste).over(own))
     filled = F.coalesce(F.col(taste), F.col("__mean"), F.lit(0.0))
     grid = rows.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
     mixed = F.col("alpha") * F.col(als) / (F.col("__max") + 1e-9) + (1 - F.col("alpha")) * filled

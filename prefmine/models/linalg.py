@@ -10,6 +10,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -72,6 +74,80 @@ def times(df: DataFrame, vec: str, matrix: np.ndarray) -> DataFrame:
     return df.withColumn(vec, product(vec))
 
 
+CELL_PAIRS = 250_000  # of one task of cell_products, about
+
+
+def cell_products(
+    pairs: DataFrame, left: DataFrame, right: DataFrame, left_key: str, right_key: str, vec: str, products: dict[str, tuple[int | None, bool]], expected: int
+) -> DataFrame:
+    """Inner join of ``pairs`` with both vectors of each pair, of which only products are kept.
+
+    A product is the name of its column, the number of leading elements (None: all) and whether it is divided by both lengths
+    (:func:`cosine`, else :func:`dot`). Keys are whole numbers. Pairs and vectors are dealt into cells of a square grid, about ``CELL_PAIRS`` of the
+    ``expected`` pairs each: a vector travels once per row or column of the grid, and not once per pair.
+    """
+    side = max(1, int(np.ceil((expected / CELL_PAIRS) ** 0.5)))
+    block = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(side))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(side - 1).cast("bigint")))
+    kept = pairs.columns
+    payload = [F.lit(None).cast(pairs.schema[c].dataType).alias(f"__p{n}") for n, c in enumerate(kept)]
+    parts = []
+    for kind, frame, key in ((1, left, left_key), (2, right, right_key)):
+        rows = frame.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("__key"), F.col(vec).alias("__vec"), every.alias("__every"))
+        at = block("__key") * side + F.col("__every") if kind == 1 else F.col("__every") * side + block("__key")
+        parts.append(rows.select(at.alias("__cell"), F.lit(kind).alias("__kind"), "__key", F.lit(None).cast("bigint").alias("__other"), "__vec", *payload))
+    known = pairs.filter(F.col(left_key).isNotNull() & F.col(right_key).isNotNull())
+    none = F.lit(None).cast(parts[0].schema["__vec"].dataType).alias("__vec")
+    parts.append(known.select(
+        (block(left_key) * side + block(right_key)).alias("__cell"), F.lit(0).alias("__kind"), F.col(left_key).cast("bigint").alias("__key"),
+        F.col(right_key).cast("bigint").alias("__other"), none, *[F.col(c).alias(f"__p{n}") for n, c in enumerate(kept)],
+    ))
+
+    def columns(vectors: pa.ChunkedArray) -> np.ndarray:
+        """One row per position and one column per vector; what is null or missing is NaN."""
+        lists = vectors.combine_chunks()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        out = np.full((int(sizes.max(initial=0)), len(sizes)), np.nan)
+        out[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(np.arange(len(sizes)), sizes)] = flat
+        return out
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds = table["__kind"].to_numpy()
+        rows, *sides = [table.filter(pa.array(kinds == k)).combine_chunks() for k in (0, 1, 2)]
+        found = pd.DataFrame({"l": rows["__key"].to_numpy(), "r": rows["__other"].to_numpy(), "at": np.arange(len(rows))})
+        for name, mine in zip("lr", sides):
+            found = found.merge(pd.DataFrame({name: mine["__key"].to_numpy(), f"{name}_at": np.arange(len(mine))}), on=name)
+        a, b = (columns(mine["__vec"]) for mine in sides)
+        a_at, b_at = found["l_at"].to_numpy(), found["r_at"].to_numpy()
+
+        def total(x: np.ndarray, y: np.ndarray, x_at, y_at, n: int) -> np.ndarray:
+            out = np.zeros(len(x_at))
+            for j in range(n):  # in the order of the elements, as dot adds them
+                out += x[j, x_at] * y[j, y_at]
+            return out
+
+        out = {c: rows[f"__p{n}"].take(pa.array(found["at"].to_numpy())) for n, c in enumerate(kept)}
+        for name, (n, divided) in products.items():
+            dims = max(len(a), len(b)) if n is None else min(n, max(len(a), len(b)))
+            if min(len(a), len(b)) < dims:
+                value = np.full(len(found), np.nan)
+            else:
+                value = total(a, b, a_at, b_at, dims)
+            if divided and min(len(a), len(b)) >= dims:
+                lengths = [np.sqrt(total(x, x, np.arange(x.shape[1]), np.arange(x.shape[1]), dims)) for x in (a, b)]
+                by = lengths[0][a_at] * lengths[1][b_at]
+                value = np.where(by == 0, np.nan, value / np.where(by == 0, 1.0, by))
+            out[name] = pa.array(value, pa.float64(), from_pandas=True)  # NaN becomes null
+        return pa.table(out)
+
+    schema = pairs.schema
+    for name in products:
+        schema = schema.add(name, DoubleType())
+    together = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return together.groupBy("__cell").applyInArrow(run, schema)
+
+
 class Svd(NamedTuple):
     """Rows (row, vec) = U S, columns (col, vec) = V, singular values, the share of the sum of squares they explain, and of the
     leading pairs the length of A v - s u after the rounds, as shares of the largest singular value."""

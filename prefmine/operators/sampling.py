@@ -6,7 +6,7 @@ is computed per (group, hash bucket), so one group that holds most rows is still
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefmine.core import bucketed_rank, bucketed_sum, cut_lineage, explode_range, hash_long, hash_uniform, null_safe_join, ratio, top_per_key
@@ -177,13 +177,25 @@ def next_prime(n: int) -> int:
     return candidate
 
 
+WALK = 10_000  # steps of a walk that are one row
+
+
+def _inverse(b: Column, p: int) -> Column:
+    """The x with ``b x = 1`` modulo the prime ``p``: b to the power p - 2, bit by bit."""
+    bits = F.array(*[F.lit(bit == "1") for bit in f"{p - 2:b}"])
+    return F.aggregate(bits, F.lit(1).cast("bigint"), lambda acc, bit: F.when(bit, acc * acc % p * b % p).otherwise(acc * acc % p))
+
+
 def unseen_walk(wants: DataFrame, items: DataFrame, seen: DataFrame, user: str, item: str, seed: int) -> DataFrame:
-    """Unseen items of each user in random order, at least ``want`` of them while the catalogue lasts.
+    """The first ``want`` unseen items of each user in random order, or all where the catalogue has fewer.
 
     ``wants(user, want)`` has one row per user and ``items(item, idx)`` is a dense index. Each user
     walks through the catalogue in an order of its own, ``(a + b j) mod p`` with p prime, which
     never repeats an item. A user with s seen items needs at most want + s steps, so nobody falls
     short while unseen items are left, and no draw has to be repeated.
+
+    Steps are not shuffled: the step at which a user meets a seen item is worked out from the item, so
+    what meets are lists of steps, one row per user and ``WALK`` steps, and only free steps become rows.
     """
     size = items.count()
     p = next_prime(size)
@@ -193,16 +205,30 @@ def unseen_walk(wants: DataFrame, items: DataFrame, seen: DataFrame, user: str,
         "__steps", F.least(F.lit(p), F.coalesce("__s", F.lit(0)) + F.col("want") + (p - size))
     )
     walk = walk.withColumn("__a", hash_long(seed, user) % p).withColumn("__b", 1 + hash_long(seed + 1, user) % max(p - 1, 1))
-    steps = explode_range(walk, F.col("__steps"), "draw").withColumn("idx", (F.col("__a") + F.col("__b") * (F.col("draw") - 1)) % p)
-    drawn = steps.select(user, "want", "draw", "idx").join(items.select("idx", item), "idx")
-    return drawn.join(pairs, [user, item], "left_anti").select(user, item, "draw", "want")
+    walk = cut_lineage(walk.select(user, "want", "__steps", "__a", "__b").filter("__steps >= 1"))
+    met = pairs.join(items.select("idx", item), item).join(walk.select(user, "__steps", "__a", _inverse(F.col("__b"), p).alias("__inv")), user)
+    met = met.withColumn("__at", F.pmod(F.pmod(F.col("idx") - F.col("__a"), F.lit(p)) * F.col("__inv"), F.lit(p))).filter("__at < __steps")
+    met = met.groupBy(user, F.floor(F.col("__at") / WALK).alias("__chunk")).agg(F.collect_list((F.col("__at") % WALK).cast("int")).alias("__met"))
+    chunks = walk.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__steps") - 1) / WALK))))
+    chunks = chunks.join(met, [user, "__chunk"], "left")
+    idx = (F.col("__a") + F.col("__b") * F.col("__step")) % p
+    last = (F.least(F.col("__steps") - F.col("__chunk") * WALK, F.lit(WALK)) - 1).cast("int")
+    free = F.array_except(F.sequence(F.lit(0), last), F.coalesce("__met", F.array().cast("array<int>")))
+    free = F.filter(free, lambda j: (F.col("__a") + F.col("__b") * (F.col("__chunk") * WALK + j)) % p < size)
+    # no more than wanted goes on, and of later rows only what earlier ones lack
+    chunks = chunks.select(user, "want", "__a", "__b", "__chunk", F.slice(free, F.lit(1), F.col("want").cast("int")).alias("__free"))
+    before = Window.partitionBy(user).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    missing = F.greatest(F.col("want") - F.coalesce(F.sum(F.size("__free")).over(before), F.lit(0)), F.lit(0)).cast("int")
+    chunks = chunks.withColumn("__missing", missing)
+    steps = chunks.select(user, "want", "__a", "__b", "__chunk", F.explode(F.slice("__free", F.lit(1), F.col("__missing"))).alias("__j"))
+    steps = steps.withColumn("__step", F.col("__chunk") * WALK + F.col("__j")).select(user, "want", (F.col("__step") + 1).alias("draw"), idx.alias("idx"))
+    return steps.join(items.select("idx", item), "idx").select(user, item, "draw", "want")
 
 
 def sample_negatives(users: DataFrame, items: DataFrame, seen: DataFrame, user: str, item: str, n: int, seed: int) -> DataFrame:
     """``n`` distinct items per user that ``seen(user, item)`` does not have, uniformly at random."""
     wants = users.select(user).distinct().withColumn("want", F.lit(n))
-    walk = unseen_walk(wants, items, seen, user, item, seed)
-    return top_per_key(walk, [user], [F.col("draw")], n).select(user, item, "draw")
+    return unseen_walk(wants, items, seen, user, item, seed).select(user, item, "draw")
 
 
 def training_negatives(positives: DataFrame, items: DataFrame, seen: DataFrame, user: str, item: str, stage: str, keys: list[str], seed: int) -> DataFrame:

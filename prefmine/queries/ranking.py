@@ -7,7 +7,7 @@ from prefmine.datasets import interactions, table
 from prefmine.evaluation import ranking as R
 from prefmine.functions import scalars as S
 from prefmine.models import factors as Z
-from prefmine.models.linalg import cosine, dot
+from prefmine.models.linalg import cell_products
 from prefmine.operators import sampling as G
 from prefmine.operators.graph import dense_index
 from prefmine.queries.profiles import rounded
@@ -38,35 +38,35 @@ METRICS = ["recall_10", "ndcg_10", "recall_20", "ndcg_20"]
 
 def sides(spark, d):
     items = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"))
-    rows = interactions(spark, d).join(items, "item_id", "left_semi")
-    train = rows.filter(F.year("ts") < 2000)
-    late = rows.filter((F.year("ts") >= 2000) & (F.col("rating") >= 4)).select(*UI).distinct()
+    rows = interactions(spark, d).select(*UI, "rating", "n_tokens", F.year("ts").alias("year"))
+    rows = stored(rows.join(items, "item_id", "left_semi"), "sides")
+    train = rows.filter("year < 2000")
+    late = rows.filter("year >= 2000 AND rating >= 4").select(*UI).distinct()
     pos = late.join(train.select("user_id"), "user_id", "left_semi").join(train.select("item_id"), "item_id", "left_semi")
-    return cut_lineage(train.select(*UI, "rating", "n_tokens")), cut_lineage(pos)
+    return train.select(*UI, "rating", "n_tokens"), cut_lineage(pos)
 
 
 def protocol(spark, d):
-    """Positives and sampled negatives of each test user."""
+    """Positives and sampled negatives of each test user, and how many they are at most."""
     train, pos = sides(spark, d)
     seen = train.select(*UI).unionByName(pos)
     negatives = G.sample_negatives(pos, cut_lineage(dense_index(train, "item_id")), seen, *UI, NEG, SEED)
-    return R.candidates(pos, negatives, *UI)
+    sizes = pos.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users")).first()
+    return R.candidates(pos, negatives, *UI, drawn=True), sizes["n"] + NEG * sizes["users"]
 
 
 def fixed_scores(spark, d):
     """Candidates scored with embedding vectors as factors and their first half as taste."""
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
-    n = e.agg(F.count(F.lit(1))).scalar()
-    cand = protocol(spark, d).withColumn("__uid", F.col("user_id") % n)
-    # a side's whole vector travels once, and both scores are numbers before anything else is shuffled
-    rows = cand.join(e.select(F.col("vec_id").alias("item_id"), F.col("vec").alias("__i")), "item_id").join(e.select(F.col("vec_id").alias("__uid"), F.col("vec").alias("__u")), "__uid")
-    half = lambda c: F.slice(c, 1, 32)
-    taste = F.when(F.col("item_id") % 7 != 0, cosine(half("__u"), half("__i"))).alias("taste")
-    return rows.select(*UI, "positive", dot(F.col("__u"), F.col("__i")).alias("als"), taste)
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    cand, expected = protocol(spark, d)
+    cand = cand.withColumn("__uid", F.col("user_id") % e.agg(F.count(F.lit(1))).scalar())
+    users, items = e.withColumnRenamed("vec_id", "__uid"), e.withColumnRenamed("vec_id", "item_id")
+    rows = cell_products(cand, users, items, "__uid", "item_id", "vec", {"als": (None, False), "taste": (32, True)}, expected)
+    return rows.select(*UI, "positive", "als", F.when(F.col("item_id") % 7 != 0, F.col("taste")).alias("taste"))
 
 
 def blended(spark, d, alphas=(1.0, 0.7, 0.5, 0.3)):
-    return R.blend_scores(cut_lineage(fixed_scores(spark, d)), "user_id", "als", "taste", list(alphas))
+    return R.blend_scores(fixed_scores(spark, d), "user_id", "als", "taste", list(alphas))
 
 
 @query("k06_recall", PROTOCOL + " SELECT user_id, CAST(np AS BIGINT) AS n_relevant, ROUND(recall_10, 6) AS recall_10, ROUND(recall_20, 6) AS recall_20 FROM um WHERE alpha = 1")
@@ -120,5 +120,5 @@ def implicit_ranker(spark, d):
     weights = S.edge_weights("rating", "n_tokens", "n_tokens")["f3_rating_length"]
     cells = stored(train.groupBy(*UI).agg(F.sum(weights).alias("value")), "cells")
     factors = Z.fit_als(cells, *UI, rank=64, iterations=20, reg=0.1, implicit=True, alpha=40.0)
-    scored = factors.score(protocol(spark, d), "als")
+    scored = factors.score(protocol(spark, d)[0], "als")
     return rounded(R.mean_metrics(R.user_metrics(scored, *UI, "als", "positive")), *METRICS, digits=4)

@@ -285,3 +285,26 @@ def test_histogram_with_an_open_end(spark):
 
     df = spark.createDataFrame([(5,), (99,), (100_000,)], "v int")
     assert {r["bucket"]: r["n"] for r in equal_width_histogram(df, "v", 0, 100, 10, open_end=True).collect()} == {1: 1, 10: 2}
+
+
+def test_walk_meets_every_unseen_item_in_its_order(spark, monkeypatch):
+    monkeypatch.setattr(G, "WALK", 7)
+    items = spark.createDataFrame([(i, 100 + i) for i in range(50)], "idx bigint, item bigint")
+    seen = [(1, 100 + i) for i in range(0, 50, 2)] + [(2, 100 + i) for i in range(50)] + [(3, 999), (None, 101), (3, None)]
+    wants = spark.createDataFrame([(1, 20), (2, 5), (3, 60), (4, 9), (None, 3)], "user bigint, want int")
+    rows = G.unseen_walk(wants, items, spark.createDataFrame(seen + seen[:9], "user bigint, item bigint"), "user", "item", 4)
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r["user"], []).append((r["draw"], r["item"]))
+    p = G.next_prime(50)
+    starts = wants.select("user", "want", (K.hash_long(4, "user") % p).alias("a"), (1 + K.hash_long(5, "user") % (p - 1)).alias("b")).collect()
+    for s in starts:
+        steps = [(j + 1, (s["a"] + s["b"] * j) % p) for j in range(p)]
+        free = [(j, 100 + i) for j, i in steps if i < 50 and (s["user"] is None or (s["user"], 100 + i) not in seen)]
+        assert sorted(got.get(s["user"], [])) == free[: s["want"]]
+
+
+def test_negatives_do_not_shuffle_steps(spark, skewed):
+    items = K.cut_lineage(H.dense_index(skewed, "item"))
+    plan = G.sample_negatives(skewed, items, skewed, "user", "item", 25, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "row_number" not in plan

@@ -208,3 +208,25 @@ def test_bounded_neighbours_write_few_candidates(spark, monkeypatch):
     monkeypatch.setattr(N, "stored", recorded)
     got = N.bounded_neighbours(cells, "u", "i", 3, seed_share=0.0)
     assert got.count() and sizes["candidates"] <= 30 * 3 + 10
+
+
+def test_cell_products_equal_joins(spark, monkeypatch):
+    monkeypatch.setattr(L, "CELL_PAIRS", 3)
+    rng = np.random.default_rng(5)
+    vecs = [(i, rng.normal(size=6).tolist()) for i in range(9)] + [(3, [1.0] * 6), (9, [0.0] * 6), (10, None), (11, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (None, [1.0] * 6)]
+    v = spark.createDataFrame(vecs, "id bigint, vec array<float>")
+    pairs = spark.createDataFrame([(i % 12, i * 5 % 13, f"p{i}") for i in range(60)] + [(None, 1, "x"), (1, None, "y")], "u int, i bigint, name string")
+    users, items = v.withColumnRenamed("id", "u"), v.withColumnRenamed("id", "i")
+    got = L.cell_products(pairs, users, items, "u", "i", "vec", {"all": (None, False), "half": (3, True)}, 60)
+    joined = pairs.join(items.withColumnRenamed("vec", "vi"), "i").join(users.withColumnRenamed("vec", "vu"), "u")
+    half = lambda c: F.slice(F.col(c).cast("array<double>"), 1, 3)
+    want = joined.select("u", "i", "name", L.dot(F.col("vu"), F.col("vi")).alias("all"), L.cosine(half("vu"), half("vi")).alias("half"))
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    assert got.schema["u"].dataType == pairs.schema["u"].dataType
+
+
+def test_blend_and_metrics_shuffle_once_by_user(spark):
+    df = spark.createDataFrame([(1, 1, 0.5, 0.1, 1), (1, 2, 0.6, None, 0), (2, 1, 0.4, 0.3, 1)], "user bigint, item bigint, als double, taste double, pos int")
+    out = R.user_metrics(R.blend_scores(df, "user", "als", "taste", [1.0, 0.3]), "user", "item", "final", "pos", keys=["alpha"])
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    assert out.count() == 4
