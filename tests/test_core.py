@@ -308,3 +308,14 @@ def test_negatives_do_not_shuffle_steps(spark, skewed):
     items = K.cut_lineage(H.dense_index(skewed, "item"))
     plan = G.sample_negatives(skewed, items, skewed, "user", "item", 25, 4)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftAnti" not in plan and "row_number" not in plan
+
+
+def test_multiply_sums_a_row_in_one_task(spark):
+    from prefmine.operators import joins as J
+
+    a = spark.createDataFrame([(u, g, 1.0) for u in range(9) for g in range(4)], "user bigint, genre bigint, a double")
+    b = spark.createDataFrame([(g, f"b{g % 2}", 2.0) for g in range(4)], "genre bigint, brand string, b double")
+    out = J.multiply(a, b, "genre", ["user"], ["brand"], "a", "b", "v")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [user" in plan
+    assert {tuple(r) for r in out.collect()} == {(u, f"b{k}", 4.0) for u in range(9) for k in range(2)}
