@@ -4,15 +4,16 @@
 - Candidates: patterns of high recall propose spans that may overlap each other and base spans.
 - Score: gradient-boosted trees over features of a candidate's format (length, digits, letters, checks)
   and of its context (what stands left and right). They learn from silver labels: strict rules of format
-  and context that read more than the features do. At most ``max_candidates`` candidates of at most ``max_documents`` distinct
-  texts, the first in order of a hash, are learned from: half for the trees, half for the thresholds.
+  and context that read more than the features do. All candidates of all distinct texts are learned from, half for the trees, half
+  for the thresholds; those of equal features and label are one row with their number as weight. (Spark's trees take the cut
+  points they try from a draw of their own over these rows.)
 - Thresholds: per format (pattern), the lowest score from which on at least ``precision`` of the second half's
-  candidates are right; a format without such a score selects nothing. A format of which fewer than ``evidence`` candidates were
-  drawn can't be calibrated: its candidates are selected by the strict rule itself, whatever the corpus holds.
+  candidates are right; a format without such a score selects nothing. A format with fewer than ``evidence`` candidates in
+  that half can't be calibrated: its candidates are selected by the strict rule itself, whatever the corpus holds.
 - A selected candidate is dropped if it overlaps a base span of its kind, lies within another base span, or overlaps a
   candidate with a better score (then longer, then earlier).
 
-Everything is an expression over one row: no shuffle, no Python. Texts without a digit or ``@`` are not
+Everything but the learning is an expression over one row: no shuffle, no Python. Texts without a digit or ``@`` are not
 searched, they cannot hold a span. Null texts count as empty and give no spans. Repeated rows give equal
 results. If there is nothing to learn from (no candidates, or silver labels of one kind), the strict rules select.
 """
@@ -27,7 +28,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefmine.llm.tables import drawn, prefix_sums, written
+from prefmine.llm.tables import prefix_sums, written
 
 KINDS = ("email", "ip", "card", "phone", "ssn", "iban", "secret")
 
@@ -207,28 +208,28 @@ def _tree(node, names: tuple[str, ...]) -> Callable[[dict[str, Column]], Column]
     return lambda f: F.when(f[name] <= cut, left(f)).otherwise(right(f))
 
 
-def learn(
-    df: DataFrame, text: str = "text", max_documents: int = 20_000, max_candidates: int = 20_000, precision: float = 0.97, evidence: int = 40, trees: int = 12, depth: int = 4
-) -> Model:
-    """Fits trees and thresholds on candidates of ``df``."""
-    rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("__text")).filter(F.col("__text").rlike("[0-9@]|at[)\\]]"))
-    sample = drawn(rows, F.col("__text"), max_documents).dropDuplicates(["__order"])
-    found = written(with_candidates(sample, "__text").select(F.explode("__candidates").alias("c")), "found")
-    order = F.concat_ws("|", "c.value", F.col("c.start").cast("string"), "c.left")
-    some = drawn(found, order, max_candidates).orderBy("__order", "c.format", "c.stop").limit(max_candidates)
-    label, fits = silver(F.col("c")).cast("double").alias("label"), (F.pmod("__order", F.lit(2)) == 0).alias("fits")
-    rows = written(some.select(label, fits, "c", *[v.alias(f"f_{k}") for k, v in features(F.col("c")).items()]), "candidates")
+def learn(df: DataFrame, text: str = "text", precision: float = 0.97, evidence: int = 40, trees: int = 12, depth: int = 4) -> Model:
+    """Fits trees and thresholds on all candidates of ``df``."""
+    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("__text")).filter(F.col("__text").rlike("[0-9@]|at[)\\]]"))
+    # outer, as Spark would else search every text once more to see whether it has candidates
+    found = with_candidates(texts, "__text").select(F.xxhash64("__text").alias("of"), F.explode_outer("__candidates").alias("c")).filter("c IS NOT NULL")
+    order = F.xxhash64(F.concat_ws("|", "c.value", F.col("c.start").cast("string"), "c.left"))
+    label, fits = silver(F.col("c")).cast("double").alias("label"), (F.pmod(order, F.lit(2)) == 0).alias("fits")
+    known = [v.alias(f"f_{k}") for k, v in features(F.col("c")).items()]
+    each = found.select("of", "c.format", "c.start", "c.stop", label, fits, *known).dropDuplicates(["of", "format", "start", "stop"])
+    alike = each.groupBy("format", "label", "fits", *[f"f_{k}" for k in FEATURES]).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = written(alike, "candidates")
     fits = rows.filter("fits")
     if len(fits.select("label").distinct().collect()) < 2:
         return Model(None, {})
     names = tuple(FEATURES)
-    assembled = VectorAssembler(inputCols=[f"f_{n}" for n in names], outputCol="features").transform(fits).select("label", "features")
-    fitted = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, cacheNodeIds=False).fit(assembled)
+    assembled = VectorAssembler(inputCols=[f"f_{n}" for n in names], outputCol="features").transform(fits).select("label", "features", "n")
+    fitted = GBTClassifier(weightCol="n", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, cacheNodeIds=False).fit(assembled)
     parts = [(float(w), _tree(t._call_java("rootNode"), names)) for w, t in zip(fitted.treeWeights, fitted.trees)]
     model = Model(lambda f: reduce(lambda a, b: a + b, [tree(f) * w for w, tree in parts]), {})
     level = F.floor(model.boosted({n: F.col(f"f_{n}") for n in names}) * 200).alias("level")
-    counts = rows.filter("NOT fits").select(F.col("c.format").alias("format"), "label", level).groupBy("format", "level")
-    counts = counts.agg(F.sum("label").alias("right"), F.count(F.lit(1)).alias("n")).collect()  # at most 11 x 201 rows
+    counts = rows.filter("NOT fits").select("format", "n", (F.col("label") * F.col("n")).alias("right"), level).groupBy("format", "level")
+    counts = counts.agg(F.sum("right").alias("right"), F.sum("n").alias("n")).collect()  # at most 11 x 201 rows
     for place in {r["format"] for r in counts}:
         own = sorted((r for r in counts if r["format"] == place), key=lambda r: -r["level"])
         if sum(r["n"] for r in own) >= evidence:

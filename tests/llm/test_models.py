@@ -253,6 +253,35 @@ def test_formats_that_the_corpus_lacks_go_by_the_strict_rule(spark):
     assert set(got.split(",")) == {where("ssn", "123-45-6789"), where("iban", "DE89 3704 0044 0532 0130 00"), where("email", "john (at) mail (dot) com")}
 
 
+def test_all_candidates_are_learned_from(spark):
+    """Every candidate of every distinct text counts, beyond 20 000 texts too; copies of a text change nothing."""
+    from pyspark.sql import functions as F
+
+    calls = spark.range(40_000).select(F.format_string("%s 555-%03d-%04d now", F.when(F.col("id") % 2 == 0, "call").otherwise("part"), F.col("id") % 900 + 100, F.floor(F.col("id") / 4)).alias("text"))
+    numbers = spark.range(60_000, 60_120).select(F.format_string("ssn %03d-45-%04d", F.col("id") % 600 + 100, F.col("id") % 9000 + 1).alias("text"))
+    texts = calls.unionByName(numbers)
+    ssn = [k for k, _ in pii.CANDIDATES].index("ssn")
+    model = pii.learn(texts)
+    assert ssn in model.thresholds  # a draw of 20 000 holds about 30 of them in the half for thresholds, fewer than evidence
+    assert pii.learn(texts.unionByName(numbers).unionByName(numbers)).thresholds == model.thresholds
+
+
+def test_candidates_are_searched_once(spark):
+    """The plan that learns holds no second search for whether a text has candidates."""
+    docs = spark.createDataFrame([("a 10.0.0.1 b",)], "text string")
+    from pyspark.sql import functions as F
+
+    searched = pii.with_candidates(docs, "text").select("__candidates")._jdf.queryExecution().optimizedPlan().toString()
+    plans = []
+    keep = pii.written
+    pii.written = lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name)
+    try:
+        pii.learn(docs.select(F.col("text")))
+    finally:
+        pii.written = keep
+    assert plans[0].count("regexp_extract_all") == searched.count("regexp_extract_all")
+
+
 def test_long_secrets_are_whole(spark):
     """Secrets of any length are one span, also where they hold more than 400 other candidates."""
     everything = pii.Model(lambda f: F.lit(1.0), {k: 0.5 for k in range(len(pii.CANDIDATES))})
