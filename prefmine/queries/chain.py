@@ -60,7 +60,8 @@ def scored_pairs(spark, d, pairs):
 @query("o03_chain_scores", SCORED + " SELECT user_id, item_id::BIGINT AS item_id, stage, l::INT AS target, ROUND(score, 6) AS score FROM sx", "stages")
 def chain_scores(spark, d):
     rows = scored_pairs(spark, d, stages(spark, d).select(*UI, "stage").distinct())
-    return rows.select(*UI, "stage", F.posexplode("scores").alias("target", "score")).withColumn("score", rnd("score"))
+    # outer, as Spark would else score every pair once more to see whether it has scores
+    return rows.select(*UI, "stage", F.posexplode_outer("scores").alias("target", "score")).withColumn("score", rnd("score"))
 
 
 @query("o04_edge_loss", SCORED + """

@@ -57,3 +57,11 @@ def test_missing_columns_fail_early(spark):
         require(spark.range(1), {"id", "b"})
     with pytest.raises(ValueError):
         R.load_data(spark, "x", "orc")
+
+
+def test_pairs_are_scored_once(spark, sf_dir):
+    """One product of the vectors and a sum per stage (softplus names it twice); no copy of them in a filter that asks whether a pair has scores."""
+    from prefmine.queries import load
+
+    text = load()[0]["o03_chain_scores"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("zip_with(") == 1 + 2 * 4
