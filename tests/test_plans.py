@@ -65,3 +65,14 @@ def test_pairs_are_scored_once(spark, sf_dir):
 
     text = load()[0]["o03_chain_scores"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("zip_with(") == 1 + 2 * 4
+
+
+def test_texts_are_dealt_by_size(spark, monkeypatch):
+    from prefmine.plans import taste as T
+
+    df = spark.createDataFrame([(i // 2, f"apple pear{'abc'[i % 3]} plum apple cherry " * 4) for i in range(60)], "k bigint, t string").coalesce(1)
+    whole = T.filtered_bags(T.document_tokens(df, ["k"], "t"), ["k"], 1, 1.0, 100)
+    monkeypatch.setattr(T, "TASK_CHARS", 500)
+    docs = T.document_tokens(df, ["k"], "t")
+    assert docs.rdd.getNumPartitions() > 8
+    assert sorted(T.filtered_bags(docs, ["k"], 1, 1.0, 100).collect()) == sorted(whole.collect())
