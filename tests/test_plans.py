@@ -76,3 +76,29 @@ def test_texts_are_dealt_by_size(spark, monkeypatch):
     docs = T.document_tokens(df, ["k"], "t")
     assert docs.rdd.getNumPartitions() > 8
     assert sorted(T.filtered_bags(docs, ["k"], 1, 1.0, 100).collect()) == sorted(whole.collect())
+
+
+def test_terms_are_admitted_as_from_all_counts(spark):
+    import random
+    from collections import Counter
+
+    from prefmine.operators.features import admitted_terms
+
+    draw = random.Random(3)
+    rows = [(draw.randrange(12), f"w{min(draw.randrange(60), draw.randrange(60))}") for _ in range(3000)]
+    rows += [(i, "every") for i in range(12) for _ in range(40)] + [(None, "w0"), (1, "once"), (2, "often")] + [(2, "often")] * 200
+    tf = Counter(rows)
+    df, total = Counter(t for _, t in tf), Counter()
+    for (_, t), n in tf.items():
+        total[t] += n
+    kept = sorted((-total[t], t) for t in total if 2 <= df[t] <= 0.95 * 12)
+    terms = spark.createDataFrame(rows, "item bigint, term string")
+    for k, at_first in ((5, 1), (8, 4), (200, 1)):
+        counts, vocab = admitted_terms(terms, "item", F.lit(12), 2, 0.95, k, at_first)
+        assert sorted((-r["total"], r["term"]) for r in vocab.collect()) == kept[:k]
+        assert all(r["df"] == df[r["term"]] for r in vocab.collect())
+        got = {(r["item"], r["term"]): r["tf"] for r in counts.collect()}
+        assert all(tf[c] == n for c, n in got.items())
+        assert {c for c in tf if c[1] in {t for _, t in kept[:k]}} <= set(got)
+    few, _ = admitted_terms(terms, "item", F.lit(12), 1, 1.0, 5, 1)
+    assert few.select("term").distinct().count() < len(total) / 2
