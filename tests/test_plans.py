@@ -128,3 +128,9 @@ def test_terms_are_admitted_as_from_all_counts(spark):
         assert {c for c in tf if c[1] in {t for _, t in kept[:k]}} <= set(got)
     few, _ = admitted_terms(terms, "item", F.lit(12), 1, 1.0, 5, 1)
     assert few.select("term").distinct().count() < len(total) / 2
+
+
+def test_topic_tokens_are_stored_by_column(spark, sf_dir):
+    from prefmine.queries.taste import tokenised
+
+    assert all("tokens-" in f for f in tokenised(spark, sf_dir).inputFiles())
