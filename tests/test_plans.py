@@ -126,7 +126,7 @@ def test_terms_are_admitted_as_from_all_counts(spark):
         got = {(r["item"], r["term"]): r["tf"] for r in counts.collect()}
         assert all(tf[c] == n for c, n in got.items())
         assert {c for c in tf if c[1] in {t for _, t in kept[:k]}} <= set(got)
-    few, _ = admitted_terms(terms, "item", F.lit(12), 1, 1.0, 5, 1)
+    few, _ = admitted_terms(terms, "item", F.lit(12), 1, 1.0, 5, 2)
     assert few.select("term").distinct().count() < len(total) / 2
 
 
