@@ -222,6 +222,12 @@ def test_solver_blocks_follow_cores_and_cells(spark, monkeypatch):
         assert Z.solver_blocks(cells) == 4
         monkeypatch.setattr(Z, "BLOCK_CELLS", 50)
         assert Z.solver_blocks(cells) == 20
+        monkeypatch.setattr(Z, "BLOCK_CELLS", 500)
+        spark.conf.set("spark.sql.shuffle.partitions", "400")
+        assert Z.solver_blocks(cells, 87, 20) == cores
+        # large tables of vectors: as many blocks as the bytes of a half round allow, or the few that are asked for
+        monkeypatch.setattr(Z, "ROUND_BYTES", 87 * 20 * 4 * 5)
+        assert [Z.solver_blocks(cells, 87, rank, few) for rank, few in ((20, 4), (50, 4), (50, 2), (100, 1))] == [5, 4, 2, 2]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
