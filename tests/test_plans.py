@@ -134,3 +134,18 @@ def test_topic_tokens_are_stored_by_column(spark, sf_dir):
     from prefmine.queries.taste import tokenised
 
     assert all("tokens-" in f for f in tokenised(spark, sf_dir).inputFiles())
+
+
+def test_rating_queries_store_the_columns_they_read(spark, sf_dir, monkeypatch):
+    from prefmine.operators import graph
+    from prefmine.plans import rating
+    from prefmine.queries import load, ratings
+
+    written = []
+    for module in (graph, rating, ratings):
+        write = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, name, write=write: written.append((name, set(df.columns))) or write(df, name))
+    assert load()[0]["k02_subset_scores"](spark, sf_dir).count() > 0
+    assert {"log", "edges", "core"} <= {n for n, _ in written}
+    train, _ = ratings.raw_split(spark, sf_dir, 0.8)
+    assert train.count() > 0 and all(not c & {"title", "genre", "price"} for _, c in written)
