@@ -189,6 +189,25 @@ def test_neighbours_of_hot_users_and_items_without_a_table_of_pairs(spark):
     assert exchanges and not [line for line in exchanges if "neighbour" in line or "item_b" in line], "pairs are shuffled"
 
 
+def test_lists_travel_once_per_task(spark, monkeypatch):
+    """With two tasks a user's list is there twice at most, whatever the number of the user's items; ids that are no numbers, and null ones, give the same."""
+    _, cells = _cells(spark)
+    tables, summed = spark.sparkContext.accumulator(0), N._summed
+
+    def counted(table, *rest):
+        tables.add(table.num_rows)
+        return summed(table, *rest)
+
+    monkeypatch.setattr(N, "_summed", counted)
+    want = {tuple(r) for r in N.neighbours(cells, "u", "i", 5, task_pairs=200, chunk=1000).collect()}
+    assert want and 0 < tables.value
+    pairs = cells.groupBy("u").count().agg(F.sum(F.col("count") ** 2)).first()[0]
+    assert tables.value <= 40 * -(-pairs // (N.TIMES * 200)) < cells.count()
+    named = cells.withColumn("i", F.format_string("%03d", "i")).unionByName(cells.limit(1).withColumn("i", F.lit(None).cast("string")))
+    got = {(int(r[0]), int(r[1]), *r[2:]) for r in N.neighbours(named, "u", "i", 5).collect()}
+    assert {(a, b, c) for a, b, _, c in got} == {(a, b, c) for a, b, _, c in want}
+
+
 def test_tune_scores_as_predict_and_joins_once(spark):
     rows, cells = _cells(spark)
     near = cut_lineage(N.bounded_neighbours(cells, "u", "i", 5))
