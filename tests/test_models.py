@@ -189,6 +189,20 @@ def test_neighbours_of_hot_users_and_items_without_a_table_of_pairs(spark):
     assert exchanges and not [line for line in exchanges if "neighbour" in line or "item_b" in line], "pairs are shuffled"
 
 
+def test_matches_equal_joins_without_a_row_per_neighbour(spark):
+    """User 0 has several lists; a user and an item are unknown, and one pair is asked twice."""
+    _, cells = _cells(spark)
+    near = cut_lineage(N.neighbours(cells, "u", "i", 5))
+    rows = spark.createDataFrame([(k, u, i) for k, (u, i) in enumerate([(0, i) for i in range(32)] + [(u, 3) for u in range(45)] + [(0, 3), (None, 3), (3, None)])], "k bigint, u bigint, i bigint")
+    rated = cells.select("u", F.col("i").alias("neighbour"), "centred", "user_mean")
+    want = rows.join(near, "i").join(rated, ["u", "neighbour"])
+    for chunk in (1000, 7):
+        got = N.matches(rows, near, cells, "u", "i", ["k"], chunk)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())) and got.columns.count("i") == 1
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect(") == 1
+
+
 def test_lists_travel_once_per_task(spark, monkeypatch):
     """With two tasks a user's list is there twice at most, whatever the number of the user's items; ids that are no numbers, and null ones, give the same."""
     _, cells = _cells(spark)
